@@ -101,11 +101,16 @@ def split_labels(sel: str | Column) -> Column:
 def label_set(sel: str | Column, safe: str = SAFE_CATEGORY, compat: bool = False) -> Column:
     """Distinct labels of a joined string, where "no label" and the safe label are the same set.
 
-    ``compat=True`` leaves the safe label as it stands, so that a caller can treat both sides
-    differently as older evaluations did.
+    By default an empty list stands for the safe label, and the safe label beside others is
+    dropped.  ``compat=True`` takes the labels as they stand.
     """
     labels = F.array_distinct(split_labels(sel))
-    return labels if compat else F.filter(labels, lambda x: x != safe)
+    if compat:
+        return labels
+    return let(
+        F.filter(labels, lambda x: x != safe),
+        lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(safe))),
+    )
 
 
 def predicted_label_set(sel: str | Column, safe: str = SAFE_CATEGORY, compat: bool = False) -> Column:

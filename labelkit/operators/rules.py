@@ -135,18 +135,18 @@ def verdicts(
 # -- links, mentions, direct messages ---------------------------------------------------------
 
 
-def link_count(text: str | Column) -> Column:
-    return F.regexp_count(F.col(text) if isinstance(text, str) else text, F.lit(LINK))
+def link_count(text: str | Column, link: str = LINK) -> Column:
+    return F.regexp_count(F.col(text) if isinstance(text, str) else text, F.lit(link))
 
 
-def words_outside_links(text: str | Column) -> Column:
+def words_outside_links(text: str | Column, link: str = LINK) -> Column:
     text = F.col(text) if isinstance(text, str) else text
-    return F.regexp_count(F.regexp_replace(text, LINK, " "), F.lit(r"\w+"))
+    return F.regexp_count(F.regexp_replace(text, link, " "), F.lit(r"\w+"))
 
 
-def bare_links(text: str | Column, min_words: int = 5) -> Column:
+def bare_links(text: str | Column, min_words: int = 5, link: str = LINK) -> Column:
     """A link with fewer than ``min_words`` words around it."""
-    return (link_count(text) > 0) & (words_outside_links(text) < min_words)
+    return (link_count(text, link) > 0) & (words_outside_links(text, link) < min_words)
 
 
 def mentions(text: str | Column) -> Column:
