@@ -152,13 +152,21 @@ def bare_links(text: str | Column, min_words: int = 5, link: str = LINK) -> Colu
 def mentions(text: str | Column) -> Column:
     """Distinct names tagged with ``@``; the part after ``@`` of an e-mail address is no tag."""
     text = F.col(text) if isinstance(text, str) else text
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(MENTION), F.lit(2)))
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(MENTION), F.lit(2)))
+    # most texts hold no @ at all, and a plain search is much cheaper than the pattern
+    return F.when(F.contains(text, F.lit("@")), found).otherwise(F.array().cast("array<string>"))
+
+
+def email_count(text: str | Column) -> Column:
+    text = F.col(text) if isinstance(text, str) else text
+    return F.when(F.contains(text, F.lit("@")), F.regexp_count(text, F.lit(EMAIL))).otherwise(0)
 
 
 def mass_mention(text: str | Column, at_least: int = 10) -> Column:
     """Everyone is tagged, or at least ten different names."""
     column = F.col(text) if isinstance(text, str) else text
-    return column.rlike(EVERYONE) | (F.size(mentions(column)) >= at_least)
+    tagged = column.rlike(EVERYONE) | (F.size(mentions(column)) >= at_least)
+    return F.contains(column, F.lit("@")) & tagged
 
 
 def dm_promotion(rules: Sequence[Rule], channel: str = "channel", text: str = "text") -> Column:
@@ -302,25 +310,24 @@ def similar_across(
     its first two sources), so a bucket of any size costs one comparison per member.  ``likeness``
     is the best share of equal signature values found.
     """
+    if hashes % band:
+        raise ValueError("hashes must be a multiple of band")
     tokens = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+
+    def gram(i: Column) -> Column:
+        return F.xxhash64(*[F.element_at("w", i + j) for j in range(words)])
+
     grams = F.when(
-        F.size("w") >= words,
-        F.transform(
-            F.sequence(F.lit(1), F.size("w") - (words - 1)),
-            lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " ")),
-        ),
+        F.size("w") >= words, F.transform(F.sequence(F.lit(1), F.size("w") - (words - 1)), gram)
     ).otherwise(F.array(F.xxhash64(F.array_join("w", " "))))
-    signature = F.array(
-        *[F.array_min(F.transform("g", lambda g, s=s: F.xxhash64(g, F.lit(s)))) for s in range(hashes)]
-    )
-    # texts are signed where they are read and do not travel; copies within a source become one row
-    posts = df.select(key, source, F.md5(F.col(text)).alias("m"))
+    # n-grams are folded into minima where the text is read; only signatures travel, and the
+    # copies a source holds of one text fold into the same row
     members = (
         df.select(source, F.md5(F.col(text)).alias("m"), tokens.alias("w"))
-        .withColumn("g", grams)
-        .select(source, "m", signature.alias("sig"))
+        .select(source, "m", F.explode(grams).alias("g"))
         .groupBy("m", source)
-        .agg(F.first("sig").alias("sig"))
+        .agg(*[F.min(F.xxhash64("g", F.lit(s))).alias(f"s{s}") for s in range(hashes)])
+        .select("m", source, F.array(*[f"s{s}" for s in range(hashes)]).alias("sig"))
     )
     buckets = members.select(
         "m",
@@ -331,8 +338,9 @@ def similar_across(
         ).alias("band", "bucket"),
     )
     heads = buckets.groupBy("band", "bucket", source).agg(F.min(F.struct("m", "sig")).alias("head"))
+    by_source = Window.partitionBy("band", "bucket").orderBy(source)
     first_two = (
-        heads.withColumn("rn", F.row_number().over(Window.partitionBy("band", "bucket").orderBy(source)))
+        heads.withColumn("rn", F.row_number().over(by_source))
         .where(F.col("rn") <= 2)
         .groupBy("band", "bucket")
         .agg(
@@ -343,13 +351,13 @@ def similar_across(
         .where(F.col("head2").isNotNull())
     )
     other = F.when(F.col(source) == F.col("src1"), F.col("head2")).otherwise(F.col("head1"))
-    likeness = F.aggregate(
-        F.zip_with("sig", other["sig"], lambda a, b: (a == b).cast("int")), F.lit(0), lambda acc, x: acc + x
-    ) / F.lit(float(hashes))
+    same = F.zip_with("sig", other["sig"], lambda a, b: (a == b).cast("int"))
+    likeness = F.aggregate(same, F.lit(0), lambda acc, x: acc + x) / F.lit(float(hashes))
     found = (
         buckets.join(first_two, ["band", "bucket"])
         .groupBy("m", source)
         .agg(F.max(likeness).alias("likeness"))
         .where(F.col("likeness") >= threshold)
     )
+    posts = df.select(key, source, F.md5(F.col(text)).alias("m"))
     return posts.join(found, ["m", source]).select(key, "likeness")

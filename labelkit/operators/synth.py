@@ -39,37 +39,64 @@ def synth_multilabel(
     share: float = 0.2,
     seed: int = 42,
     category: str = "category",
+    part: str | None = None,
 ) -> DataFrame:
     """New rows (row, <key>, labels): an item of the first drawn category that has any, all labels.
 
     A row whose categories are all empty is not made.  The pool is ranked within its categories by
     bucketed rank, and each new row finds its item by an equi join on (category, rank), a unique
-    key.
+    key.  With ``part`` every part of the pool gets its own new rows, in the same pass; the result
+    then has that column too.
     """
     spark = pool.sparkSession
-    pool = pool.select(key, category).where(F.col(category).isin(list(categories)))
-    sizes = {r[0]: r[1] for r in pool.groupBy(category).count().collect()}  # one row per category
-    wanted = n_multi(sum(sizes.values()), share)
+    of_part = F.col(part) if part else F.lit("all")
+    pool = pool.where(F.col(category).isin(list(categories))).select(
+        of_part.alias("part"), F.col(category).alias("category"), key
+    )
+    # one row per part and listed category
+    sizes = {(r["part"], r["category"]): r["count"] for r in pool.groupBy("part", "category").count().collect()}
+    parts = sorted({p for p, _ in sizes})
+    wanted = {p: n_multi(sum(n for (q, _), n in sizes.items() if q == p), share) for p in parts}
     counts = local_table(
         spark,
-        {"category": list(sizes), "size": list(sizes.values())},
-        "category string, size bigint",
+        {"part": [p for p, _ in sizes], "category": [c for _, c in sizes], "size": list(sizes.values())},
+        "part string, category string, size bigint",
     )
-    picks = spark.range(wanted).withColumn("drawn", pick_categories(F.col("id"), categories, seed))
-    filled = F.array(*[F.lit(c) for c in sizes]) if sizes else F.array().cast("array<string>")
-    picks = (
-        picks.withColumn("category", F.get(F.filter("drawn", lambda c: F.array_contains(filled, c)), F.lit(0)))
-        .join(F.broadcast(counts), "category", "inner")
-        .withColumn("rank", hash_int(seed, F.lit("item"), F.col("id")) % F.col("size") + 1)
+    picks = spark.range(sum(wanted.values())).select(F.inline(_numbered(F.col("id"), wanted)))
+    filled = _filled(sizes, parts)
+    drawn = picks.withColumn("drawn", pick_categories(F.col("row"), categories, seed)).withColumn(
+        "category", F.get(F.filter("drawn", lambda c: F.array_contains(filled, c)), F.lit(0))
     )
-    ranked = group_rank(pool, key, category, seed).select(
-        F.col(category).alias("category"), F.col("rank"), F.col(key)
+    chosen = drawn.join(F.broadcast(counts), ["part", "category"], "inner").withColumn(
+        "rank", hash_int(seed, F.lit("item"), F.col("row")) % F.col("size") + 1
     )
-    return picks.join(ranked, ["category", "rank"], "inner").select(
-        F.col("id").alias("row"), key, F.array_join("drawn", ", ").alias("labels")
+    ranked = group_rank(pool, key, ["part", "category"], seed)
+    made = chosen.join(ranked, ["part", "category", "rank"], "inner")
+    return made.select(
+        *([F.col("part").alias(part)] if part else []), "row", key, F.array_join("drawn", ", ").alias("labels")
     )
 
 
+def _numbered(number: Column, wanted: dict[str, int]) -> Column:
+    """Running numbers over all parts as (part, row) with rows counted from 0 in each part."""
+    entries, first = [], 0
+    for name, n in wanted.items():
+        inside = (number >= first) & (number < first + n)
+        entries.append(F.when(inside, F.struct(F.lit(name).alias("part"), (number - first).alias("row"))))
+        first += n
+    empty = F.struct(F.lit("").alias("part"), number.alias("row"))
+    return F.array_compact(F.array(*entries, F.when(F.lit(False), empty)))
+
+
+def _filled(sizes: dict[tuple[str, str], int], parts: Sequence[str]) -> Column:
+    """Categories of the row's part that hold an item."""
+    chosen = F.array().cast("array<string>")
+    for name in parts:
+        there = F.array(*[F.lit(c) for p, c in sizes if p == name])
+        chosen = F.when(F.col("part") == name, there).otherwise(chosen)
+    return chosen
+
+
 def build_dataset(
     pool: DataFrame,
     key: str,
@@ -81,36 +108,18 @@ def build_dataset(
     seed: int = 42,
     category: str = "category",
 ) -> DataFrame:
-    """Rows (split, <key>, labels, is_multi, position hash) for train, val and a small sample.
+    """Rows (split, <key>, labels, is_multi, shuffle) for train, val and a small sample of train.
 
     Each part holds its single-label rows and its own multi-label rows; ordering by ``shuffle``
     gives the shuffled order of a part.
     """
     rows = stratified_split(pool.select(key, category), category, key, ratio, seed)
-    train = rows.where(F.col("split") == "train")
-    parts = {
-        "train": train,
-        "val": rows.where(F.col("split") == "val"),
-        "sample": sample_per_group(train, category, key, sample, seed),
-    }
-    built = None
-    for name, part in parts.items():
-        single = part.select(
-            F.lit(name).alias("split"),
-            key,
-            F.col(category).alias("labels"),
-            F.lit(False).alias("is_multi"),
-            F.lit(None).cast("bigint").alias("row"),
-        )
-        made = single
-        if multi_label and len(categories) > 1:
-            multi = synth_multilabel(part, key, categories, share, seed, category)
-            made = single.unionByName(
-                multi.select(
-                    F.lit(name).alias("split"), key, "labels", F.lit(True).alias("is_multi"), "row"
-                )
-            )
-        built = made if built is None else built.unionByName(made)
-    return built.withColumn(
-        "shuffle", hash_order(seed, "split", F.col(key), F.coalesce(F.col("row"), F.lit(-1)))
-    ).drop("row")
+    few = sample_per_group(rows.where(F.col("split") == "train"), category, key, sample, seed)
+    parts = rows.unionByName(few.withColumn("split", F.lit("sample")))
+    built = parts.select(
+        "split", key, F.col(category).alias("labels"), F.lit(False).alias("is_multi"), F.lit(-1).cast("bigint").alias("row")
+    )
+    if multi_label and len(categories) > 1:
+        multi = synth_multilabel(parts, key, categories, share, seed, category, "split")
+        built = built.unionByName(multi.withColumn("is_multi", F.lit(True)))
+    return built.withColumn("shuffle", hash_order(seed, "split", key, "row")).drop("row")

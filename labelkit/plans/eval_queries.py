@@ -13,11 +13,13 @@ from labelkit.plans.standins import (
     SEED,
     SPACED_SQL,
     category,
+    frequent_hits,
+    language_of,
     predicted,
-    spaced_words,
-    word_rule,
+    word_counts,
     word_rule_sql,
 )
+from labelkit.sources.columns import spread
 
 
 def _ratio_sql(part: str, whole: str) -> str:
@@ -152,16 +154,19 @@ CUTS = {0: 1, 1: 3, 2: None}
 FALLBACKS = {"basic": "others", "teleprompter": "en", "bootstrap": "de"}
 
 
-def _candidates(spaced: Column) -> dict[tuple[int, str], Column]:
-    return {(p, m): word_rule(spaced, words, nothing) for p, words in CUTS.items() for m, nothing in FALLBACKS.items()}
+def _candidates() -> dict[tuple[int, str], Column]:
+    return {(p, m): language_of(f"counts_{p}", nothing) for p in CUTS for m, nothing in FALLBACKS.items()}
 
 
-def _spaced_docs(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", "lang", spaced_words("text").alias("w"))
+def _counted_docs(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with the frequent-word counts each candidate decides by."""
+    docs = spread(table(spark, folder, "documents").select("doc_id", "lang", "text"), "doc_id")
+    hits = docs.select("doc_id", "lang", frequent_hits("text").alias("hits"))
+    return hits.withColumns({f"counts_{p}": word_counts("hits", words) for p, words in CUTS.items()})
 
 
 def _scores(spark: SparkSession, folder: str) -> DataFrame:
-    return search.evaluate_candidates(_spaced_docs(spark, folder), "lang", _candidates(F.col("w")))
+    return search.evaluate_candidates(_counted_docs(spark, folder), "lang", _candidates())
 
 
 def _mean_sql(words: int | None, nothing: str) -> str:
@@ -202,7 +207,7 @@ def best_candidate(spark: SparkSession, folder: str) -> DataFrame:
 )
 def bootstrap_demos(spark: SparkSession, folder: str) -> DataFrame:
     """First 16 documents a one-word rule gets right."""
-    demos = search.bootstrap_demos(_spaced_docs(spark, folder), word_rule(F.col("w"), 1), "lang", "doc_id", 16)
+    demos = search.bootstrap_demos(_counted_docs(spark, folder), language_of("counts_0"), "lang", "doc_id", 16)
     return demos.select("doc_id", "lang")
 
 
@@ -218,9 +223,9 @@ def search_grid(spark: SparkSession, folder: str) -> DataFrame:
     """Every instruction with every demo set."""
 
     def scorer(instruction: str, demos: str) -> Column:
-        return word_rule(F.col("w"), None if instruction == "all" else int(instruction), demos)
+        return language_of({"1": "counts_0", "3": "counts_1", "all": "counts_2"}[instruction], demos)
 
-    grid = search.search_grid(_spaced_docs(spark, folder), "lang", ["1", "3", "all"], ["others", "en"], scorer)
+    grid = search.search_grid(_counted_docs(spark, folder), "lang", ["1", "3", "all"], ["others", "en"], scorer)
     return _rounded(grid)
 
 

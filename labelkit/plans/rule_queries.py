@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from labelkit.operators import rules, scoring
 from labelkit.plans.registry import query, table
 from labelkit.session import shared_dir
+from labelkit.sources.columns import spread
 from labelkit.streaming import jobs
 
 # Wording that occurs in the driver's documents, in the place of the default rules.
@@ -34,7 +35,7 @@ def _rules(spark: SparkSession) -> list[rules.Rule]:
 
 
 def _docs(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", "text")
+    return spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
 
 
 @query(f"SELECT doc_id, rule_id, evidence FROM ({HITS_SQL})")
@@ -107,7 +108,8 @@ def dup_exact_across(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def dup_near(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with an exact or near copy in another source."""
-    return rules.similar_across(table(spark, folder, "documents"))
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    return rules.similar_across(spread(docs, "doc_id"))
 
 
 @query(
@@ -155,7 +157,7 @@ def rule_mentions(spark: SparkSession, folder: str) -> DataFrame:
     return _docs(spark, folder).select(
         "doc_id",
         F.size(rules.mentions("text")).alias("n_mentions"),
-        F.regexp_count("text", F.lit(rules.EMAIL)).alias("n_emails"),
+        rules.email_count("text").alias("n_emails"),
         rules.mass_mention("text").alias("is_mass"),
     )
 

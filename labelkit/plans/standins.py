@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from labelkit.operators.bounded import local_table
 from labelkit.operators.sft import to_triples
 from labelkit.plans.registry import table
+from labelkit.sources.columns import spread
 
 SEED = 42
 
@@ -38,21 +39,29 @@ FREQUENT_WORDS = {
 }
 
 
-def spaced_words(text: str) -> Column:
-    """Lower-case words with two blanks between them, so that neighbours do not share one."""
-    body = F.regexp_replace(F.lower(text), r"[^\p{L}]+", "  ")
-    return F.concat(F.lit(" "), body, F.lit(" "))
+LANGUAGE_NAMES = list(FREQUENT_WORDS)
+ALL_FREQUENT = sorted({w for words in FREQUENT_WORDS.values() for w in words})
 
 
-def word_rule(spaced: Column, words: int | None = None, nothing: str = "others") -> Column:
-    """Language with most frequent words in the text; list order wins ties, ``nothing`` if none."""
-    hits = {
-        lang: F.regexp_count(spaced, F.lit(" (" + "|".join(list_[:words]) + ") "))
-        for lang, list_ in FREQUENT_WORDS.items()
-    }
-    counted = F.array(*[F.struct(n.alias("n"), F.lit(-i).alias("i"), F.lit(lang).alias("lang")) for i, (lang, n) in enumerate(hits.items())])
-    best = F.array_max(counted)
-    return F.when(best["n"] > 0, best["lang"]).otherwise(F.lit(nothing))
+def frequent_hits(text: str) -> Column:
+    """The frequent words of any language in a text, repeats kept; the text is read once."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w.isin(ALL_FREQUENT))
+
+
+def word_counts(hits: str, words: int | None = None) -> Column:
+    """Hits per language, of its first ``words`` words."""
+
+    def count(chosen: list[str]) -> Column:
+        return F.size(F.filter(hits, lambda w: w.isin(chosen)))
+
+    return F.array(*[count(list_[:words]) for list_ in FREQUENT_WORDS.values()])
+
+
+def language_of(counts: str, nothing: str = "others") -> Column:
+    """Language with most hits; list order wins ties, ``nothing`` if there is no hit."""
+    top = F.array_max(counts)
+    names = F.array(*[F.lit(name) for name in LANGUAGE_NAMES])
+    return F.when(top > 0, F.element_at(names, F.array_position(counts, top).cast("int"))).otherwise(F.lit(nothing))
 
 
 def _word_count_sql(words: list[str]) -> str:
@@ -74,8 +83,9 @@ PREDICTED_SQL = f"SELECT doc_id, lang, source, {word_rule_sql()} AS pred FROM ({
 
 
 def predicted(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").select("doc_id", "lang", "source", spaced_words("text").alias("w"))
-    return docs.select("doc_id", "lang", "source", word_rule(F.col("w")).alias("pred"))
+    docs = spread(table(spark, folder, "documents").select("doc_id", "lang", "source", "text"), "doc_id")
+    counted = docs.withColumn("hits", frequent_hits("text")).withColumn("counts", word_counts("hits"))
+    return counted.select("doc_id", "lang", "source", language_of("counts").alias("pred"))
 
 
 # -- logits and waveforms from embeddings ------------------------------------------------------

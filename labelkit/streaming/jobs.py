@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +20,15 @@ from labelkit.session import SETTINGS, shared_dir
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
-def read_files(spark: SparkSession, path: str, schema: T.StructType | str, glob: str | None = None) -> DataFrame:
-    """Parquet files of a folder as a stream."""
-    reader = spark.readStream.schema(schema)
+def read_files(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str,
+    glob: str | None = None,
+    max_files: int = 1000,
+) -> DataFrame:
+    """Parquet files of a folder as a stream; ``max_files`` bounds what one micro-batch takes on."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
     return (reader.option("pathGlobFilter", glob) if glob else reader).parquet(path)
 
 
@@ -70,77 +77,81 @@ def bursts(df: DataFrame, author: str, ts: str, gap: str = "30 minutes", delay:
 
 
 def first_and_repeats(
-    df: DataFrame, author: str, message: str, ts: str, key: str, seconds: int = 3600, delay: str = "2 hours"
+    df: DataFrame,
+    author: str,
+    message: str,
+    ts: str,
+    key: str,
+    seconds: int = 3600,
+    delay: str = "2 hours",
+    buckets: int = 256,
 ) -> DataFrame:
     """Every post with ``is_repeat``: the author sent this message within the last ``seconds``.
 
-    State is the latest time seen per author, message and time range, and leaves when the watermark
-    has passed the next range.  Each post is also shown to the next range, so ranges are independent
-    and a single author's posts spread over them.  Within a micro-batch posts are judged in event
-    order; one that arrives in a later batch than a newer post counts as its repeat.
+    Authors and messages are hashed into ``buckets`` groups, and each group keeps one table of the
+    latest time seen per author and message, so a micro-batch costs one state access per group and
+    its posts are judged as columns.  Entries leave that table once the watermark is past their
+    hour.  A task holds one group's share of a micro-batch, which ``read_files`` bounds.  Within a
+    micro-batch posts are judged in event order; one that arrives in a later batch than a newer
+    post counts as its repeat.
     """
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-    span_us = seconds * 1_000_000
-    span_ms = seconds * 1000
+    gap_us = seconds * 1_000_000
     timed = with_event_time(df, ts, delay)
-    at = F.unix_micros(F.col(ts))
-    here = F.floor(at / span_us)
-    copies = F.array(
-        F.struct(here.alias("range"), F.lit(True).alias("own")),
-        F.struct((here + 1).alias("range"), F.lit(False).alias("own")),
-    )
+    thread = F.concat_ws("|", F.col(author).cast("string"), F.md5(squeeze(message)))
     shown = timed.select(
+        F.pmod(F.xxhash64(thread), F.lit(buckets)).alias("bucket"),
         F.col(author).cast("string").alias("author"),
-        F.md5(squeeze(message)).alias("message_key"),
+        F.md5(thread).alias("thread"),
         F.col(key).cast("bigint").alias("post"),
         F.col(ts).alias("seen_at"),
-        at.alias("at"),
-        F.inline(copies),
+        F.unix_micros(F.col(ts)).alias("at"),
     )
 
     class LastSeen(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.last = handle.getValueState("last", "at bigint")
-
-        def handleInputRows(self, key, rows, timers) -> Iterator[pd.DataFrame]:
-            posts = pd.concat(list(rows), ignore_index=True).sort_values(["at", "post"])
-            fresh = not self.last.exists()
-            before = None if fresh else int(self.last.get()[0])
-            previous = posts["at"].shift(1)
-            if before is not None:
-                previous = previous.fillna(before).clip(lower=before)
-            flagged = (posts["at"] - previous) <= span_us
-            latest = int(posts["at"].max())
-            self.last.update((latest if before is None else max(latest, before),))
-            if fresh:
-                self.handle.registerTimer((int(key[2]) + 2) * span_ms)
-            own = posts["own"].to_numpy()
+            self.last = handle.getValueState("last", "threads array<string>, at array<bigint>")
+
+        def _load(self) -> pd.Series:
+            kept = self.last.get()
+            return pd.Series(dtype="int64") if kept is None else pd.Series(list(kept[1]), index=list(kept[0]), dtype="int64")
+
+        def _store(self, seen: pd.Series, watermark_ms: int, had_timer: bool) -> None:
+            seen = seen[seen >= watermark_ms * 1000 - gap_us]
+            if seen.empty:
+                self.last.clear()
+                return
+            self.last.update((seen.index.tolist(), [int(v) for v in seen]))
+            if not had_timer:
+                self.handle.registerTimer(int(seen.max() + gap_us) // 1000 + 1)
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            posts = pd.concat(list(rows), ignore_index=True).sort_values(["thread", "at", "post"])
+            seen = self._load()
+            stored = posts["thread"].map(seen)
+            previous = np.fmax(posts.groupby("thread")["at"].shift(1), stored)
+            latest = posts.groupby("thread")["at"].max()
+            merged = pd.concat([seen, latest]).groupby(level=0).max()
+            self._store(merged, timerValues.getCurrentWatermarkInMs(), had_timer=not seen.empty)
             yield pd.DataFrame(
                 {
-                    "author": key[0],
-                    "message_key": key[1],
-                    "post": posts["post"].to_numpy()[own],
-                    "is_repeat": flagged.fillna(False).to_numpy()[own],
+                    "author": posts["author"],
+                    "post": posts["post"],
+                    "is_repeat": (posts["at"] - previous) <= gap_us,
                 }
             )
 
-        def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
-            self.last.clear()
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            self._store(self._load(), timerValues.getCurrentWatermarkInMs(), had_timer=False)
             yield pd.DataFrame()
 
         def close(self) -> None:
             pass
 
-    return (
-        shown.groupBy("author", "message_key", "range")
-        .transformWithStateInPandas(
-            LastSeen(),
-            "author string, message_key string, post bigint, is_repeat boolean",
-            "append",
-            "eventtime",
-        )
+    return shown.groupBy("bucket").transformWithStateInPandas(
+        LastSeen(), "author string, post bigint, is_repeat boolean", "append", "eventtime"
     )
 
 
