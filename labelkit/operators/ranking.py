@@ -36,8 +36,8 @@ def _same(left: Sequence[Column], right: Sequence[Column]) -> Column:
 
 
 def _keyed(df: DataFrame, key: str, by: list[str], seed: int, digits: int) -> DataFrame:
-    """Narrow table: group columns as g0.., order hash, row key, bucket."""
-    groups = [F.col(c).alias(f"g{i}") for i, c in enumerate(by)] or [F.lit(0).alias("g0")]
+    """Narrow table: group columns as __g0.., order hash, row key, bucket."""
+    groups = [F.col(c).alias(f"__g{i}") for i, c in enumerate(by)] or [F.lit(0).alias("__g0")]
     return df.select(*groups, hash_order(seed, key).alias("h"), F.col(key).alias("k")).withColumn(
         "b", F.substring("h", 1, digits)
     )
@@ -67,18 +67,18 @@ def group_rank(
     One shuffle of the rows, on (group, bucket); the bucket table is joined on the same columns.
     """
     by = _names(by)
-    groups = by or ["__g"]
+    groups = by or ["__whole"]
     rows = df.withColumns({"__h": hash_order(seed, key)}).withColumn(
         "__b", F.substring("__h", 1, digits)
     )
     if not by:
-        rows = rows.withColumn("__g", F.lit(0))
-    starts = _bucket_starts(_keyed(df, key, by, seed, digits), [f"g{i}" for i in range(len(groups))])
-    starts = starts.select(
-        *[F.col(f"g{i}") for i in range(len(groups))], F.col("b"), F.col("before").alias("__before")
+        rows = rows.withColumn("__whole", F.lit(0))
+    marks = [f"__g{i}" for i in range(len(groups))]
+    starts = _bucket_starts(_keyed(df, key, by, seed, digits), marks).select(
+        *marks, F.col("b").alias("__start"), F.col("before").alias("__before")
     )
-    cond = (F.col("__b") == F.col("b")) & _same(
-        [F.col(c) for c in groups], [F.col(f"g{i}") for i in range(len(groups))]
+    cond = (F.col("__b") == F.col("__start")) & _same(
+        [F.col(c) for c in groups], [F.col(m) for m in marks]
     )
     joined = rows.join(starts, cond, "inner")
     inside = Window.partitionBy(*groups, "__b").orderBy("__h", F.col(key))
@@ -96,7 +96,7 @@ def global_rank(df: DataFrame, key: str, seed: int = 42, rank: str = "rank") ->
 def _thresholds(
     keyed: DataFrame, groups: list[str], cuts: Sequence[Callable[[Column], Column]]
 ) -> DataFrame:
-    """Per group, the (hash, key) of the last row of each cut: columns t0, t1, ..
+    """Per group, the (hash, key) of the last row of each cut: columns __t0, __t1, ..
 
     A cut of zero rows has no such row and gives null.
     """
@@ -121,7 +121,7 @@ def _thresholds(
     )
     return last.groupBy(*groups).agg(
         *[
-            F.first(F.when(F.col("cut") == i, F.struct("h", "k")), ignorenulls=True).alias(f"t{i}")
+            F.first(F.when(F.col("cut") == i, F.struct("h", "k")), ignorenulls=True).alias(f"__t{i}")
             for i in range(len(cuts))
         ]
     )
@@ -145,7 +145,7 @@ def split_at(
     fit a checked local table the thresholds are joined by shuffle.
     """
     by = _names(by)
-    groups = [f"g{i}" for i in range(max(1, len(by)))]
+    groups = [f"__g{i}" for i in range(max(1, len(by)))]
     limits = _thresholds(_keyed(df, key, by, seed, digits), groups, cuts)
     local = local_copy(limits)
     place = F.struct(hash_order(seed, key).alias("h"), F.col(key).alias("k"))
@@ -161,15 +161,15 @@ def split_at(
         joined = df.join(
             found, _same([F.col(c) for c in by] or [F.lit(0)], [F.col(g) for g in groups]), "left"
         )
-        labelled = joined.withColumn(column, part([F.col(f"t{i}") for i in range(len(cuts))]))
-        return labelled.drop(*groups, *[f"t{i}" for i in range(len(cuts))])
+        labelled = joined.withColumn(column, part([F.col(f"__t{i}") for i in range(len(cuts))]))
+        return labelled.drop(*groups, *[f"__t{i}" for i in range(len(cuts))])
     row = local.first()
     key_type = df.schema[key].dataType
 
     def literal(i: int) -> Column:
-        bound = row[f"t{i}"] if row is not None else None
+        bound = row[f"__t{i}"] if row is not None else None
         if bound is None:
-            return F.lit(None).cast(local.schema[f"t{i}"].dataType) if row is not None else F.lit(None)
+            return F.lit(None).cast(local.schema[f"__t{i}"].dataType) if row is not None else F.lit(None)
         return F.struct(F.lit(bound["h"]).alias("h"), F.lit(bound["k"]).cast(key_type).alias("k"))
 
     if row is None:

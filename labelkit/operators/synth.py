@@ -11,6 +11,7 @@ from labelkit.functions.hashing import hash_int, hash_order
 from labelkit.operators.bounded import local_table
 from labelkit.operators.ranking import group_rank
 from labelkit.operators.sampling import sample_per_group, stratified_split
+from labelkit.session import written
 
 
 def n_multi(n: int, share: float) -> int:
@@ -115,7 +116,7 @@ def build_dataset(
     """
     rows = stratified_split(pool.select(key, category), category, key, ratio, seed)
     few = sample_per_group(rows.where(F.col("split") == "train"), category, key, sample, seed)
-    parts = rows.unionByName(few.withColumn("split", F.lit("sample")))
+    parts = written(rows.unionByName(few.withColumn("split", F.lit("sample"))), "parts")
     built = parts.select(
         "split", key, F.col(category).alias("labels"), F.lit(False).alias("is_multi"), F.lit(-1).cast("bigint").alias("row")
     )

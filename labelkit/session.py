@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -39,3 +39,14 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         return tempfile.mkdtemp(prefix=f"labelkit-{purpose}-")
     unique = f"{purpose}-{spark.sparkContext.applicationId}-{os.urandom(8).hex()}"
     return f"{root.rstrip('/')}/labelkit/{unique}"
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, read by every later use.
+
+    For narrow intermediate tables that several branches need; the lineage is cut there and the
+    loss of an executor costs nothing.
+    """
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
