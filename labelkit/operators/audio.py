@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,18 +22,24 @@ SPEED_RANGE = (0.9, 1.1)
 NOISE_RANGE = (0.01, 0.05)
 
 
-def _gaussian(seed: int, key: object, n: int, sigma: float):
-    import numpy as np
+def _gaussian(seed: int) -> Callable:
+    """``draw(key, n, sigma)``: the same numbers for the same seed and key, on any worker."""
 
-    return np.random.default_rng([seed, abs(int(key))]).normal(0.0, sigma, n)
+    def draw(key: object, n: int, sigma: float):
+        import numpy as np
+
+        return np.random.default_rng([seed, abs(int(key))]).normal(0.0, sigma, n)
+
+    return draw
 
 
 def noise_rows(keys: DataFrame, key: str, n_samples: int, sigma: float = 0.1, seed: int = 42, rate: int = TARGET_RATE) -> DataFrame:
     """One white-noise waveform per (non-negative integer) key, the same one whenever it is made."""
+    draw = _gaussian(seed)
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            waves = [_gaussian(seed, k, n_samples, sigma).astype("float32") for k in batch[key]]
+            waves = [draw(k, n_samples, sigma).astype("float32") for k in batch[key]]
             yield pd.DataFrame({key: batch[key], "array": waves})
 
     made = keys.select(key).mapInPandas(
@@ -56,6 +62,7 @@ def synthetic_noise(spark: SparkSession, n: int, n_samples: int = int(TARGET_RAT
 def add_noise(df: DataFrame, wave: str, sigma: str, key: str, seed: int = 42, column: str = "noisy") -> DataFrame:
     """Gaussian noise of each row's own ``sigma``, then clipped to [-1, 1]. Null sigma leaves the row."""
     schema = T.StructType(list(df.schema.fields) + [T.StructField(column, T.ArrayType(T.DoubleType()))])
+    draw = _gaussian(seed)
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
@@ -64,7 +71,7 @@ def add_noise(df: DataFrame, wave: str, sigma: str, key: str, seed: int = 42, co
             if arr is None:
                 return None
             clean = np.asarray(arr, dtype="float64")
-            return clean if pd.isna(s) else clean + _gaussian(seed, k, len(clean), float(s))
+            return clean if pd.isna(s) else clean + draw(k, len(clean), float(s))
 
         for batch in batches:
             rows = zip(batch[key], batch[sigma], batch[wave])
