@@ -81,7 +81,8 @@ def scan_folder(
     """
     found = _files(spark, root, recursive).where(has_extension("path", extensions))
     parts = F.split(path_below("path", root), "/")
-    return found.where(F.size(parts) > 1).select("path", F.get(parts, F.lit(0)).alias("folder"))
+    deep_enough = F.size(parts) > 1 if recursive else F.size(parts) == 2
+    return found.where(deep_enough).select("path", F.get(parts, F.lit(0)).alias("folder"))
 
 
 def scan_files(spark: SparkSession, root: str, extensions: Sequence[str] = UNLABELLED_IMAGES) -> DataFrame:
