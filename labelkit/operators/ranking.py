@@ -27,17 +27,18 @@ def _names(by: str | Sequence[str] | None) -> list[str]:
     return [by] if isinstance(by, str) else list(by)
 
 
-def _same(left: Sequence[Column], right: Sequence[Column]) -> Column:
-    """Null-safe equality of two column lists."""
-    cond = F.lit(True)
-    for a, b in zip(left, right):
-        cond = cond & a.eqNullSafe(b)
-    return cond
+def _group_key(name: str) -> Column:
+    """Group value as text that also tells null from empty, so groups join and partition by plain equality."""
+    return F.coalesce(F.concat(F.lit("v"), F.col(name).cast("string")), F.lit("n"))
+
+
+def _group_keys(by: list[str]) -> dict[str, Column]:
+    return {f"__g{i}": _group_key(c) for i, c in enumerate(by)} or {"__g0": F.lit("all")}
 
 
 def _keyed(df: DataFrame, key: str, by: list[str], seed: int, digits: int) -> DataFrame:
-    """Narrow table: group columns as __g0.., order hash, row key, bucket."""
-    groups = [F.col(c).alias(f"__g{i}") for i, c in enumerate(by)] or [F.lit(0).alias("__g0")]
+    """Narrow table: group keys as __g0.., order hash, row key, bucket."""
+    groups = [column.alias(name) for name, column in _group_keys(by).items()]
     return df.select(*groups, hash_order(seed, key).alias("h"), F.col(key).alias("k")).withColumn(
         "b", F.substring("h", 1, digits)
     )
@@ -67,22 +68,17 @@ def group_rank(
     One shuffle of the rows, on (group, bucket); the bucket table is joined on the same columns.
     """
     by = _names(by)
-    groups = by or ["__whole"]
-    rows = df.withColumns({"__h": hash_order(seed, key)}).withColumn(
+    groups = list(_group_keys(by))
+    rows = df.withColumns({**_group_keys(by), "__h": hash_order(seed, key)}).withColumn(
         "__b", F.substring("__h", 1, digits)
     )
-    if not by:
-        rows = rows.withColumn("__whole", F.lit(0))
-    marks = [f"__g{i}" for i in range(len(groups))]
-    starts = _bucket_starts(_keyed(df, key, by, seed, digits), marks).select(
-        *marks, F.col("b").alias("__start"), F.col("before").alias("__before")
-    )
-    cond = (F.col("__b") == F.col("__start")) & _same(
-        [F.col(c) for c in groups], [F.col(m) for m in marks]
+    starts = _bucket_starts(_keyed(df, key, by, seed, digits), groups).select(
+        *groups, F.col("b").alias("__b"), F.col("before").alias("__before")
     )
-    joined = rows.join(starts, cond, "inner")
+    if not by:
+        starts = F.broadcast(starts)  # at most 16**digits rows
     inside = Window.partitionBy(*groups, "__b").orderBy("__h", F.col(key))
-    ranked = joined.withColumn(
+    ranked = rows.join(starts, [*groups, "__b"], "inner").withColumn(
         rank, (F.col("__before") + F.row_number().over(inside)).cast("bigint")
     )
     return ranked.select(*[c for c in df.columns if c != rank], rank)
@@ -106,16 +102,13 @@ def _thresholds(
         _bucket_starts(keyed, groups)
         .select(*groups, "b", "in_bucket", "before", F.posexplode(wanted).alias("cut", "at"))
         .where((F.col("at") > F.col("before")) & (F.col("at") <= F.col("before") + F.col("in_bucket")))
-        .select(*[F.col(g).alias("t" + g) for g in groups], F.col("b").alias("tb"), "before", "cut", "at")
+        .select(*groups, "b", "before", "cut", "at")
     )
     local = local_copy(targets)
     targets = targets if local is None else local
-    cond = (F.col("b") == F.col("tb")) & _same(
-        [F.col(g) for g in groups], [F.col("t" + g) for g in groups]
-    )
     inside = Window.partitionBy(*groups, "b", "cut").orderBy("h", "k")
     last = (
-        keyed.join(targets, cond, "inner")
+        keyed.join(targets, [*groups, "b"], "inner")
         .withColumn("r", F.col("before") + F.row_number().over(inside))
         .where(F.col("r") == F.col("at"))
     )
@@ -145,7 +138,7 @@ def split_at(
     fit a checked local table the thresholds are joined by shuffle.
     """
     by = _names(by)
-    groups = [f"__g{i}" for i in range(max(1, len(by)))]
+    groups = list(_group_keys(by))
     limits = _thresholds(_keyed(df, key, by, seed, digits), groups, cuts)
     local = local_copy(limits)
     place = F.struct(hash_order(seed, key).alias("h"), F.col(key).alias("k"))
@@ -158,9 +151,7 @@ def split_at(
 
     if local is None or by:
         found = limits if local is None else local
-        joined = df.join(
-            found, _same([F.col(c) for c in by] or [F.lit(0)], [F.col(g) for g in groups]), "left"
-        )
+        joined = df.withColumns(_group_keys(by)).join(found, groups, "left")
         labelled = joined.withColumn(column, part([F.col(f"__t{i}") for i in range(len(cuts))]))
         return labelled.drop(*groups, *[f"__t{i}" for i in range(len(cuts))])
     row = local.first()
@@ -204,25 +195,44 @@ def top_n_per_group(
     )
 
 
+def order_range(order: str, width: int) -> Column:
+    """Start of the range of ``width`` order values a row lies in (exact for whole numbers)."""
+    return F.col(order) - F.pmod(F.col(order), F.lit(width))
+
+
 def next_in_group(
-    df: DataFrame, by: str, order: str, columns: Sequence[str], width: int = 1024, prefix: str = "next_"
+    df: DataFrame,
+    by: str,
+    order: str,
+    columns: Sequence[str],
+    width: int = 1024,
+    prefix: str = "next_",
+    keep_range: bool = False,
 ) -> DataFrame:
-    """The given columns of the row that follows within its group, by an integer order column.
+    """The given columns of the row that follows within its group, by a whole-number order column.
 
     As ``lead`` over the group, but the group is cut into ranges of ``width`` order values, so no
-    task holds a whole group.  The last row of a range takes the first row of the next range that
-    is not empty.
+    task holds a whole group and the rows are shuffled once, on (group, range).  The first row of
+    a later range is shown to the range before it; a pass over (group, order) finds those rows,
+    which are none for groups shorter than a range.
     """
-    made = [prefix + c for c in columns]
-    rows = df.withColumn("__range", F.floor(F.col(order) / width))
-    payload = F.struct(F.col(order).alias("__o"), *[F.col(c).alias(prefix + c) for c in columns])
-    heads = rows.groupBy(by, "__range").agg(F.min_by(payload, F.col(order)).alias("__head"))
-    heads = heads.withColumn(
-        "__following", F.lead("__head").over(Window.partitionBy(by).orderBy("__range"))
-    ).select(F.col(by), F.col("__range"), F.col("__following"))
-    inside = Window.partitionBy(by, "__range").orderBy(order)
-    found = (
-        rows.join(heads, [by, "__range"], "inner")
-        .withColumn("__lead", F.coalesce(F.lead(payload).over(inside), F.col("__following")))
+    payload = F.struct(F.lit(True).alias("there"), *[F.col(c) for c in columns])
+    rows = df.withColumns({"__range": order_range(order, width), "__own": F.lit(True)})
+    firsts = df.select(by, order, order_range(order, width).alias("__range")).groupBy(by, "__range").agg(
+        F.min(order).alias(order)
+    )
+    previous = F.lag("__range").over(Window.partitionBy(by).orderBy("__range"))
+    edges = firsts.withColumn("__before", previous).where("__before IS NOT NULL").select(by, order, "__before")
+    local = local_copy(edges)
+    if local is None or local.count():
+        guests = df.join(edges if local is None else F.broadcast(local), [by, order], "inner")
+        rows = rows.unionByName(
+            guests.withColumns({"__range": F.col("__before"), "__own": F.lit(False)}).drop("__before")
+        )
+    lead = F.lead(payload).over(Window.partitionBy(by, "__range").orderBy(order))
+    found = rows.withColumn("__next", lead).where("__own")
+    return found.select(
+        *df.columns,
+        *[F.col("__next")[c].alias(prefix + c) for c in columns],
+        *(["__range"] if keep_range else []),
     )
-    return found.select(*df.columns, *[F.col("__lead")[c].alias(c) for c in made])

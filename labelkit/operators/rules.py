@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from labelkit.functions.text import squeeze
 from labelkit.operators.bounded import join_small, local_table
+from labelkit.operators.ranking import order_range
+from labelkit.session import written
 
 MESSAGE_SCHEMA = "msg_id bigint, author_id bigint, channel string, thread_id bigint, ts timestamp, text string"
 RULE_SCHEMA = "rule_id string, kind string, pattern string, weight double"
@@ -232,12 +234,12 @@ def repeats_within(
     span = seconds * us
     at = F.unix_micros(F.col(ts).cast("timestamp"))
     posts = df.select(author, message, *([thread] if thread else []), F.col(key).alias("post"), at.alias("at"))
-    posts = posts.withColumn("range", F.floor(F.col("at") / span))
+    posts = posts.withColumn("range", order_range("at", span))
     until = F.col("at") + span + 1
     if thread:
         # the next post of the thread, at least as late; found within this range or the next one
         own = F.struct(F.lit(True).alias("own"), F.col("range").alias("range"))
-        back = F.struct(F.lit(False).alias("own"), (F.col("range") - 1).alias("range"))
+        back = F.struct(F.lit(False).alias("own"), (F.col("range") - span).alias("range"))
         seen = posts.select(
             author, message, thread, "post", "at", F.inline(F.array(own, back).cast("array<struct<own:boolean,seen_range:bigint>>"))
         )
@@ -251,23 +253,22 @@ def repeats_within(
     posts = posts.withColumn("until", until)
     start = F.struct(F.col("range").alias("r"), F.col("at").alias("t"), F.lit(1).cast("bigint").alias("d"), F.col("post").alias("p"))
     none = F.lit(None).cast(df.schema[key].dataType)
-    next_range = F.col("range") + 1
-    edge = next_range * span
+    edge = F.col("range") + span
     stop_here = F.when(
         F.col("until") < edge,
         F.struct(F.col("range").alias("r"), F.col("until").alias("t"), F.lit(-1).cast("bigint").alias("d"), none.alias("p")),
     )
     stop_next = F.when(
         F.col("until") > edge,
-        F.struct(next_range.alias("r"), F.col("until").alias("t"), F.lit(-1).cast("bigint").alias("d"), none.alias("p")),
+        F.struct(edge.alias("r"), F.col("until").alias("t"), F.lit(-1).cast("bigint").alias("d"), none.alias("p")),
     )
     steps = posts.select(author, message, F.inline(F.array_compact(F.array(start, stop_here, stop_next))))
     # posts carried over a range edge all start at that edge, so they travel as one count
     carried = (
         posts.where(F.col("until") > edge)
-        .groupBy(author, message, next_range.alias("r"))
+        .groupBy(author, message, edge.alias("r"))
         .agg(F.count("*").alias("d"))
-        .select(author, message, "r", (F.col("r") * span).alias("t"), "d", none.alias("p"))
+        .select(author, message, "r", F.col("r").alias("t"), "d", none.alias("p"))
     )
     steps = steps.unionByName(carried)
     running = Window.partitionBy(author, message, "r").orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
@@ -321,23 +322,18 @@ def similar_across(
         F.size("w") >= words, F.transform(F.sequence(F.lit(1), F.size("w") - (words - 1)), gram)
     ).otherwise(F.array(F.xxhash64(F.array_join("w", " "))))
     # n-grams are folded into minima where the text is read; only signatures travel, and the
-    # copies a source holds of one text fold into the same row
-    members = (
+    # copies a source holds of one text fold into the same row. Written once, read three times.
+    members = written(
         df.select(source, F.md5(F.col(text)).alias("m"), tokens.alias("w"))
         .select(source, "m", F.explode(grams).alias("g"))
         .groupBy("m", source)
         .agg(*[F.min(F.xxhash64("g", F.lit(s))).alias(f"s{s}") for s in range(hashes)])
-        .select("m", source, F.array(*[f"s{s}" for s in range(hashes)]).alias("sig"))
+        .select("m", source, F.array(*[f"s{s}" for s in range(hashes)]).alias("sig")),
+        "signatures",
     )
-    buckets = members.select(
-        "m",
-        source,
-        "sig",
-        F.posexplode(
-            F.array(*[F.xxhash64(F.slice("sig", 1 + i, band)) for i in range(0, hashes, band)])
-        ).alias("band", "bucket"),
-    )
-    heads = buckets.groupBy("band", "bucket", source).agg(F.min(F.struct("m", "sig")).alias("head"))
+    bands = F.array(*[F.xxhash64(F.slice("sig", 1 + i, band)) for i in range(0, hashes, band)])
+    buckets = members.select("m", source, F.posexplode(bands).alias("band", "bucket"))
+    heads = buckets.groupBy("band", "bucket", source).agg(F.min("m").alias("head"))
     by_source = Window.partitionBy("band", "bucket").orderBy(source)
     first_two = (
         heads.withColumn("rn", F.row_number().over(by_source))
@@ -351,10 +347,16 @@ def similar_across(
         .where(F.col("head2").isNotNull())
     )
     other = F.when(F.col(source) == F.col("src1"), F.col("head2")).otherwise(F.col("head1"))
-    same = F.zip_with("sig", other["sig"], lambda a, b: (a == b).cast("int"))
+    chosen = (
+        buckets.join(first_two, ["band", "bucket"]).select("m", source, other.alias("other")).distinct()
+    )
+    mine = members.select("m", source, "sig")
+    theirs = members.groupBy(F.col("m").alias("other")).agg(F.first("sig").alias("other_sig"))
+    same = F.zip_with("sig", "other_sig", lambda a, b: (a == b).cast("int"))
     likeness = F.aggregate(same, F.lit(0), lambda acc, x: acc + x) / F.lit(float(hashes))
     found = (
-        buckets.join(first_two, ["band", "bucket"])
+        chosen.join(mine, ["m", source])
+        .join(theirs, "other")
         .groupBy("m", source)
         .agg(F.max(likeness).alias("likeness"))
         .where(F.col("likeness") >= threshold)

@@ -115,6 +115,17 @@ def row_at(df: DataFrame, order: str, index: int) -> DataFrame:
     return df.orderBy(order).offset(index).limit(1)
 
 
+def row_or_error(df: DataFrame, order: str, index: int) -> DataFrame:
+    """Always one row: the columns at that position with status OK, or nulls with status ERROR."""
+    found = row_at(df, order, index).agg(F.first(F.struct(*df.columns)).alias("row"), F.count("*").alias("n"))
+    message = F.lit(f"index {index} is out of range")
+    return found.select(
+        "row.*",
+        F.when(F.col("n") > 0, "OK").otherwise("ERROR").alias("status"),
+        F.when(F.col("n") == 0, message).alias("error"),
+    )
+
+
 def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """Rows in shuffle order (range-partitioned sort)."""
     return df.orderBy(hash_order(seed, key), F.col(key))

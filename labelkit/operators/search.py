@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelkit.operators.bounded import join_small, local_table
 from labelkit.operators.sampling import head_n
 from labelkit.operators.scoring import score
 
@@ -144,7 +145,9 @@ def render_fewshot(df: DataFrame, text: str, label: str, order: str, n: int = 10
     """One row with the first ``n`` examples as ``- "text" → label`` lines (n at most 100)."""
     if n > 100:
         raise ValueError("few-shot text is limited to 100 examples")
-    few = head_n(df.select(order, text, label), order, n)
+    # the order column alone decides; the filter on at most 100 values then reaches the scan
+    chosen = [r[0] for r in head_n(df.select(order), order, n).collect()]
+    few = df.where(F.col(order).isin(chosen)).select(order, text, label)
     lines = F.transform(
         F.array_sort(F.collect_list(F.struct(F.col(order), F.col(text).alias("t"), F.col(label).alias("l")))),
         lambda r: F.concat(F.lit('- "'), r["t"], F.lit('" → '), r["l"].cast("string")),
@@ -152,6 +155,16 @@ def render_fewshot(df: DataFrame, text: str, label: str, order: str, n: int = 10
     return few.agg(F.array_join(lines, "\n").alias("examples"))
 
 
+def prompt_table(spark: SparkSession, prompts: Sequence[str]) -> DataFrame:
+    """(prompt_id, prompt). Rows carry the id; the text is attached where it is needed."""
+    return local_table(spark, {"prompt_id": range(len(prompts)), "prompt": prompts}, "prompt_id int, prompt string")
+
+
+def attach_prompt(df: DataFrame, prompts: DataFrame, prompt_id: str = "prompt_id") -> DataFrame:
+    """Prompt text of each row's prompt id."""
+    return join_small(df, prompts.select(F.col("prompt_id").alias(prompt_id), "prompt"), prompt_id, "left")
+
+
 def try_inputs(texts: DataFrame, answer: Column, text: str = "text") -> DataFrame:
     """Smoke run of the chosen candidate on a few inputs."""
     return texts.select(text, answer.alias("answer"))

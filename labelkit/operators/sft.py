@@ -10,22 +10,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from labelkit.functions import chat
-from labelkit.operators.ranking import next_in_group
+from labelkit.operators.bounded import local_copy
+from labelkit.operators.ranking import next_in_group, order_range
 
 
-def to_triples(conv: DataFrame) -> DataFrame:
+def to_triples(conv: DataFrame, width: int = 1024) -> DataFrame:
     """(conv_id, turn, system, question, response) for each user turn that an assistant turn follows.
 
-    The system text is the conversation's first system turn, or empty.
+    The system text is the conversation's first system turn, or empty.  It is joined per range of
+    turns, the partitioning the pairs already have, so turns are shuffled once.
     """
-    follow = next_in_group(conv.select("conv_id", "turn", "role", "text"), "conv_id", "turn", ["role", "text"])
+    turns = conv.select("conv_id", "turn", "role", "text")
+    follow = next_in_group(turns, "conv_id", "turn", ["role", "text"], width, keep_range=True)
     pairs = follow.where((F.col("role") == "user") & (F.col("next_role") == "assistant"))
     systems = (
-        conv.where(F.col("role") == "system")
-        .groupBy("conv_id")
-        .agg(F.min_by("text", "turn").alias("system"))
+        turns.where(F.col("role") == "system").groupBy("conv_id").agg(F.min_by("text", "turn").alias("system"))
     )
-    return pairs.join(systems, "conv_id", "left").select(
+    ranges = turns.select("conv_id", order_range("turn", width).alias("__range")).distinct()
+    per_range = ranges.join(systems, "conv_id", "inner")
+    return pairs.join(per_range, ["conv_id", "__range"], "left").select(
         "conv_id",
         "turn",
         F.coalesce("system", F.lit("")).alias("system"),
@@ -108,18 +111,28 @@ def length_budget(
 def preference_pairs(scored: DataFrame, prompt: str, response: str, score: str, key: str) -> DataFrame:
     """(prompt, chosen, rejected): best and worst answer per prompt, none when all scores are equal.
 
-    ``key`` breaks ties, the smaller one first.  One partial aggregate per prompt.
+    ``key`` identifies an answer and breaks ties, the smaller one first.  The choice is made on keys
+    alone; the answers are then looked up by key, in a map-only pass when the chosen keys are few.
     """
-    best = F.max_by(F.col(response), F.struct(F.col(score), -F.col(key)))
-    worst = F.min_by(F.col(response), F.struct(F.col(score), F.col(key)))
-    return (
+    best = F.max(F.struct(F.col(score).alias("s"), (-F.col(key)).alias("k")))
+    worst = F.min(F.struct(F.col(score).alias("s"), F.col(key).alias("k")))
+    ends = (
         scored.groupBy(F.col(prompt).alias("prompt"))
-        .agg(
-            best.alias("chosen"),
-            worst.alias("rejected"),
-            F.max(score).alias("hi"),
-            F.min(score).alias("lo"),
-        )
-        .where(F.col("hi") > F.col("lo"))
-        .drop("hi", "lo")
+        .agg(best.alias("hi"), worst.alias("lo"))
+        .where(F.col("hi.s") > F.col("lo.s"))
+    )
+    keys = ends.select(
+        "prompt",
+        F.inline(
+            F.array(
+                F.struct((-F.col("hi.k")).alias("__key"), F.lit("chosen").alias("role")),
+                F.struct(F.col("lo.k").alias("__key"), F.lit("rejected").alias("role")),
+            )
+        ),
+    )
+    local = local_copy(keys)
+    answers = scored.select(F.col(key).alias("__key"), F.col(response).alias("answer"))
+    found = answers.join(keys if local is None else F.broadcast(local), "__key", "inner")
+    return found.groupBy("prompt").agg(
+        *[F.max(F.when(F.col("role") == r, F.col("answer"))).alias(r) for r in ("chosen", "rejected")]
     )

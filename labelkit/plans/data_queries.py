@@ -18,15 +18,19 @@ from labelkit.plans.standins import (
     PART_SKIP,
     PREDICTED_SQL,
     SEED,
+    TRIPLES_SQL,
     categorised,
     checksum,
     checksum_sql,
     part_dim,
     predicted,
+    triples,
 )
+from labelkit.session import shared_dir
+from labelkit.sinks.writers import class_metric_rows, write_label_json, write_metrics
 from labelkit.sources.columns import tag_source
-from labelkit.sources.datasets import load_status, select_split, union_all
-from labelkit.sources.files import drop_incomplete, uri_folder
+from labelkit.sources.datasets import load_status, read_split, select_split, union_all
+from labelkit.sources.files import LABEL_JSON_SCHEMA, drop_incomplete, read_examples_csv, uri_folder
 
 LANGUAGES = ["en", "es", "it", "fr", "de", "pt"]
 LABELLED_SQL = f"SELECT doc_id, {CATEGORY_SQL} AS category FROM labels"
@@ -397,3 +401,68 @@ SELECT split, p_partkey, labels, is_multi, md5('42|' || split || '|' || p_partke
 def build_dataset(spark: SparkSession, folder: str) -> DataFrame:
     """Train, val and sample parts with their multi-label rows."""
     return synth.build_dataset(taxonomy_inner(spark, folder), "p_partkey", PART_CATEGORIES, 0.8, 0.2, seed=SEED)
+
+
+# -- files written and read back ---------------------------------------------------------------
+
+
+@query(f"SELECT md5(system) AS prompt, md5(question) AS question, md5(response) AS response FROM ({TRIPLES_SQL})")
+def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Instruction triples as CSV with newlines and quotes inside, read by column name."""
+    path = shared_dir(spark, "csv")
+    rows = triples(spark, folder).select(F.col("system").alias("prompt"), "question", "response")
+    rows.write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path)
+    back = read_examples_csv(spark, path)
+    return back.select(*[F.md5(F.coalesce(c, F.lit(""))).alias(c) for c in back.columns])
+
+
+@query(
+    f"""
+WITH r AS (SELECT p_partkey, category, row_number() OVER (PARTITION BY category ORDER BY md5('42|' || p_partkey), p_partkey) AS rn,
+                  count(*) OVER (PARTITION BY category) AS n FROM ({MAPPED_SQL}))
+SELECT 'img/' || p_partkey || '.png' AS image_path, category || ', ' || 'Part' AS labels,
+       CASE WHEN rn <= floor(n * 0.8::DOUBLE) THEN 'train' ELSE 'val' END AS split FROM r
+"""
+)
+def json_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """A labelled dataset as JSON per split, read back."""
+    path = shared_dir(spark, "json")
+    rows = sampling.stratified_split(taxonomy_inner(spark, folder), "category", "p_partkey", 0.8, SEED).select(
+        F.concat(F.lit("img/"), "p_partkey", F.lit(".png")).alias("image_path"),
+        F.array("category", F.lit("Part")).alias("labels"),
+        "split",
+    )
+    write_label_json(rows, path)
+    return spark.read.schema(LABEL_JSON_SCHEMA + ", split string").json(path)
+
+
+@query("SELECT doc_id AS id, n_chars FROM documents WHERE source = 'src2' AND lang = 'fr' AND n_chars > 500 ORDER BY doc_id LIMIT 10")
+def read_split_partitions(spark: SparkSession, folder: str) -> DataFrame:
+    """Slice of one dataset, config and split of a partitioned table; other partitions are not read."""
+    path = shared_dir(spark, "splits")
+    docs = table(spark, folder, "documents").select(
+        F.col("doc_id").alias("id"),
+        "n_chars",
+        F.col("source").alias("dataset"),
+        F.col("lang").alias("config"),
+        F.when(F.col("n_chars") > 500, "long").otherwise("short").alias("split"),
+    )
+    # a large part is spread over several writers
+    docs.repartition("dataset", "config", "split", F.col("id") % 16).write.partitionBy("dataset", "config", "split").parquet(path)
+    return read_split(spark, path, "src2", "long[:10]", "fr", "id").select("id", "n_chars")
+
+
+@query(
+    """
+SELECT 'per_type' AS scope, event_type AS name, 'mean_value' AS metric, round(avg(value), 6) AS value FROM events GROUP BY event_type
+UNION ALL SELECT 'per_type', event_type, 'n', count(*)::DOUBLE FROM events GROUP BY event_type
+"""
+)
+def metric_sink(spark: SparkSession, folder: str) -> DataFrame:
+    """Per-class metrics as long rows in a metric table."""
+    path = shared_dir(spark, "metrics")
+    per_type = table(spark, folder, "events").groupBy("event_type").agg(
+        F.round(F.avg("value"), 6).alias("mean_value"), F.count("*").alias("n")
+    )
+    write_metrics(class_metric_rows(per_type, ["mean_value", "n"], "per_type", "event_type"), path)
+    return spark.read.parquet(path)
