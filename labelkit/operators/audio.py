@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelkit.functions.arrays import clip_array, time_shift
+from labelkit.functions.arrays import fix_length, time_shift
 from labelkit.functions.hashing import hash_int, unit_draw
 
 # The sampling rate the speech models expect, the clip length in seconds, the
@@ -59,28 +60,91 @@ def synthetic_noise(spark: SparkSession, n: int, n_samples: int = int(TARGET_RAT
     return noise_rows(spark.range(n), "id", n_samples, sigma, seed)
 
 
+def map_waves(
+    df: DataFrame,
+    wave: str,
+    column: str,
+    build: Callable[[], Callable],
+    extra: Sequence[str] = (),
+    dtype: str = "float",
+) -> DataFrame:
+    """Adds ``column``: a numpy function of each row's waveform, the samples moved as Arrow buffers.
+
+    Column expressions visit a waveform of 80,000 samples one boxed value at a time; a numpy pass
+    over the Arrow buffer of a batch is about ten times faster.  ``build`` runs once per task and
+    returns ``f(samples, *extra values)`` for one row; null waveforms stay null, and all other
+    columns pass through untouched.
+    """
+    sample_type, np_type = {"float": (T.FloatType(), "float32"), "double": (T.DoubleType(), "float64")}[dtype]
+    schema = T.StructType(list(df.schema.fields) + [T.StructField(column, T.ArrayType(sample_type))])
+    extra = list(extra)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        apply = build()
+        for batch in batches:
+            waves = batch.column(batch.schema.get_field_index(wave))
+            samples = waves.flatten().to_numpy(zero_copy_only=False)
+            lengths = pc.fill_null(pc.list_value_length(waves), 0).to_numpy(zero_copy_only=False)
+            missing = waves.is_null().to_numpy(zero_copy_only=False)
+            values = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in extra]
+            made, at = [], 0
+            for i, n in enumerate(lengths):
+                piece = samples[at:at + n]
+                made.append(piece[:0] if missing[i] else np.asarray(apply(piece, *[v[i] for v in values]), dtype=np_type))
+                at += n
+            offsets = np.concatenate([[0], np.cumsum([len(m) for m in made])]).astype("int32")
+            flat = np.concatenate(made) if made else np.empty(0, dtype=np_type)
+            out = pa.ListArray.from_arrays(offsets, pa.array(flat), mask=pa.array(missing))
+            yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, column])
+
+    return df.mapInArrow(task, schema)
+
+
+def standardise_waves(
+    df: DataFrame,
+    wave: str,
+    n_samples: int | None = None,
+    column: str = "input_values",
+    eps: float = 1e-7,
+    dtype: str = "float",
+) -> DataFrame:
+    """Model input of long waveforms: fixed length when asked for, then zero mean and unit variance.
+
+    The same values as ``fix_length`` followed by ``zscore_array``.
+    """
+    fitted, source = (df, wave) if n_samples is None else (df.withColumn("__fitted", fix_length(wave, n_samples)), "__fitted")
+
+    def build() -> Callable:
+        import numpy as np
+
+        def standardise(samples):
+            x = samples.astype("float64")
+            return x if len(x) == 0 else (x - x.mean()) / np.sqrt(x.var() + eps)
+
+        return standardise
+
+    return map_waves(fitted, source, column, build, dtype=dtype).drop("__fitted")
+
+
 def add_noise(df: DataFrame, wave: str, sigma: str, key: str, seed: int = 42, column: str = "noisy") -> DataFrame:
     """Gaussian noise of each row's own ``sigma``, then clipped to [-1, 1]. Null sigma leaves the row."""
-    schema = T.StructType(list(df.schema.fields) + [T.StructField(column, T.ArrayType(T.DoubleType()))])
     draw = _gaussian(seed)
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def build() -> Callable:
         import numpy as np
 
-        def one(k: object, s: float, arr: object) -> object:
-            if arr is None:
-                return None
-            clean = np.asarray(arr, dtype="float64")
-            return clean if pd.isna(s) else clean + draw(k, len(clean), float(s))
+        def noisy(samples, sigma_of_row, key_of_row):
+            if sigma_of_row is None:
+                return samples
+            return np.clip(samples + draw(key_of_row, len(samples), sigma_of_row), -1.0, 1.0)
 
-        for batch in batches:
-            rows = zip(batch[key], batch[sigma], batch[wave])
-            yield batch.assign(**{column: [one(*r) for r in rows]})
+        return noisy
 
-    noisy = df.mapInPandas(task, schema)
-    return noisy.withColumn(
-        column, F.when(F.col(sigma).isNull(), F.col(column)).otherwise(clip_array(column))
-    )
+    return map_waves(df, wave, column, build, [sigma, key], "double")
 
 
 def _between(bounds: tuple[float, float], draw: Column) -> Column:

@@ -119,6 +119,20 @@ def zscore_array(spark: SparkSession, folder: str) -> DataFrame:
     return _waves(spark, folder).select("vec_id", checksum(arrays.zscore_array("embedding")).alias("scaled"))
 
 
+@query(
+    f"""
+WITH w AS (SELECT vec_id, list_concat(list_concat(list_resize([]::DOUBLE[], 8, 0), a), list_resize([]::DOUBLE[], 8, 0)) AS a FROM ({WAVE_SQL})),
+m AS (SELECT vec_id, a, list_avg(a) AS mean FROM w),
+s AS (SELECT vec_id, a, mean, sqrt(list_avg(list_transform(a, lambda x: (x - mean) * (x - mean))) + 1e-7::DOUBLE) AS sd FROM m)
+SELECT vec_id, 80 AS n, round(list_sum(list_transform(a, lambda x, i: (x - mean) / sd * i)), 6) AS scaled FROM s
+"""
+)
+def standardise_waves(spark: SparkSession, folder: str) -> DataFrame:
+    """Waveforms centred in 80 samples and normalised, over Arrow buffers."""
+    made = audio.standardise_waves(_waves(spark, folder), "embedding", 80, dtype="double")
+    return made.select("vec_id", F.size("input_values").alias("n"), checksum(F.col("input_values")).alias("scaled"))
+
+
 @query(
     f"""
 SELECT vec_id, 32 AS n, round(list_sum(list_transform(range(1, 33), lambda i: (a[2 * i - 1] + a[2 * i]) / 2 * i)), 6) AS mono

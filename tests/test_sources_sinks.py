@@ -7,6 +7,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from labelkit.functions.arrays import fix_length, zscore_array
 from labelkit.operators import audio, images
 from labelkit.operators.bounded import local_table
 from labelkit.sinks import writers
@@ -191,6 +192,18 @@ def test_augment(spark):
         assert (r.speed is not None) == (r.augmentation in ("speed", "all"))
 
 
+def test_standardised_waves_equal_the_column_form(spark):
+    rows = [(1, [1.0, 2.0, 4.0]), (2, []), (3, None), (4, [5.0])]
+    df = spark.createDataFrame(rows, "id int, w array<float>").repartition(1)
+    made = audio.standardise_waves(df, "w", 5, dtype="double").select("id", "w", "input_values", zscore_array(fix_length("w", 5)).alias("want"))
+    got = {r.id: r for r in made.collect()}
+    assert got[3].input_values is None and got[3].w is None
+    for i in (1, 2, 4):
+        assert got[i].input_values == pytest.approx(got[i].want)
+    free = {r.id: r.input_values for r in audio.standardise_waves(df, "w").collect()}
+    assert [len(free[i]) for i in (1, 2, 4)] == [3, 0, 1] and free[3] is None
+
+
 def test_rate_check(spark):
     df = spark.createDataFrame([(16000,), (8000,), (8000,)], "sampling_rate int")
     assert [tuple(r) for r in audio.rate_check(df, "sampling_rate").collect()] == [(8000, 2)]
