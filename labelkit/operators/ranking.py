@@ -1,9 +1,9 @@
 """Exact ranks and rank cuts that never sort a whole table, or a whole group, in one task.
 
 Rows are ordered by an md5 of (seed, key).  The first hex digits of that hash split every group
-into up to ``16**digits`` even buckets in rank order, so a group with a third of all rows is spread
-like any other.  Counts per bucket give the rank at which each bucket starts; only rows inside a
-bucket have to be sorted, and a cut has to look only into the bucket that holds it.
+into even buckets in rank order, so a group with a third of all rows is spread like any other.
+Counts per bucket give the rank at which each bucket starts; only rows inside a bucket have to be
+sorted, and a cut has to look only into the bucket that holds it.
 
 ``key`` must identify a row: rows with equal keys are interchangeable to every function here.
 """
@@ -18,7 +18,12 @@ from pyspark.sql import functions as F
 from labelkit.functions.hashing import hash_order
 from labelkit.operators.bounded import local_copy
 
-DIGITS = 4
+# Hex digits of the hash that name a bucket: where rows are ranked, and where a cut is looked for
+# first. A cut bucket with more rows than SORT_ROWS is looked into by REFINE_DIGITS more.
+RANK_DIGITS = 3
+CUT_DIGITS = 2
+REFINE_DIGITS = 3
+SORT_ROWS = 4_000_000
 
 
 def _names(by: str | Sequence[str] | None) -> list[str]:
@@ -36,19 +41,21 @@ def _group_keys(by: list[str]) -> dict[str, Column]:
     return {f"__g{i}": _group_key(c) for i, c in enumerate(by)} or {"__g0": F.lit("all")}
 
 
-def _keyed(df: DataFrame, key: str, by: list[str], seed: int, digits: int) -> DataFrame:
-    """Narrow table: group keys as __g0.., order hash, row key, bucket."""
+def _keyed(df: DataFrame, key: str, by: list[str], seed: int) -> DataFrame:
+    """Narrow table: group keys as __g0.., order hash, row key."""
     groups = [column.alias(name) for name, column in _group_keys(by).items()]
-    return df.select(*groups, hash_order(seed, key).alias("h"), F.col(key).alias("k")).withColumn(
-        "b", F.substring("h", 1, digits)
-    )
+    return df.select(*groups, hash_order(seed, key).alias("h"), F.col(key).alias("k"))
+
+
+def _bucket(digits: int) -> Column:
+    return F.substring("h", 1, digits)
 
 
-def _bucket_starts(keyed: DataFrame, groups: list[str]) -> DataFrame:
+def _bucket_starts(keyed: DataFrame, groups: list[str], digits: int) -> DataFrame:
     """Rows before each bucket and rows of the whole group; at most 16**digits rows per group."""
     order = Window.partitionBy(*groups).orderBy("b")
     whole = Window.partitionBy(*groups)
-    sizes = keyed.groupBy(*groups, "b").agg(F.count("*").alias("in_bucket"))
+    sizes = keyed.groupBy(*groups, _bucket(digits).alias("b")).agg(F.count("*").alias("in_bucket"))
     upto = F.sum("in_bucket").over(order.rowsBetween(Window.unboundedPreceding, 0))
     return sizes.withColumns(
         {"before": upto - F.col("in_bucket"), "n": F.sum("in_bucket").over(whole)}
@@ -61,7 +68,7 @@ def group_rank(
     by: str | Sequence[str] | None = None,
     seed: int = 42,
     rank: str = "rank",
-    digits: int = DIGITS,
+    digits: int = RANK_DIGITS,
 ) -> DataFrame:
     """1-based rank of every row in its group's seeded shuffle order.
 
@@ -72,7 +79,7 @@ def group_rank(
     rows = df.withColumns({**_group_keys(by), "__h": hash_order(seed, key)}).withColumn(
         "__b", F.substring("__h", 1, digits)
     )
-    starts = _bucket_starts(_keyed(df, key, by, seed, digits), groups).select(
+    starts = _bucket_starts(_keyed(df, key, by, seed), groups, digits).select(
         *groups, F.col("b").alias("__b"), F.col("before").alias("__before")
     )
     if not by:
@@ -89,26 +96,54 @@ def global_rank(df: DataFrame, key: str, seed: int = 42, rank: str = "rank") ->
     return group_rank(df, key, None, seed, rank)
 
 
+def _holds_cut() -> Column:
+    return (F.col("at") > F.col("before")) & (F.col("at") <= F.col("before") + F.col("in_bucket"))
+
+
+def _cut_buckets(
+    keyed: DataFrame, groups: list[str], cuts: Sequence[Callable[[Column], Column]], digits: int
+) -> DataFrame:
+    """The bucket that holds each cut: (groups, b, before, in_bucket, cut, at)."""
+    n = F.col("n").cast("double")
+    wanted = F.array(*[cut(n).cast("bigint") for cut in cuts])
+    return (
+        _bucket_starts(keyed, groups, digits)
+        .select(*groups, "b", "in_bucket", "before", F.posexplode(wanted).alias("cut", "at"))
+        .where(_holds_cut())
+    )
+
+
+def _refined(keyed: DataFrame, found: DataFrame, groups: list[str], digits: int) -> DataFrame:
+    """The same cuts in buckets of more digits; only rows of the cut buckets are counted."""
+    inside = keyed.withColumn("b", _bucket(digits)).join(found.drop("in_bucket"), [*groups, "b"], "inner")
+    sizes = inside.groupBy(*groups, "cut", "at", "before", _bucket(digits + REFINE_DIGITS).alias("b")).agg(
+        F.count("*").alias("in_bucket")
+    )
+    order = Window.partitionBy(*groups, "cut").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.sum("in_bucket").over(order)
+    return sizes.withColumn("before", F.col("before") + upto - F.col("in_bucket")).where(_holds_cut())
+
+
 def _thresholds(
-    keyed: DataFrame, groups: list[str], cuts: Sequence[Callable[[Column], Column]]
+    keyed: DataFrame, groups: list[str], cuts: Sequence[Callable[[Column], Column]], digits: int
 ) -> DataFrame:
     """Per group, the (hash, key) of the last row of each cut: columns __t0, __t1, ..
 
     A cut of zero rows has no such row and gives null.
     """
-    n = F.col("n").cast("double")
-    wanted = F.array(*[cut(n).cast("bigint") for cut in cuts])
-    targets = (
-        _bucket_starts(keyed, groups)
-        .select(*groups, "b", "in_bucket", "before", F.posexplode(wanted).alias("cut", "at"))
-        .where((F.col("at") > F.col("before")) & (F.col("at") <= F.col("before") + F.col("in_bucket")))
-        .select(*groups, "b", "before", "cut", "at")
-    )
-    local = local_copy(targets)
-    targets = targets if local is None else local
+    found = _cut_buckets(keyed, groups, cuts, digits)
+    local = local_copy(found)
+    if local is None:  # too many groups to look at: refine once in any case
+        found, digits = _refined(keyed, found, groups, digits), digits + REFINE_DIGITS
+    else:
+        found = local
+        while digits < 32 and found.where(F.col("in_bucket") > SORT_ROWS).limit(1).count():
+            # no more rows than there were buckets, so the copy fits again
+            found, digits = local_copy(_refined(keyed, found, groups, digits)), digits + REFINE_DIGITS
     inside = Window.partitionBy(*groups, "b", "cut").orderBy("h", "k")
     last = (
-        keyed.join(targets, [*groups, "b"], "inner")
+        keyed.withColumn("b", _bucket(digits))
+        .join(found.drop("in_bucket"), [*groups, "b"], "inner")
         .withColumn("r", F.col("before") + F.row_number().over(inside))
         .where(F.col("r") == F.col("at"))
     )
@@ -128,18 +163,19 @@ def split_at(
     by: str | Sequence[str] | None = None,
     seed: int = 42,
     column: str = "split",
-    digits: int = DIGITS,
+    digits: int = CUT_DIGITS,
 ) -> DataFrame:
     """Name the part each row falls in when its group is cut at the given ranks.
 
     ``cuts`` are rising functions of the group size, ``names`` has one more entry than ``cuts``.
-    Two passes over (group, key) find the last row of each part; the table itself is then labelled
-    by comparing hashes in a map-only pass, so wide rows are not shuffled.  With more groups than
+    Two passes over (group, key), more only for very large groups, find the last row of each part;
+    the table itself is then labelled by comparing hashes in a map-only pass, so wide rows are not
+    shuffled.  With more groups than
     fit a checked local table the thresholds are joined by shuffle.
     """
     by = _names(by)
     groups = list(_group_keys(by))
-    limits = _thresholds(_keyed(df, key, by, seed, digits), groups, cuts)
+    limits = _thresholds(_keyed(df, key, by, seed), groups, cuts, digits)
     local = local_copy(limits)
     place = F.struct(hash_order(seed, key).alias("h"), F.col(key).alias("k"))
 

@@ -58,6 +58,15 @@ def test_many_groups_take_the_shuffle_join(skewed, monkeypatch):
     assert sampling.random_split(skewed, "key", 0.2).where("split = 'test'").count() == math.ceil(918 * 0.2)
 
 
+def test_large_cut_buckets_are_refined(skewed, monkeypatch):
+    want = sorted((r.key, r.split) for r in sampling.three_way_split(skewed, "key").collect())
+    want_by = sorted((r.key, r.split) for r in sampling.stratified_split(skewed, "label", "key").collect())
+    monkeypatch.setattr(ranking, "SORT_ROWS", 0)
+    assert sorted((r.key, r.split) for r in sampling.three_way_split(skewed, "key").collect()) == want
+    monkeypatch.setattr(ranking, "SORT_ROWS", 1)
+    assert sorted((r.key, r.split) for r in sampling.stratified_split(skewed, "label", "key").collect()) == want_by
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 5, 10, 101])
 def test_rounding_rules(spark, n):
     rows = spark.range(n)
