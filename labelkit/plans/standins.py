@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelkit.functions.binding import let
 from labelkit.operators.bounded import local_table
 from labelkit.operators.sft import to_triples
 from labelkit.plans.registry import table
@@ -48,7 +49,7 @@ def frequent_hits(text: str) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w.isin(ALL_FREQUENT))
 
 
-def word_counts(hits: str, words: int | None = None) -> Column:
+def word_counts(hits: str | Column, words: int | None = None) -> Column:
     """Hits per language, of its first ``words`` words."""
 
     def count(chosen: list[str]) -> Column:
@@ -57,13 +58,18 @@ def word_counts(hits: str, words: int | None = None) -> Column:
     return F.array(*[count(list_[:words]) for list_ in FREQUENT_WORDS.values()])
 
 
-def language_of(counts: str, nothing: str = "others") -> Column:
+def language_of(counts: str | Column, nothing: str = "others") -> Column:
     """Language with most hits; list order wins ties, ``nothing`` if there is no hit."""
     top = F.array_max(counts)
     names = F.array(*[F.lit(name) for name in LANGUAGE_NAMES])
     return F.when(top > 0, F.element_at(names, F.array_position(counts, top).cast("int"))).otherwise(F.lit(nothing))
 
 
+def predict_language(text: str, words: int | None = None, nothing: str = "others") -> Column:
+    """The whole rule as one expression that reads the text once, also when a filter takes it over."""
+    return let(frequent_hits(text), lambda hits: let(word_counts(hits, words), lambda n: language_of(n, nothing)))
+
+
 def _word_count_sql(words: list[str]) -> str:
     return f"len(regexp_extract_all(w, ' ({'|'.join(words)}) '))"
 
@@ -84,8 +90,7 @@ PREDICTED_SQL = f"SELECT doc_id, lang, source, {word_rule_sql()} AS pred FROM ({
 
 def predicted(spark: SparkSession, folder: str) -> DataFrame:
     docs = spread(table(spark, folder, "documents").select("doc_id", "lang", "source", "text"), "doc_id")
-    counted = docs.withColumn("hits", frequent_hits("text")).withColumn("counts", word_counts("hits"))
-    return counted.select("doc_id", "lang", "source", language_of("counts").alias("pred"))
+    return docs.select("doc_id", "lang", "source", predict_language("text").alias("pred"))
 
 
 # -- logits and waveforms from embeddings ------------------------------------------------------

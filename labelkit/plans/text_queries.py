@@ -17,6 +17,7 @@ from labelkit.plans.standins import (
     response,
     triples,
 )
+from labelkit.sources.columns import spread
 
 STRIP_SQL = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 LIST_SQL = r"\[([\d,\s]+)\]@"
@@ -174,7 +175,8 @@ def exact_match(spark: SparkSession, folder: str) -> DataFrame:
     """Texts against twins that differ in white space, and for every third in a word."""
     spaced = F.concat(F.lit(" \n"), F.replace("text", F.lit(" "), F.lit("  ")), F.lit("\t"))
     twin = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" more"))).otherwise(spaced)
-    return table(spark, folder, "documents").select("doc_id", text.exact_match(twin, "text").alias("matched"))
+    docs = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    return docs.select("doc_id", text.exact_match(twin, "text").alias("matched"))
 
 
 @query(
