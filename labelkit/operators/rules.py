@@ -299,17 +299,17 @@ def similar_across(
     text: str = "text",
     source: str = "source",
     threshold: float = 0.8,
-    hashes: int = 32,
+    hashes: int = 48,
     band: int = 4,
     words: int = 3,
 ) -> DataFrame:
     """Posts that have an exact or near copy in another source: (key, likeness).
 
-    Each distinct text gets a MinHash signature of its word n-grams; ``band`` consecutive values
-    form a bucket key.  Instead of comparing the members of a bucket with each other, every member
-    is compared with one representative of another source (each bucket keeps the first member of
-    its first two sources), so a bucket of any size costs one comparison per member.  ``likeness``
-    is the best share of equal signature values found.
+    Each text gets a MinHash signature of its word n-grams, cut into bands of ``band`` values.  A
+    band agrees when any post of another source has the same one.  Two texts of Jaccard similarity
+    s agree in a band with probability s**band, so ``likeness`` is the share of agreeing bands to
+    the power 1/band; exact copies have 1.  Whether a band agrees is a count of sources per band
+    value: posts are never paired, and no partner is left out however many there are.
     """
     if hashes % band:
         raise ValueError("hashes must be a multiple of band")
@@ -321,44 +321,29 @@ def similar_across(
     grams = F.when(
         F.size("w") >= words, F.transform(F.sequence(F.lit(1), F.size("w") - (words - 1)), gram)
     ).otherwise(F.array(F.xxhash64(F.array_join("w", " "))))
-    # n-grams are folded into minima where the text is read; only signatures travel, and the
-    # copies a source holds of one text fold into the same row. Written once, read three times.
-    members = written(
+    n_bands = hashes // band
+    # n-grams are folded into minima where the text is read; only band values travel, and the
+    # copies a source holds of one text fold into the same row. Written once, read twice.
+    signed = (
         df.select(source, F.md5(F.col(text)).alias("m"), tokens.alias("w"))
         .select(source, "m", F.explode(grams).alias("g"))
         .groupBy("m", source)
         .agg(*[F.min(F.xxhash64("g", F.lit(s))).alias(f"s{s}") for s in range(hashes)])
-        .select("m", source, F.array(*[f"s{s}" for s in range(hashes)]).alias("sig")),
-        "signatures",
     )
-    bands = F.array(*[F.xxhash64(F.slice("sig", 1 + i, band)) for i in range(0, hashes, band)])
-    buckets = members.select("m", source, F.posexplode(bands).alias("band", "bucket"))
-    heads = buckets.groupBy("band", "bucket", source).agg(F.min("m").alias("head"))
-    by_source = Window.partitionBy("band", "bucket").orderBy(source)
-    first_two = (
-        heads.withColumn("rn", F.row_number().over(by_source))
-        .where(F.col("rn") <= 2)
-        .groupBy("band", "bucket")
-        .agg(
-            F.max(F.when(F.col("rn") == 1, F.col(source))).alias("src1"),
-            F.max(F.when(F.col("rn") == 1, F.col("head"))).alias("head1"),
-            F.max(F.when(F.col("rn") == 2, F.col("head"))).alias("head2"),
-        )
-        .where(F.col("head2").isNotNull())
+    bands = F.array(*[F.xxhash64(*[f"s{i * band + j}" for j in range(band)]) for i in range(n_bands)])
+    buckets = written(
+        signed.select("m", source, F.posexplode(bands).alias("band", "bucket")), "bands"
     )
-    other = F.when(F.col(source) == F.col("src1"), F.col("head2")).otherwise(F.col("head1"))
-    chosen = (
-        buckets.join(first_two, ["band", "bucket"]).select("m", source, other.alias("other")).distinct()
+    # distinct sources first, so a band value held by very many posts shrinks before it is counted
+    shared = (
+        buckets.groupBy("band", "bucket", source).agg(F.lit(1).alias("one"))
+        .groupBy("band", "bucket").agg(F.count("*").alias("n_sources"))
+        .where(F.col("n_sources") > 1)
     )
-    mine = members.select("m", source, "sig")
-    theirs = members.groupBy(F.col("m").alias("other")).agg(F.first("sig").alias("other_sig"))
-    same = F.zip_with("sig", "other_sig", lambda a, b: (a == b).cast("int"))
-    likeness = F.aggregate(same, F.lit(0), lambda acc, x: acc + x) / F.lit(float(hashes))
     found = (
-        chosen.join(mine, ["m", source])
-        .join(theirs, "other")
+        buckets.join(shared, ["band", "bucket"], "left_semi")
         .groupBy("m", source)
-        .agg(F.max(likeness).alias("likeness"))
+        .agg(F.pow(F.count("*") / F.lit(float(n_bands)), F.lit(1.0 / band)).alias("likeness"))
         .where(F.col("likeness") >= threshold)
     )
     posts = df.select(key, source, F.md5(F.col(text)).alias("m"))

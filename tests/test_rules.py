@@ -162,31 +162,62 @@ def test_exact_copies(spark):
     assert [(x.n_posts, x.n_sources) for x in got] == [(3, 2)]
 
 
-def test_similar_posts_are_found_without_comparing_a_bucket_with_itself(spark):
+def _brute_force_likeness(rows, hashes=48, band=4, words=3):
+    """The same definition with public xxHash64 over all pairs of posts."""
+    import struct as st
+
+    import xxhash
+
+    def signed(x):
+        return x - (1 << 64) if x >= 1 << 63 else x
+
+    def h(data, seed):
+        return xxhash.xxh64_intdigest(data, seed=seed & (1 << 64) - 1)
+
+    def signature(text):
+        import re
+
+        w = re.findall(r"\w+", text.lower())
+        if len(w) >= words:
+            grams = []
+            for i in range(len(w) - words + 1):
+                seed = 42
+                for part in w[i:i + words]:
+                    seed = h(part.encode(), seed)
+                grams.append(seed)
+        else:
+            grams = [h(" ".join(w).encode(), 42)]
+        mins = [min(signed(h(st.pack("<i", s), h(st.pack("<Q", g), 42))) for g in grams) for s in range(hashes)]
+        return [tuple(mins[i:i + band]) for i in range(0, hashes, band)]
+
+    bands = [(key, source, signature(text)) for key, text, source in rows]
+    likeness = {}
+    for key, source, mine in bands:
+        agree = sum(any(b[i] == mine[i] for _, s, b in bands if s != source) for i in range(len(mine)))
+        likeness[key] = (agree / len(mine)) ** (1 / band)
+    return likeness
+
+
+def test_similar_posts_equal_brute_force_over_all_pairs(spark):
     import random
 
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
-    base = [word() for _ in range(200)]
+    base = [word() for _ in range(60)]
     rows = []
-    for i in range(60):  # hot group: near copies, one word changed, spread over three sources
+    for i in range(40):  # hot group: copies with 0 to 9 words changed, spread over three sources
         words = list(base)
-        words[rng.randrange(200)] = word()
+        for _ in range(i % 10):
+            words[rng.randrange(60)] = word()
         rows.append((i, " ".join(words), f"s{i % 3}"))
-    rows += [(100 + i, " ".join(word() for _ in range(200)), f"s{i % 3}") for i in range(60)]
-    alone = [word() for _ in range(50)]
-    rows += [(300, " ".join(alone), "s0"), (301, " ".join(alone), "s0")]  # copies in one source only
+    rows += [(100 + i, " ".join(word() for _ in range(60)), f"s{i % 3}") for i in range(20)]
+    alone = " ".join(word() for _ in range(50))
+    rows += [(300, alone, "s0"), (301, alone, "s0")]  # copies in one source only
     rows += [(400, "two words", "s0"), (401, "TWO  words", "s1"), (402, "", "s0")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    want = {k: v for k, v in _brute_force_likeness(rows).items() if v >= 0.8}
     found = {x.doc_id: x.likeness for x in r.similar_across(df).collect()}
-    assert set(found) == set(range(60)) | {400, 401}
-    assert found[400] == 1.0
-
-    def grams(text):
-        w = text.lower().split()
-        return {tuple(w[i:i + 3]) for i in range(len(w) - 2)}
-
-    for i, text, source in rows[:60]:  # brute force over the true similarity
-        mine = grams(text)
-        best = max(len(mine & g) / len(mine | g) for j, t, s in rows if s != source and (g := grams(t)) is not None and j < 200)
-        assert abs(best - found[i]) < 0.25
+    assert found == pytest.approx(want)
+    assert found[0] == found[400] == found[401] == 1.0
+    assert not {300, 301, 402} & set(found) and not any(100 <= k < 120 for k in found)
+    assert len(found) > 20
