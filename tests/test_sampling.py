@@ -108,6 +108,12 @@ def test_row_at_and_head(spark):
     assert [r["id"] for r in sampling.head_n(rows, "id", 2).collect()] == [0, 1]
 
 
+def test_row_or_error(spark):
+    rows = spark.range(5).withColumn("t", F.lit("x"))
+    assert tuple(sampling.row_or_error(rows, "id", 2).first()) == (2, "x", "OK", None)
+    assert tuple(sampling.row_or_error(rows, "id", 9).first()) == (None, None, "ERROR", "index 9 is out of range")
+
+
 def test_keep_split(spark):
     assert sampling.keep_split(spark.range(5), spark.range(2, 4), "id").count() == 2
 

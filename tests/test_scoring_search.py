@@ -127,3 +127,9 @@ def test_demos_grid_and_fewshot(spark, dev):
         search.render_fewshot(dev, "label", "label", "id", 101)
     tried = search.try_inputs(spark.createDataFrame([("a",)], "text string"), F.upper("text"))
     assert tuple(tried.first()) == ("a", "A")
+
+
+def test_prompts_are_attached_by_id(spark):
+    prompts = search.prompt_table(spark, ["a", "b"])
+    rows = spark.createDataFrame([(1, 1), (2, 7)], "id int, prompt_id int")
+    assert {r.id: r.prompt for r in search.attach_prompt(rows, prompts).collect()} == {1: "b", 2: None}
