@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,14 +30,16 @@ def build_session(app: str = "labelkit", master: str | None = None, **extra: str
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder.
+    """A fresh folder below the cluster's shared checkpoint folder, ``spark.checkpoint.dir``.
 
-    The folder comes from ``spark.checkpoint.dir``.  A machine-local folder is taken only where
-    that setting is absent, which is the case in local tests and never on a cluster.
+    Where that setting is absent, a single-process session (``local[n]``) gets a folder of its own;
+    any other session is told to set it, because executors would not see each other's files.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        return tempfile.mkdtemp(prefix=f"labelkit-{purpose}-")
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = os.path.join(tempfile.gettempdir(), "labelkit-checkpoints")
     unique = f"{purpose}-{spark.sparkContext.applicationId}-{os.urandom(8).hex()}"
     return f"{root.rstrip('/')}/labelkit/{unique}"
 
