@@ -1,6 +1,6 @@
 """Operations of a large training-data pipeline. Nothing else in the library imports this subpackage."""
 
-from labelkit.llm import decontaminate, jaccard, licenses, lines, packing, quality, secrets  # noqa: F401
+from labelkit.llm import decontaminate, jaccard, licenses, lines, packing, quality, secrets, warc  # noqa: F401
 from labelkit.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
