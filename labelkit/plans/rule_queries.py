@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -184,9 +186,14 @@ def rule_offtopic(spark: SparkSession, folder: str) -> DataFrame:
 # -- streams -----------------------------------------------------------------------------------
 
 
-def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    schema = table(spark, folder, "events").schema
-    return jobs.read_files(spark, folder, schema, "events.parquet")
+def _event_stream(spark: SparkSession, folder: str, closing: str | None = None) -> DataFrame:
+    return jobs.read_files(spark, f"{folder.rstrip('/')}/events.parquet", table(spark, folder, "events").schema, closing)
+
+
+def _closed(spark: SparkSession, folder: str, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The job's whole result over the table as a bounded stream."""
+    closing = shared_dir(spark, "closing")
+    return jobs.run_available(job(_event_stream(spark, folder, closing)), "append", closing=closing)
 
 
 def _ntz(*names: str) -> list[Column]:
@@ -198,20 +205,19 @@ def _ntz(*names: str) -> list[Column]:
 WITH w AS (SELECT user_id, event_type, time_bucket(INTERVAL 10 MINUTE, ts) - to_minutes(10 * k) AS start
            FROM events, range(6) AS r(k)),
 n AS (SELECT user_id, md5(event_type) AS message_key, start, start + INTERVAL 1 HOUR AS "end", count(*) AS n FROM w GROUP BY ALL)
-SELECT * FROM n WHERE n >= 2 AND "end" <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)
+SELECT * FROM n WHERE n >= 2
 """
 )
 def stream_repeat_sliding(spark: SparkSession, folder: str) -> DataFrame:
-    """Repeats in sliding hours, of all windows the watermark has closed."""
-    found = jobs.repeats_sliding(_event_stream(spark, folder), "user_id", "event_type", "ts")
-    done = jobs.run_available(found, "append")
+    """Repeats in sliding hours."""
+    done = _closed(spark, folder, lambda df: jobs.repeats_sliding(df, "user_id", "event_type", "ts"))
     return done.select("user_id", "message_key", *_ntz("start", "end"), "n")
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_label_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Live label counts per hour."""
-    done = jobs.run_available(jobs.label_counts(_event_stream(spark, folder), "event_type", "ts"), "complete")
+    done = _closed(spark, folder, lambda df: jobs.label_counts(df, "event_type", "ts"))
     return done.select(*_ntz("start"), "event_type", "n")
 
 
@@ -225,7 +231,7 @@ SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*
 )
 def stream_sessions(spark: SparkSession, folder: str) -> DataFrame:
     """Bursts of an author's posts."""
-    done = jobs.run_available(jobs.bursts(_event_stream(spark, folder), "user_id", "ts"), "complete")
+    done = _closed(spark, folder, lambda df: jobs.bursts(df, "user_id", "ts"))
     return done.select("user_id", *_ntz("start", "end"), "n")
 
 
@@ -238,8 +244,8 @@ FROM events
 )
 def stream_repeat_state(spark: SparkSession, folder: str) -> DataFrame:
     """First posts and repeats within the hour, with keyed state."""
-    found = jobs.first_and_repeats(_event_stream(spark, folder), "user_id", "event_type", "ts", "event_id")
-    return jobs.run_available(found, "append").select("author", "post", "is_repeat")
+    done = _closed(spark, folder, lambda df: jobs.first_and_repeats(df, "user_id", "event_type", "ts", "event_id"))
+    return done.select("author", "post", "is_repeat")
 
 
 @query(

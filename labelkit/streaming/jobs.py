@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from labelkit.functions.text import squeeze
 from labelkit.session import SETTINGS, shared_dir
 
+CLOSES = "closes_"
+FAR = "9000-01-01 00:00:00"
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -24,16 +26,33 @@ def read_files(
     spark: SparkSession,
     path: str,
     schema: T.StructType | str,
-    glob: str | None = None,
-    max_files: int = 1000,
+    closing: str | None = None,
+    max_files: int | None = None,
 ) -> DataFrame:
-    """Parquet files of a folder as a stream; ``max_files`` bounds what one micro-batch takes on."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-    return (reader.option("pathGlobFilter", glob) if glob else reader).parquet(path)
+    """A parquet table (one file or a folder of part files) as a stream.
+
+    ``max_files`` bounds what one micro-batch takes on.  ``closing`` names a folder beside the input
+    whose rows only move the watermark: ``run_available`` writes one there when a bounded input is
+    done, so that windows and held rows still open are given out.  Such rows have nulls in all
+    columns but the event time, and ``with_event_time`` takes them out.
+    """
+    reader = spark.readStream.schema(schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    rows = reader.parquet(path)
+    if closing is None:
+        return rows
+    spark.createDataFrame([], rows.schema).withColumn(CLOSES, F.lit(True)).write.mode("append").parquet(closing)
+    marks = spark.readStream.schema(T.StructType([*rows.schema.fields, T.StructField(CLOSES, T.BooleanType())])).parquet(closing)
+    return rows.withColumn(CLOSES, F.lit(False)).unionByName(marks)
 
 
 def with_event_time(df: DataFrame, ts: str, delay: str) -> DataFrame:
-    return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+    timed = df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay) if df.isStreaming else df.withColumn(ts, F.col(ts).cast("timestamp"))
+    if CLOSES not in df.columns:
+        return timed
+    # the condition names the event time, or it would be moved below the watermark and marks would not be seen
+    return timed.where(~F.col(CLOSES) | (F.col(ts) < F.lit(FAR).cast("timestamp"))).drop(CLOSES)
 
 
 def repeats_sliding(
@@ -86,14 +105,13 @@ def first_and_repeats(
     delay: str = "2 hours",
     buckets: int = 256,
 ) -> DataFrame:
-    """Every post with ``is_repeat``: the author sent this message within the last ``seconds``.
-
-    Authors and messages are hashed into ``buckets`` groups, and each group keeps one table of the
-    latest time seen per author and message, so a micro-batch costs one state access per group and
-    its posts are judged as columns.  Entries leave that table once the watermark is past their
-    hour.  A task holds one group's share of a micro-batch, which ``read_files`` bounds.  Within a
-    micro-batch posts are judged in event order; one that arrives in a later batch than a newer
-    post counts as its repeat.
+    """Every post with ``is_repeat``: the author sent this message within the last ``seconds`` before it.
+
+    Posts are held until the watermark passes them and are then judged in event order, so the answer
+    depends on their times alone, not on how they fell into micro-batches.  Authors and messages are
+    hashed into ``buckets`` groups; each keeps its held posts and one table of the latest time per
+    author and message, so a micro-batch costs one state access per group.  Entries leave the table
+    once the watermark is past their hour.  Posts later than ``delay`` are dropped, as in any window.
     """
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -113,39 +131,45 @@ def first_and_repeats(
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
             self.last = handle.getValueState("last", "threads array<string>, at array<bigint>")
+            self.held = handle.getListState("held", "author string, thread string, post bigint, at bigint")
 
-        def _load(self) -> pd.Series:
+        def _seen(self) -> pd.Series:
             kept = self.last.get()
             return pd.Series(dtype="int64") if kept is None else pd.Series(list(kept[1]), index=list(kept[0]), dtype="int64")
 
-        def _store(self, seen: pd.Series, watermark_ms: int, had_timer: bool) -> None:
-            seen = seen[seen >= watermark_ms * 1000 - gap_us]
-            if seen.empty:
-                self.last.clear()
-                return
-            self.last.update((seen.index.tolist(), [int(v) for v in seen]))
-            if not had_timer:
-                self.handle.registerTimer(int(seen.max() + gap_us) // 1000 + 1)
-
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            posts = pd.concat(list(rows), ignore_index=True).sort_values(["thread", "at", "post"])
-            seen = self._load()
-            stored = posts["thread"].map(seen)
-            previous = np.fmax(posts.groupby("thread")["at"].shift(1), stored)
-            latest = posts.groupby("thread")["at"].max()
-            merged = pd.concat([seen, latest]).groupby(level=0).max()
-            self._store(merged, timerValues.getCurrentWatermarkInMs(), had_timer=not seen.empty)
-            yield pd.DataFrame(
-                {
-                    "author": posts["author"],
-                    "post": posts["post"],
-                    "is_repeat": (posts["at"] - previous) <= gap_us,
-                }
-            )
+            latest = None
+            for batch in rows:
+                held = batch[["author", "thread", "post", "at"]]
+                self.held.appendList([(a, t, None if pd.isna(p) else int(p), int(w)) for a, t, p, w in held.itertuples(index=False)])
+                newest = int(held["at"].max())
+                latest = newest if latest is None else max(latest, newest)
+            if latest is not None:
+                self.handle.registerTimer(latest // 1000 + 1)
+            yield pd.DataFrame()
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            self._store(self._load(), timerValues.getCurrentWatermarkInMs(), had_timer=False)
-            yield pd.DataFrame()
+            passed = timerValues.getCurrentWatermarkInMs() * 1000
+            posts = pd.DataFrame(list(self.held.get()), columns=["author", "thread", "post", "at"])
+            if posts.empty:
+                yield pd.DataFrame()
+                return
+            due = posts["at"] < passed
+            later = posts[~due]
+            self.held.clear()
+            if len(later):
+                self.held.put([(a, t, None if pd.isna(p) else int(p), int(w)) for a, t, p, w in later.itertuples(index=False)])
+            posts = posts[due].sort_values(["thread", "at", "post"])
+            seen = self._seen()
+            previous = np.fmax(posts.groupby("thread")["at"].shift(1), posts["thread"].map(seen))
+            merged = pd.concat([seen, posts.groupby("thread")["at"].max()]).groupby(level=0).max()
+            merged = merged[merged >= passed - gap_us]
+            if merged.empty:
+                self.last.clear()
+            else:
+                self.last.update((merged.index.tolist(), [int(v) for v in merged]))
+                self.handle.registerTimer(int(merged.max() + gap_us) // 1000 + 1)
+            yield pd.DataFrame({"author": posts["author"], "post": posts["post"], "is_repeat": (posts["at"] - previous) <= gap_us})
 
         def close(self) -> None:
             pass
@@ -165,26 +189,40 @@ def score_stream(df: DataFrame, steps: Callable[[DataFrame], DataFrame], path: s
     return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def run_available(stream: DataFrame, mode: str = "append", out: str | None = None) -> DataFrame:
-    """Run a stream over all input there is now and return what its sink holds.
+def run_available(
+    stream: DataFrame, mode: str = "append", out: str | None = None, closing: str | None = None, ts: str = "ts"
+) -> DataFrame:
+    """Run a stream over all input there is now and return what its sink holds; no input gives no rows.
 
     Results are written as parquet by the executors: each batch adds its own folder in append mode,
-    and replaces the previous result in complete mode.
+    and replaces the previous result in complete mode.  With ``closing`` (see ``read_files``) the
+    input is taken as complete: a mark far in the future is written there and the stream runs once
+    more, which closes what is open.
     """
     spark = stream.sparkSession
     spark.conf.set(STATE_STORE, SETTINGS[STATE_STORE])
     base = out or shared_dir(spark, "stream")
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{base}/data/none")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         part = f"batch_id={batch_id}" if mode == "append" else "latest"
         batch.write.mode("overwrite").parquet(f"{base}/data/{part}")
 
-    query = (
-        stream.writeStream.outputMode(mode)
-        .foreachBatch(write)
-        .option("checkpointLocation", f"{base}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    def once() -> None:
+        query = (
+            stream.writeStream.outputMode(mode)
+            .foreachBatch(write)
+            .option("checkpointLocation", f"{base}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+
+    once()
+    if closing is not None:
+        marks = spark.read.parquet(closing)
+        mark = [F.lit(None).cast(f.dataType).alias(f.name) for f in marks.schema if f.name not in (ts, CLOSES)]
+        at = F.lit(FAR).cast(marks.schema[ts].dataType).alias(ts)
+        spark.range(1).select(*mark, at, F.lit(True).alias(CLOSES)).write.mode("append").parquet(closing)
+        once()
     return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{base}/data")

@@ -26,19 +26,56 @@ def _land(spark, path, batches):
     return jobs.read_files(spark, f"{path}/*", SCHEMA, max_files=1)
 
 
-def test_repeats_are_judged_across_batches(spark, tmp_path):
-    stream = _land(
-        spark,
-        str(tmp_path / "in"),
-        [
-            [(1, 1, "x", 0), (2, 1, "X ", 59), (3, 2, "x", 30)],
-            [(4, 1, "x", 110), (5, 1, "y", 110), (6, 2, "x", 91)],
-            [(7, 1, "x", 171), (8, 1, "y", 400)],
-        ],
-    )
-    done = jobs.run_available(jobs.first_and_repeats(stream, "author", "message", "ts", "id", buckets=4))
-    got = {r.post: r.is_repeat for r in done.collect()}
-    assert got == {1: False, 2: True, 3: False, 4: True, 5: False, 6: False, 7: False, 8: False}
+def _jobs():
+    return {
+        "repeats": lambda df: jobs.first_and_repeats(df, "author", "message", "ts", "id", buckets=4, delay="30 days"),
+        "sliding": lambda df: jobs.repeats_sliding(df, "author", "message", "ts", delay="30 days"),
+        "counts": lambda df: jobs.label_counts(df, "message", "ts", delay="30 days"),
+        "sessions": lambda df: jobs.bursts(df, "author", "ts", "15 minutes", delay="30 days"),
+    }
+
+
+def _written(spark, path, files, seed):
+    import random
+
+    rng = random.Random(7)
+    rows = [(i, rng.randrange(3), rng.choice("xy"), rng.randrange(900)) for i in range(80)]
+    random.Random(seed).shuffle(rows)
+    made = [(n, a, m, T0 + datetime.timedelta(minutes=minute)) for n, a, m, minute in rows]
+    for k in range(files):
+        spark.createDataFrame(made[k::files], SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+@pytest.mark.parametrize("name", ["repeats", "sliding", "counts", "sessions"])
+def test_answers_do_not_depend_on_files_or_batches(spark, tmp_path, name):
+    results = []
+    for files, per_batch in ((1, None), (3, 1), (10, None), (10, 4)):
+        path = _written(spark, str(tmp_path / f"in{len(results)}"), files, files)
+        closing = str(tmp_path / f"closing{len(results)}")
+        stream = _jobs()[name](jobs.read_files(spark, path, SCHEMA, closing, per_batch))
+        results.append(sorted(map(tuple, jobs.run_available(stream, closing=closing).collect()), key=str))
+    assert results[0] and all(r == results[0] for r in results)
+
+
+def test_repeats_equal_a_loop(spark, tmp_path):
+    path = _written(spark, str(tmp_path / "in"), 3, 1)
+    rows = sorted(spark.read.parquet(path).collect(), key=lambda r: (r.ts, r.id))
+    want, last = {}, {}
+    for r in rows:
+        before = last.get((r.author, r.message))
+        want[r.id] = before is not None and r.ts - before <= datetime.timedelta(hours=1)
+        last[r.author, r.message] = r.ts
+    closing = str(tmp_path / "closing")
+    done = jobs.run_available(_jobs()["repeats"](jobs.read_files(spark, path, SCHEMA, closing, 1)), closing=closing)
+    assert {r.post: r.is_repeat for r in done.collect()} == want
+
+
+def test_no_input_gives_no_rows(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "in"))
+    closing = str(tmp_path / "closing")
+    stream = _jobs()["counts"](jobs.read_files(spark, str(tmp_path / "in"), SCHEMA, closing))
+    assert jobs.run_available(stream, closing=closing).count() == 0
 
 
 def test_late_rows_are_dropped_and_windows_close(spark, tmp_path):
