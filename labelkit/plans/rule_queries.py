@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from labelkit.operators import rules, scoring
 from labelkit.plans.registry import query, table
 from labelkit.session import shared_dir
-from labelkit.sources.columns import spread
 from labelkit.streaming import jobs
 
 # Wording that occurs in the driver's documents, in the place of the default rules.
@@ -37,7 +36,7 @@ def _rules(spark: SparkSession) -> list[rules.Rule]:
 
 
 def _docs(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    return table(spark, folder, "documents").select("doc_id", "text")
 
 
 @query(f"SELECT doc_id, rule_id, evidence FROM ({HITS_SQL})")
@@ -107,11 +106,23 @@ def dup_exact_across(spark: SparkSession, folder: str) -> DataFrame:
     return rules.copies_across(table(spark, folder, "documents"))
 
 
-@query()
+@query(
+    r"""
+WITH t AS (SELECT DISTINCT text, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
+g AS (SELECT DISTINCT text, array_to_string(w[p : p + least(len(w), 3) - 1], ' ') AS g
+      FROM (SELECT text, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS p FROM t WHERE len(w) > 0)),
+n AS (SELECT text, count(*) AS n FROM g GROUP BY text),
+c AS (SELECT a.text AS x, b.text AS y, count(*) AS c FROM g a JOIN g b USING (g) GROUP BY ALL),
+j AS (SELECT x, y, CASE WHEN x = y THEN 1.0::DOUBLE ELSE c / (nx.n + ny.n - c)::DOUBLE END AS j
+      FROM c JOIN n nx ON nx.text = x JOIN n ny ON ny.text = y),
+s AS (SELECT DISTINCT text, source FROM documents)
+SELECT d.doc_id, max(j) AS likeness FROM documents d JOIN j ON d.text = x JOIN s ON s.text = y AND s.source <> d.source
+WHERE j >= 0.8 GROUP BY d.doc_id
+"""
+)
 def dup_near(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with an exact or near copy in another source."""
-    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
-    return rules.similar_across(spread(docs, "doc_id"))
+    return rules.similar_across(table(spark, folder, "documents").select("doc_id", "source", "text"))
 
 
 @query(

@@ -16,19 +16,19 @@ def default_rules(spark):
 
 
 HITS = {
-    "commercial": ("Use my PROMO code SAVE5 at checkout", "the code of this promo video does not compile"),
-    "clickbait": ("tap here for a totally free console", "the console has a free slot here"),
-    "referral": ("take my referral code XYZ", "she referred to the code"),
-    "bait": ("like and share this post", "I like this post"),
-    "self_promotion": ("come by, my channel is new", "which channel is on"),
+    "commercial": ("every VOUCHER works until Sunday", "the price tag fell off the shelf"),
+    "clickbait": ("this one trick saves your lawn", "a magician showed us a trick"),
+    "referral": ("refer a friend and both are happy", "my friend referred to the manual"),
+    "bait": ("tag five friends below", "five friends came along"),
+    "self_promotion": ("read my newsletter tonight", "the newsletter was late"),
 }
 ALLOWED = {
-    "item_talk": "farming gold, like and share the route",
-    "team_up": "need 2 more players, follow to join",
-    "achievement": "finally beat it, my video is up",
-    "help_request": "anyone else getting drops after the promo code fix?",
-    "free_event": "hosting a free-for-all tournament, share to invite",
-    "context_share": "my video explaining how to beat this boss",
+    "item_talk": "smelting ore all day, then voucher hunting",
+    "team_up": "two slots open in our raid, tag three friends",
+    "achievement": "new personal best, details on my blog",
+    "help_request": "how do I fix the voucher screen?",
+    "free_event": "charity cup on Friday with no entry fee, repost this",
+    "context_share": "walkthrough of the swamp on my podcast",
 }
 
 
@@ -38,7 +38,7 @@ def test_each_pattern_rule_hits_and_nearly_misses(spark, default_rules):
     got = {(x.msg_id, x.rule_id) for x in r.pattern_hits(df, default_rules).collect()}
     assert got == {(2 * i, name) for i, name in enumerate(HITS)}
     evidence = {x.rule_id: x.evidence for x in r.pattern_hits(df, default_rules).collect()}
-    assert evidence["commercial"] == "PROMO code"
+    assert evidence["commercial"] == "VOUCHER"
 
 
 def test_exclusions_clear_hits(spark, default_rules):
@@ -51,8 +51,8 @@ def test_exclusions_clear_hits(spark, default_rules):
 
 
 def test_verdict_sums_weights_and_takes_column_rules(spark, default_rules):
-    text = "my channel: use promo code A, see https://x.example"
-    df = spark.createDataFrame([(1, text), (2, None), (3, "my stream")], "msg_id int, text string")
+    text = "my blog: wholesale boxes, see https://x.example"
+    df = spark.createDataFrame([(1, text), (2, None), (3, "my podcast")], "msg_id int, text string")
     extra = {"bare_link": (r.bare_links("text", 20), 0.25)}
     got = {x.msg_id: (x.score, x.rule_ids, x.is_spam) for x in r.verdicts(df, default_rules, extra=extra).collect()}
     assert got[1] == (1.75, ["bare_link", "commercial", "self_promotion"], True)
@@ -60,10 +60,9 @@ def test_verdict_sums_weights_and_takes_column_rules(spark, default_rules):
     assert got[3] == (0.5, ["self_promotion"], False)
 
 
-def test_too_many_rules_are_refused(spark):
-    table = spark.range(5).select(F.lit("x").alias("rule_id"), F.lit("hit").alias("kind"), F.lit("x").alias("pattern"), F.lit(1.0).alias("weight"))
-    with pytest.raises(ValueError):
-        r.load_rules(table, max_rules=4)
+def test_rule_tables_have_no_limit(spark):
+    table = spark.range(1500).select(F.col("id").cast("string").alias("rule_id"), F.lit("hit").alias("kind"), F.lit("x").alias("pattern"), F.lit(1.0).alias("weight"))
+    assert len(r.load_rules(table)) == 1500
 
 
 @pytest.mark.parametrize(
@@ -162,40 +161,18 @@ def test_exact_copies(spark):
     assert [(x.n_posts, x.n_sources) for x in got] == [(3, 2)]
 
 
-def _brute_force_likeness(rows, hashes=48, band=4, words=3):
-    """The same definition with public xxHash64 over all pairs of posts."""
-    import struct as st
-
-    import xxhash
-
-    def signed(x):
-        return x - (1 << 64) if x >= 1 << 63 else x
-
-    def h(data, seed):
-        return xxhash.xxh64_intdigest(data, seed=seed & (1 << 64) - 1)
-
-    def signature(text):
-        import re
+def _brute_force_likeness(rows, words=3):
+    """Largest true Jaccard similarity with a post of another source."""
+    import re
 
+    def grams(text):
         w = re.findall(r"\w+", text.lower())
-        if len(w) >= words:
-            grams = []
-            for i in range(len(w) - words + 1):
-                seed = 42
-                for part in w[i:i + words]:
-                    seed = h(part.encode(), seed)
-                grams.append(seed)
-        else:
-            grams = [h(" ".join(w).encode(), 42)]
-        mins = [min(signed(h(st.pack("<i", s), h(st.pack("<Q", g), 42))) for g in grams) for s in range(hashes)]
-        return [tuple(mins[i:i + band]) for i in range(0, hashes, band)]
-
-    bands = [(key, source, signature(text)) for key, text, source in rows]
-    likeness = {}
-    for key, source, mine in bands:
-        agree = sum(any(b[i] == mine[i] for _, s, b in bands if s != source) for i in range(len(mine)))
-        likeness[key] = (agree / len(mine)) ** (1 / band)
-    return likeness
+        return {tuple(w[i:i + words]) for i in range(len(w) - words + 1)} if len(w) >= words else ({tuple(w)} if w else set())
+
+    sets = [(key, source, grams(text)) for key, text, source in rows]
+    return {
+        key: max((len(mine & x) / len(mine | x) for _, s, x in sets if s != source and mine and x), default=0.0) for key, source, mine in sets
+    }
 
 
 def test_similar_posts_equal_brute_force_over_all_pairs(spark):
@@ -220,4 +197,4 @@ def test_similar_posts_equal_brute_force_over_all_pairs(spark):
     assert found == pytest.approx(want)
     assert found[0] == found[400] == found[401] == 1.0
     assert not {300, 301, 402} & set(found) and not any(100 <= k < 120 for k in found)
-    assert len(found) > 20
+    assert len(found) > 10
