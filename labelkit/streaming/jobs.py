@@ -39,7 +39,12 @@ def read_files(
     reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    rows = reader.parquet(path)
+    folder, _, name = path.rstrip("/").rpartition("/")
+    first = None if "*" in path else spark.read.schema(schema).parquet(path).select("_metadata.file_path").first()
+    if first is not None and first["file_path"].rstrip("/").endswith(f"/{name}"):  # the table is one file
+        rows = reader.option("pathGlobFilter", name).parquet(folder)
+    else:
+        rows = reader.parquet(path)
     if closing is None:
         return rows
     spark.createDataFrame([], rows.schema).withColumn(CLOSES, F.lit(True)).write.mode("append").parquet(closing)
