@@ -104,7 +104,12 @@ def classification_report(df: DataFrame, label: str, pred: str, by: Sequence[str
     The class set is the union of true and predicted classes, also for the macro average.  The
     three summary rows and the class rows share one confusion aggregate.
     """
-    classes = per_class(confusion(df, label, pred, by), by)
+    return report_of_counts(confusion(df, label, pred, by), by)
+
+
+def report_of_counts(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The report from (label, pred, n) counts, however they were made."""
+    classes = per_class(pairs, by)
     rows = classes.select(*by, F.col("class").alias("name"), "precision", "recall", "f1", F.col("n_true").alias("support"))
     totals = classes.groupBy(*by).agg(
         _ratio(F.sum("tp"), F.sum("n_true")).alias("acc"),
@@ -192,13 +197,10 @@ def multilabel_prf(detail: DataFrame, categories: Sequence[str]) -> DataFrame:
 
 def prediction_summary(df: DataFrame, prediction: str = "prediction", error: str = "ERROR") -> DataFrame:
     """How often each label was predicted, and its share of all rows, failed rows included."""
-    shown = (
-        df.where(F.col(prediction) != error)
-        .select(F.explode(split_labels(prediction)).alias("category"))
-        .groupBy("category")
-        .agg(F.count("*").alias("n"))
-    )
-    total = df.agg(F.count("*").cast("double").alias("total"))
-    return shown.withColumn("pct", F.round(100.0 * F.col("n") / total.scalar(), 1)).orderBy(
+    counts = df.groupBy(F.col(prediction).alias("p")).agg(F.count("*").alias("c"))
+    total = counts.agg(F.sum("c").cast("double").alias("total"))
+    # labels and the total both come from the table of distinct predictions, which is computed once
+    shown = counts.where(F.col("p") != error).select(F.explode(split_labels("p")).alias("category"), "c").groupBy("category").agg(F.sum("c").alias("n"))
+    return shown.select("category", "n", F.round(100.0 * F.col("n") / total.scalar(), 1).alias("pct")).orderBy(
         F.desc("n"), F.asc("category")
     )

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from labelkit.functions import chat
-from labelkit.operators.bounded import local_copy
 from labelkit.operators.ranking import next_in_group, order_range
 
 
@@ -59,8 +58,9 @@ def sft_rows(
     """Adds input_ids, attention_mask and labels (IGNORED outside the answer) of fixed length.
 
     Each part of the chat is tokenized on its own, so its length is known and a text that happens
-    to hold the assistant marker cannot move the mask; such rows are flagged.  By default rows left
-    without a trained token are dropped; ``compat=True`` keeps them and the unmasked long prefix.
+    to hold the assistant marker cannot move the mask; such rows are flagged.  Every row stays; rows
+    without a trained token (the prefix fills the sequence, or there is no answer) have ``trainable``
+    false.  ``compat=True`` leaves a long prefix unmasked.
     """
     encode = encode or (lambda text: chat.token_ids(chat.tokenize(text)))
     opening = chat.TURN_START + "assistant\n"
@@ -85,10 +85,8 @@ def sft_rows(
             ),
         }
     )
-    if not compat:
-        start = lengths["prefix"] + lengths["marker"]
-        rows = rows.where((start < max_length) & (lengths["answer"] > 0))
-    return rows.drop("prefix_ids", "marker_ids", "answer_ids", "end_ids")
+    trainable = (lengths["prefix"] + lengths["marker"] < max_length) & (lengths["answer"] > 0)
+    return rows.withColumn("trainable", trainable).drop("prefix_ids", "marker_ids", "answer_ids", "end_ids")
 
 
 def length_budget(
@@ -112,7 +110,8 @@ def preference_pairs(scored: DataFrame, prompt: str, response: str, score: str,
     """(prompt, chosen, rejected): best and worst answer per prompt, none when all scores are equal.
 
     ``key`` identifies an answer and breaks ties, the smaller one first.  The choice is made on keys
-    alone; the answers are then looked up by key, in a map-only pass when the chosen keys are few.
+    alone; the answers are then looked up by key, and Catalyst broadcasts the chosen keys where their
+    size in bytes allows.
     """
     best = F.max(F.struct(F.col(score).alias("s"), (-F.col(key)).alias("k")))
     worst = F.min(F.struct(F.col(score).alias("s"), F.col(key).alias("k")))
@@ -130,9 +129,8 @@ def preference_pairs(scored: DataFrame, prompt: str, response: str, score: str,
             )
         ),
     )
-    local = local_copy(keys)
     answers = scored.select(F.col(key).alias("__key"), F.col(response).alias("answer"))
-    found = answers.join(keys if local is None else F.broadcast(local), "__key", "inner")
+    found = answers.join(keys, "__key", "inner")
     return found.groupBy("prompt").agg(
         *[F.max(F.when(F.col("role") == r, F.col("answer"))).alias(r) for r in ("chosen", "rejected")]
     )

@@ -23,7 +23,7 @@ from labelkit.plans.standins import (
     checksum,
     checksum_sql,
     part_dim,
-    predicted,
+    predict_language,
     triples,
 )
 from labelkit.session import shared_dir
@@ -216,8 +216,10 @@ def split_semi(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"SELECT doc_id, lang, pred, quality FROM ({PREDICTED_SQL}) JOIN labels USING (doc_id)")
 def join_pred_truth(spark: SparkSession, folder: str) -> DataFrame:
+    """The rule runs on the documents that have a truth, after the join."""
     truth = table(spark, folder, "labels").select("doc_id", "quality")
-    return metrics.join_predictions(truth, predicted(spark, folder).drop("source"), "doc_id")
+    joined = metrics.join_predictions(truth, table(spark, folder, "documents").select("doc_id", "lang", "text"), "doc_id")
+    return joined.select("doc_id", "lang", predict_language("text").alias("pred"), "quality")
 
 
 # -- counts ------------------------------------------------------------------------------------

@@ -20,7 +20,6 @@ from labelkit.plans.standins import (
     word_counts,
     word_rule_sql,
 )
-from labelkit.sources.columns import spread
 
 
 def _ratio_sql(part: str, whole: str) -> str:
@@ -161,7 +160,7 @@ def _candidates() -> dict[tuple[int, str], Column]:
 
 def _counted_docs(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with the frequent-word counts each candidate decides by."""
-    docs = spread(table(spark, folder, "documents").select("doc_id", "lang", "text"), "doc_id")
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
     hits = docs.select("doc_id", "lang", frequent_hits("text").alias("hits"))
     return hits.withColumns({f"counts_{p}": word_counts("hits", words) for p, words in CUTS.items()})
 
@@ -208,7 +207,7 @@ def best_candidate(spark: SparkSession, folder: str) -> DataFrame:
 )
 def bootstrap_demos(spark: SparkSession, folder: str) -> DataFrame:
     """First 16 documents a one-word rule gets right."""
-    docs = spread(table(spark, folder, "documents").select("doc_id", "lang", "text"), "doc_id")
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
     demos = search.bootstrap_demos(docs, predict_language("text", 1), "lang", "doc_id", 16)
     return demos.select("doc_id", "lang")
 
@@ -253,9 +252,11 @@ def moderation_report(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of each moderation category per split, and how good language prediction is there."""
     labels = table(spark, folder, "labels").select("doc_id", category().alias("category"))
     split = sampling.stratified_split(labels, "category", "doc_id", 0.8, SEED)
-    rows = metrics.join_predictions(split, predicted(spark, folder), "doc_id")
-    report = metrics.classification_report(rows, "lang", "pred", ["split"])
-    sizes = metrics.split_sizes(rows, ["split", "category"]).select(
-        "split", F.concat(F.lit("category "), "category").alias("name"), F.col("n").alias("support")
+    # keys first, so the rule runs once and only on labelled documents; one aggregate serves both parts
+    rows = metrics.join_predictions(split, table(spark, folder, "documents").select("doc_id", "lang", "text"), "doc_id")
+    counts = rows.groupBy("split", "category", F.col("lang").alias("label"), predict_language("text").alias("pred")).agg(F.count("*").alias("n"))
+    report = metrics.report_of_counts(counts, ["split"])
+    sizes = counts.groupBy("split", "category").agg(F.sum("n").alias("support")).select(
+        "split", F.concat(F.lit("category "), "category").alias("name"), "support"
     )
     return _rounded(report.unionByName(sizes, allowMissingColumns=True))

@@ -9,7 +9,6 @@ from labelkit.functions.binding import let
 from labelkit.operators.bounded import local_table
 from labelkit.operators.sft import to_triples
 from labelkit.plans.registry import table
-from labelkit.sources.columns import spread
 
 SEED = 42
 
@@ -89,7 +88,7 @@ PREDICTED_SQL = f"SELECT doc_id, lang, source, {word_rule_sql()} AS pred FROM ({
 
 
 def predicted(spark: SparkSession, folder: str) -> DataFrame:
-    docs = spread(table(spark, folder, "documents").select("doc_id", "lang", "source", "text"), "doc_id")
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "source", "text")
     return docs.select("doc_id", "lang", "source", predict_language("text").alias("pred"))
 
 

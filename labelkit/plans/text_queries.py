@@ -17,7 +17,6 @@ from labelkit.plans.standins import (
     response,
     triples,
 )
-from labelkit.sources.columns import spread
 
 STRIP_SQL = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
 LIST_SQL = r"\[([\d,\s]+)\]@"
@@ -175,7 +174,7 @@ def exact_match(spark: SparkSession, folder: str) -> DataFrame:
     """Texts against twins that differ in white space, and for every third in a word."""
     spaced = F.concat(F.lit(" \n"), F.replace("text", F.lit(" "), F.lit("  ")), F.lit("\t"))
     twin = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" more"))).otherwise(spaced)
-    docs = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
     return docs.select("doc_id", text.exact_match(twin, "text").alias("matched"))
 
 
@@ -281,7 +280,7 @@ FROM k WHERE start < 128 AND len(answer) > 0
 )
 def loss_mask(spark: SparkSession, folder: str) -> DataFrame:
     """Trained tokens of sequences of 128: how many, and their ids times their places."""
-    rows = sft.sft_rows(triples(spark, folder), 128)
+    rows = sft.sft_rows(triples(spark, folder), 128).where("trainable")
     trained = F.transform("labels", lambda x, i: F.when(x != chat.IGNORED, x.cast("bigint") * (i + 1)))
     zero = F.lit(0).cast("bigint")
     return rows.select(

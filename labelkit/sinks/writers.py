@@ -29,15 +29,15 @@ def run_report(base_prompt: Column, compiled_prompt: Column, accuracy: Column, r
 
 
 def write_run_report(df: DataFrame, path: str, mode: str = "error") -> None:
-    """One-row report as a single JSON object."""
-    df.limit(1).coalesce(1).write.mode(mode).json(path)
+    """Report rows as JSON lines, one object per row of the metric table."""
+    df.coalesce(1).write.mode(mode).json(path)
 
 
 def write_prompt(spark: SparkSession, prompt: str, path: str, name: str = "optimized_prompt") -> str:
     """Prompt text below a time-stamped folder, which is made when missing; returns the folder."""
-    one = spark.range(1).select(F.lit(prompt).alias("value"), run_stamp().alias("stamp"))
+    one = spark.range(1).select(F.lit(prompt).alias("value"), F.concat_ws("_", run_stamp(), F.substring(F.uuid(), 1, 8)).alias("stamp"))
     stamp = one.first()["stamp"]
-    target = f"{path.rstrip('/')}/{name}_{stamp}"
+    target = f"{path.rstrip('/')}/{name}_{stamp}"  # two runs of one second keep apart
     one.select("value").coalesce(1).write.option("lineSep", "\n").mode("append").text(target)
     return target
 

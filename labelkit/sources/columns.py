@@ -40,13 +40,3 @@ def reference_text(df: DataFrame, names: Sequence[str] = TEXT_NAMES) -> Column:
 def tag_source(df: DataFrame, **constants: object) -> DataFrame:
     """Add constant columns such as language, label text and origin."""
     return df.withColumns({name: F.lit(value) for name, value in constants.items()})
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Repartition a scan that would keep fewer tasks than cores busy; larger scans stay as they are.
-
-    For costly row work on a small table in few files. A large table has more input splits than
-    there are cores and is not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

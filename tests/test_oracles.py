@@ -8,7 +8,7 @@ import re
 import pytest
 
 import __spark_entry__ as contract
-from labelkit.compare import duck, same_rows
+from tools.compare import duck, same_rows
 
 FOLDER = "/root/testdata/sf0.01"
 QUERIES, ORACLES = contract.queries(), contract.oracle_sql()

@@ -123,9 +123,6 @@ def test_columns(spark):
     with pytest.raises(columns.MissingColumns):
         columns.first_existing(df, ["audio"])
     assert columns.tag_source(df, lang="en").first().lang == "en"
-    assert columns.spread(spark.range(10).coalesce(1), "id").rdd.getNumPartitions() == 8
-    wide = spark.range(100, numPartitions=20)
-    assert columns.spread(wide, "id") is wide
 
 
 def test_named_splits(spark, tmp_path):

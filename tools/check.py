@@ -12,7 +12,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from labelkit.compare import TABLES, duck, same_rows  # noqa: E402
+from tools.compare import TABLES, duck, same_rows  # noqa: E402
 from labelkit.plans import ORACLES, QUERIES  # noqa: E402
 from labelkit.session import build_session  # noqa: E402
 
