@@ -115,6 +115,28 @@ def drop_index(sel: str | Column, index: int) -> Column:
     return let(_col(sel), keep)
 
 
+def without_name(names: Column, name: str) -> Column:
+    """The class names without one, in their order."""
+    return F.filter(names, lambda x: x != name)
+
+
+def drop_named(sel: str | Column, names: Column, name: str) -> Column:
+    """Values without those of the classes called ``name``, wherever they stand; all values when there is none."""
+    kept = F.filter(F.arrays_zip(_col(sel).alias("v"), names.alias("n")), lambda x: x["n"] != name)
+    return F.transform(kept, lambda x: x["v"])
+
+
+def class_id(label: Column, names: Column) -> Column:
+    """Position of a label among the class names, counted from 0; -1 when no class has this name."""
+    return F.coalesce(F.array_position(names, label) - 1, F.lit(-1)).cast("int")
+
+
+def class_key(label: Column, keys: dict[str, str]) -> Column:
+    """String id of a label; "-1" when it has none."""
+    pairs = [F.lit(x) for pair in keys.items() for x in pair]
+    return F.coalesce(F.create_map(*pairs)[label] if pairs else F.lit(None).cast("string"), F.lit("-1"))
+
+
 def softmax(sel: str | Column, drop: int | None = None) -> Column:
     """Probabilities over all classes, or over all but the one at ``drop`` (the "others" class)."""
     kept = _col(sel) if drop is None else drop_index(sel, drop)

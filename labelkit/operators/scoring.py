@@ -121,3 +121,18 @@ def train_classifier(
     fitted = [LogisticRegression(maxIter=max_iter, regParam=r).fit(train) for r in reg_params]
     best = max(fitted, key=lambda m: judge.evaluate(m.transform(val)))
     return best, best.transform(test).select("label", "prediction")
+
+
+def train_gaussian(df: DataFrame, features: str, label: str, split: str = "split") -> tuple[object, DataFrame]:
+    """Naive Bayes with a normal density per class and feature: one pass of sums, no iterations.
+
+    Returns the Spark ML model and the scored test rows (label, prediction).
+    """
+    from pyspark.ml.classification import NaiveBayes
+    from pyspark.ml.functions import array_to_vector
+
+    rows = df.select(
+        array_to_vector(F.col(features).cast("array<double>")).alias("features"), F.col(label).cast("double").alias("label"), F.col(split).alias("split")
+    )
+    model = NaiveBayes(modelType="gaussian").fit(rows.where(F.col("split") == "train"))
+    return model, model.transform(rows.where(F.col("split") == "test")).select("label", "prediction")

@@ -94,7 +94,7 @@ def predicted(spark: SparkSession, folder: str) -> DataFrame:
 
 # -- logits and waveforms from embeddings ------------------------------------------------------
 
-N_CLASSES = 10
+N_CLASSES = 64
 OTHERS_INDEX = 9
 
 
@@ -103,10 +103,11 @@ def logits() -> Column:
 
 
 def class_names() -> Column:
-    return F.array(*[F.lit(f"class_{i}") for i in range(N_CLASSES)])
+    """Names in class order; the class at ``OTHERS_INDEX`` is "others"."""
+    return F.array(*[F.lit("others" if i == OTHERS_INDEX else f"class_{i}") for i in range(N_CLASSES)])
 
 
-LOGITS_SQL = "SELECT vec_id, label, embedding[1:10]::DOUBLE[] AS z FROM embeddings"
+LOGITS_SQL = "SELECT vec_id, label, embedding::DOUBLE[] AS z FROM embeddings"
 WAVE_SQL = "SELECT vec_id, embedding::DOUBLE[] AS a FROM embeddings"
 
 
