@@ -68,7 +68,7 @@ def synth_multilabel(
     drawn = picks.withColumn("drawn", pick_categories(F.col("row"), categories, seed)).withColumn(
         "category", F.get(F.filter("drawn", lambda c: F.array_contains(filled, c)), F.lit(0))
     )
-    chosen = drawn.join(F.broadcast(counts), ["part", "category"], "inner").withColumn(
+    chosen = drawn.join(counts, ["part", "category"], "inner").withColumn(
         "rank", hash_int(seed, F.lit("item"), F.col("row")) % F.col("size") + 1
     )
     ranked = group_rank(pool, key, ["part", "category"], seed)

@@ -29,7 +29,8 @@ from labelkit.plans.standins import (
 from labelkit.session import shared_dir
 from labelkit.sinks.writers import class_metric_rows, write_label_json, write_metrics
 from labelkit.sources.columns import tag_source
-from labelkit.sources.datasets import load_status, read_split, select_split, union_all
+from labelkit.sources.datasets import load_status, read_many, read_split, select_split, union_all
+from labelkit.sources import files
 from labelkit.sources.files import LABEL_JSON_SCHEMA, drop_incomplete, read_examples_csv, uri_folder
 
 LANGUAGES = ["en", "es", "it", "fr", "de", "pt"]
@@ -77,6 +78,24 @@ def scan_many_status(spark: SparkSession, folder: str) -> DataFrame:
     return load_status(table(spark, folder, "documents"), "lang", LANGUAGES)
 
 
+@query("SELECT lang AS source_name, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents WHERE lang IN ('en', 'es', 'it', 'fr', 'de', 'pt') GROUP BY lang")
+def read_many_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Every wanted language as a source of its own, missing ones skipped, the rest in one table."""
+    docs = table(spark, folder, "documents").select("lang", "n_chars")
+    readers = {name: lambda name=name: docs.where(F.col("lang") == name) for name in LANGUAGES}
+    rows, _ = read_many(spark, readers, ["n_chars"])
+    return rows.groupBy("source_name").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query("SELECT 'lang=' || lang AS folder, count(*) AS n_files FROM (SELECT DISTINCT lang FROM documents) GROUP BY lang")
+def scan_folder_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Files in labelled folders, which the query writes from the table (one per language)."""
+    root = shared_dir(spark, "labelled-files")
+    sizes = table(spark, folder, "documents").groupBy("lang").agg(F.count("*").cast("string").alias("value"))
+    sizes.repartition("lang").write.partitionBy("lang").text(root)
+    return files.scan_folder(spark, root, ["txt"]).groupBy("folder").agg(F.count("*").alias("n_files"))
+
+
 @query("SELECT vec_id, 64 AS n_samples, 'noise' AS language_str, true AS is_quiet, true AS is_noise FROM embeddings")
 def gen_noise(spark: SparkSession, folder: str) -> DataFrame:
     """A seeded noise waveform for every embedding row: its size, label, and whether it stays within ten sigma."""

@@ -230,6 +230,25 @@ def search_grid(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(grid)
 
 
+PROMPTS = (" the ", " of ", " der ")
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT {i}::INTEGER AS prompt_id, round(avg(CASE WHEN (CASE WHEN contains(text, '{p}') THEN 'en' ELSE 'others' END) = lang THEN 1.0 ELSE 0.0 END), 6) AS score FROM documents"
+        for i, p in enumerate(PROMPTS)
+    )
+)
+def evaluate_prompts(spark: SparkSession, folder: str) -> DataFrame:
+    """Accuracy of a model that is called with batches of texts and each prompt; here it looks for the prompt in the text."""
+
+    def factory():
+        return lambda texts, prompt: ["en" if prompt in t else "others" for t in texts]
+
+    found = search.evaluate_prompts(table(spark, folder, "documents"), "text", "lang", PROMPTS, factory)
+    return found.select("prompt_id", F.round("score", 6).alias("score"))
+
+
 # -- the whole way -----------------------------------------------------------------------------
 
 REPORT_BASE_SQL = f"""
