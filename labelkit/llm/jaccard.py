@@ -6,6 +6,7 @@ and then they share a combination of frequent tokens in an extended prefix.  So
 indexed singly and frequent ones, for the few documents made mostly of them, in pairs of one class.
 
 1. Every text gives its set size and the tokens with the smallest hashes: the prefix and a reserve.
+   Equal sets (by a 128-bit digest) fold into the document with the smallest id.
 2. Tokens in two or more prefixes make buckets.  Stars first: each document is compared with one pivot
    per bucket, exactly, and what is linked becomes one component.  A group of thousands of copies costs
    a row per copy here and disappears, since buckets inside one component are dropped.
@@ -79,7 +80,7 @@ def least_overlap(size: int, percent: int = PERCENT) -> int:
 def _prefix(size: int, percent: int) -> tuple[int, int]:
     """(rare tokens needed, reserve)."""
     need = size - least_overlap(size, percent) + 1
-    return need, need // 8 + 2
+    return need, need // 16 + 2
 
 
 def _mapped(rows: DataFrame, schema: str, build) -> DataFrame:
@@ -99,16 +100,17 @@ def _arrays(parts: list[np.ndarray]) -> pa.Array:
 
 
 def prefixes(rows: DataFrame, percent: int) -> DataFrame:
-    """(id, n, whole, tokens): set size, and the tokens with the smallest hashes; ``whole`` where that is all."""
+    """(id, n, digest, tokens): set size, digest of the set, and the tokens with the smallest hashes."""
 
     def build(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
         take = [sum(_prefix(len(s), percent)) if len(s) else 0 for s in sets]
+        digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
         return pa.record_batch(
-            [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([t >= len(s) for t, s in zip(take, sets)]), _arrays([s[:t] for t, s in zip(take, sets)])],
-            ["id", "n", "whole", "tokens"],
+            [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), _arrays([s[:t] for t, s in zip(take, sets)])],
+            ["id", "n", "digest", "tokens"],
         )
 
-    return _mapped(rows, "id long, n long, whole boolean, tokens array<long>", build)
+    return _mapped(rows, "id long, n long, digest binary, tokens array<long>", build)
 
 
 def whole_sets(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -153,17 +155,25 @@ def _fits(a: str, b: str, percent: int) -> F.Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _stars(buckets: DataFrame, rank: F.Column, percent: int) -> DataFrame:
+def _stars(buckets: DataFrame, pivot: F.Column) -> DataFrame:
     """(a, b): documents and the pivots they share many tokens with; which pairs are tried here decides speed, never the result."""
-    pivot = buckets.groupBy("token").agg(F.max_by(F.struct("id", "n", "component"), rank).alias("pivot"))
-    tried = buckets.join(pivot, "token").where((F.col("id") != F.col("pivot.id")) & (F.col("component") != F.col("pivot.component")) & _fits("n", "pivot.n", percent))
-    shared = tried.groupBy(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b"), F.least("n", "pivot.n").alias("m")).count()
-    return shared.where(F.col("count") * 10 >= F.col("m")).select("a", "b")
+    pivots = buckets.groupBy("token").agg(pivot.alias("pivot"))
+    tried = buckets.select("token", "id", "n").join(pivots, "token").where("id <> pivot")
+    shared = tried.groupBy("id", "pivot").agg(F.count("*").alias("c"), F.max("n").alias("n"))
+    return shared.where("c * 10 >= n").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+
+
+def _apart(pairs: DataFrame, linked: DataFrame) -> DataFrame:
+    """Pairs (a, b) that are not in one component yet."""
+    for end in ("a", "b"):
+        pairs = join_small(pairs, linked.select(F.col("id").alias(end), F.col("component").alias(f"c{end}")), end, "left", MAX_IDS)
+    return pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
 def _frequent(buckets: DataFrame) -> DataFrame:
     """(token, times): tokens that more than FEW documents outside the token's largest component hold."""
-    sizes = buckets.groupBy("token", "component").agg(F.count("*").alias("c"))
+    many = buckets.groupBy("token").count().where(F.col("count") > FEW).select("token")
+    sizes = join_small(buckets, written(many, "many"), "token", "left_semi", MAX_IDS).groupBy("token", "component").agg(F.count("*").alias("c"))
     return sizes.groupBy("token").agg(F.sum("c").alias("times"), F.max("c").alias("most")).where(F.col("times") - F.col("most") > FEW).select("token", "times")
 
 
@@ -204,11 +214,27 @@ def _combined(held: DataFrame, percent: int) -> DataFrame:
 
 
 def _pairs(buckets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket in different components, sizes fitting."""
+    """(a, b, c): pairs in different components, sizes fitting, with the number of buckets they share."""
     a = buckets.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
     b = buckets.select(F.col("token").alias("tb"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
     joined = a.join(b, (F.col("token") == F.col("tb")) & (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & _fits("na", "nb", percent))
-    return joined.select("a", "b").distinct()
+    return joined.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+
+
+def _likely(pairs: DataFrame, frequent_in: DataFrame, percent: int) -> DataFrame:
+    """Pairs that can still be similar.
+
+    Similar sets of sizes na and nb share at least ``o`` tokens, so of the ``L`` smallest hashes of the set
+    whose list ends first at least ``L - (size - o)`` are shared and stand in both lists; all of them were
+    counted but the frequent ones.
+    """
+    f = frequent_in.select("id", "f")
+    rows = join_small(join_small(pairs, f.select(F.col("id").alias("a"), F.col("f").alias("fa")), "a", "left", MAX_IDS), f.select(F.col("id").alias("b"), F.col("f").alias("fb")), "b", "left", MAX_IDS)
+    overlap = f"ceil({percent} * (na + nb) / {100.0 + percent})"
+    need = lambda n: f"({n} - ceil({percent} * {n} / 100.0) + 1)"
+    listed = lambda n: f"least({n}, {need(n)} + floor({need(n)} / 16) + 2)"
+    least = F.expr(f"least({listed('na')} - na + {overlap}, {listed('nb')} - nb + {overlap}) - least(coalesce(fa, 0), coalesce(fb, 0))")
+    return rows.where(F.col("c") >= least).select("a", "b")
 
 
 def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -216,56 +242,54 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").cast("binary").alias("text"))
     known = rows.where("id IS NOT NULL")
     base = written(prefixes(rows, percent), "prefixes")
-    entries = base.where("id IS NOT NULL AND n > 0").select(F.explode("tokens").alias("token"), "id", "n")
-    shared = entries.groupBy("token").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi").select("token")
-    buckets = written(entries.join(shared, "token"), "buckets")
-
-    def alone(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("component", F.col("id"))
-
-    links = written(verified(_stars(alone(buckets), -F.col("id"), percent), known, percent), "star-links")
+    sized = base.where("id IS NOT NULL AND n > 0")
+    firsts = sized.groupBy("digest").agg(F.min("id").alias("lead"), F.count("*").alias("times")).where("times > 1").select("digest", "lead")
+    equal = written(join_small(sized.select("id", "digest"), written(firsts, "equal-sets"), "digest", "inner", MAX_IDS).where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")), "equal")
+    entries = join_small(sized, equal.select(F.col("a").alias("id")).distinct(), "id", "left_anti", MAX_IDS).select("id", "n", F.explode("tokens").alias("token"))
+    shared = entries.groupBy("token").count().where("count > 1").select("token")
+    buckets = written(join_small(entries, written(shared, "shared"), "token", "left_semi", MAX_IDS), "buckets")
+
+    links = written(verified(_stars(buckets, F.min("id")), known, percent), "star-links")
     linked = written(components(links), "components")
-    buckets = written(_across(_in_components(buckets, linked)), "buckets")
     # the second pivot is the best linked document of a bucket, which is near the middle of its group
     degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("degree"))
-    ranked = join_small(buckets, degree, "id", "left", MAX_IDS)
-    more = written(verified(_stars(ranked, F.struct(F.coalesce("degree", F.lit(0)), -F.col("id")), percent), known, percent), "star-links")
-    links = links.union(more)
+    ranked = join_small(buckets, written(degree, "degrees"), "id", "left", MAX_IDS).na.fill(0, ["degree"])
+    more = written(verified(_apart(_stars(ranked, F.max_by("id", "degree")), linked), known, percent), "star-links")
+    links = links.unionByName(more)
     linked = written(components(links), "components")
     buckets = written(_across(_in_components(buckets, linked)), "buckets")
 
-    full = None  # ids whose whole set is indexed beyond their prefix
+    need, first = F.expr(f"n - ceil({percent} * n / 100.0) + 1"), f"n - ceil({percent} * n / 100.0) + 1"
+    listed = F.expr(f"least(n, {first} + floor(({first}) / 16) + 2)")
+    longer, extra = None, None  # (id, n, size) of longer lists, and their tokens beyond the base list
     while True:
         frequent = written(_frequent(buckets), "frequent")
-        marked = buckets.join(frequent, "token")
-        count = marked.groupBy("id").agg(F.count_distinct("token").alias("f"), F.max("n").alias("n"))
-        need = F.expr(f"n - ceil({percent} * n / 100.0) + 1")
-        short = count.where(F.col("f") > F.floor(need / 8) + 2).select("id", "n")
-        short = short.join(base.where("whole").select("id"), "id", "left_anti")
-        if full is not None:
-            short = short.join(full.select("id"), "id", "left_anti")
-        short = written(short.distinct(), "short")
+        marked = join_small(buckets, frequent, "token", "inner", MAX_IDS)
+        count = written(marked.groupBy("id").agg(F.count_distinct("token").alias("f"), F.max("n").alias("n")), "frequent-in")
+        state = count if longer is None else join_small(count, longer.select("id", "size"), "id", "left", MAX_IDS)
+        size = listed if longer is None else F.coalesce("size", listed)
+        short = state.select("id", "n", "f", size.cast("long").alias("size")).where((F.col("size") < F.col("n")) & (F.col("size") - F.col("f") < need))
+        short = written(short.select("id", "n", F.col("size").alias("have"), F.least("n", F.col("size") + 2 * F.col("f") + 8).alias("size")).distinct(), "short")
         if short.isEmpty():
             break
-        full = short if full is None else written(full.union(short), "full")
-        sets = whole_sets(known, short.select("id"))
-        added = written(sets.join(short, "id").select(F.explode("tokens").alias("token"), "id", "n"), "added")
-        indexed = entries.join(full.select("id"), "id", "left_anti").union(added if full is short else sets_of(known, full))
-        touched = join_small(indexed, added.select("token").distinct(), "token", "left_semi", MAX_IDS).distinct()
-        old = buckets.join(added.select("token").distinct(), "token", "left_anti").select("token", "id", "n", "component")
-        buckets = written(old.union(_across(_in_components(touched, linked))).distinct(), "buckets")
-
-    rare = buckets.join(frequent, "token", "left_anti")
-    order = F.struct("times", "token")
-    held = marked.groupBy("id", "n").agg(F.array_sort(F.collect_set(order)).alias("by"), F.count_distinct("token").alias("f")).where(F.col("f") >= F.expr(f"ceil({percent} * n / 100.0)"))
-    held = held.select("id", "n", "f", F.transform("by", lambda x: x.token).alias("tokens"))
+        # tokens stand in hash order, so a longer list is the next slice of the whole set
+        sets = join_small(whole_sets(known, short.select("id")), short, "id", "inner", MAX_IDS)
+        added = written(sets.select("id", "n", F.explode(F.slice("tokens", F.col("have").cast("int") + 1, (F.col("size") - F.col("have")).cast("int"))).alias("token")), "added")
+        tokens = written(added.select("token").distinct(), "added-tokens")
+        grown = short.select("id", "n", "size")
+        longer = grown if longer is None else written(join_small(longer, short.select("id"), "id", "left_anti", MAX_IDS).unionByName(grown), "longer")
+        extra = added if extra is None else extra.unionByName(added)
+        touched = join_small(entries.unionByName(extra), tokens, "token", "left_semi", MAX_IDS)
+        kept = join_small(buckets, tokens, "token", "left_anti", MAX_IDS).select("token", "id", "n", "component")
+        buckets = written(kept.unionByName(_across(_in_components(touched, linked))), "buckets")
+
+    rare = join_small(buckets, frequent, "token", "left_anti", MAX_IDS)
+    held = marked.groupBy("id", "n").agg(F.array_sort(F.collect_set(F.struct("times", "token"))).alias("by"), F.count_distinct("token").alias("f"))
+    held = held.where(F.col("f") >= F.expr(f"ceil({percent} * n / 100.0)")).select("id", "n", "f", F.transform("by", lambda x: x.token).alias("tokens"))
     combined = written(_across(_in_components(_combined(held, percent), linked)), "combined")
-    last = verified(_pairs(rare, percent).union(_pairs(combined, percent)).distinct(), known, percent)
-    return base.select("id", "n"), written(components(links.union(written(last, "links"))), "components")
-
-
-def sets_of(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    return whole_sets(rows, ids.select("id")).join(ids, "id").select(F.explode("tokens").alias("token"), "id", "n")
+    alike = _likely(_pairs(rare, percent), count, percent).union(_pairs(combined, percent).select("a", "b")).distinct()
+    last = written(verified(alike, known, percent), "links")
+    return base.select("id", "n"), written(components(links.unionByName(last).unionByName(equal)), "components")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
