@@ -6,7 +6,8 @@
    ``edits`` edits, one segment of the shorter occurs in the longer near its own place, so each line
    probes the index (length, segment, substring) for its own and the ``edits`` smaller lengths, at
    the few starts that the matches left and right of a segment allow.
-3. Candidates whose letter counts differ by more than the edits can explain fall out inside the join.
+3. Candidates whose letter counts differ by more than the edits can explain fall out inside the join,
+   those with too many words of their own before the verification.
 4. The rest is verified by banded bit-parallel edit distance: one step of bit operations per
    character on a window of ``2 * edits + 1`` rows that moves along the diagonal.
 
@@ -34,7 +35,7 @@ from labelkit.session import written
 
 EDITS = 2
 MIN_CHARS = 16
-LETTERS = "eantiors"
+LETTERS = ("eantiors", "hldbcmwf")
 MAX_IDS = 1_000_000
 """Largest number of 8-byte ids that is broadcast."""
 
@@ -64,24 +65,44 @@ def _probe_keys(line: Column, n: Column, edits: int) -> list[Column]:
     return out
 
 
-def _letter_counts(line: Column) -> Column:
-    """Counts (modulo 256) of eight letters in one long."""
-    size, packed = F.octet_length(line), F.lit(0).cast("bigint")
-    for k, letter in enumerate(LETTERS):
-        count = (size - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))).cast("bigint").bitwiseAND(F.lit(255).cast("bigint"))
-        packed = packed.bitwiseOR(F.shiftleft(count, 8 * k))
-    return packed
+def _letter_counts(line: Column) -> list[Column]:
+    """Counts (modulo 256) of sixteen letters in two longs."""
+    size, out = F.octet_length(line), []
+    for letters in LETTERS:
+        packed = F.lit(0).cast("bigint")
+        for k, letter in enumerate(letters):
+            count = (size - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))).cast("bigint").bitwiseAND(F.lit(255).cast("bigint"))
+            packed = packed.bitwiseOR(F.shiftleft(count, 8 * k))
+        out.append(packed)
+    return out
 
 
-def _counts_differ(a: Column, b: Column) -> Column:
+def _counts_differ(a: list[str], b: list[str]) -> Column:
+    """Sum of differences of the letter counts: an edit changes it by two at most."""
     total = F.lit(0).cast("bigint")
-    for k in range(len(LETTERS)):
-        byte = lambda x: F.shiftright(x, 8 * k).bitwiseAND(F.lit(255).cast("bigint"))  # noqa: B023, E731
-        gap = F.abs(byte(a) - byte(b))
-        total = total + F.least(gap, 256 - gap)
+    for x, y in zip(a, b):
+        for k in range(8):
+            part = lambda c: F.shiftright(F.col(c), 8 * k).bitwiseAND(F.lit(255).cast("bigint"))  # noqa: B023, E731
+            gap = F.abs(part(x) - part(y))
+            total = total + F.least(gap, 256 - gap)
     return total
 
 
+def _words_allow(a: Column, b: Column, edits: int) -> Column:
+    """Whether few enough words stand in one line only.
+
+    An edit takes one word from a line, or two where it removes the blank between them; the difference
+    in the number of words bounds how many edits can be of that kind.
+    """
+
+    def body(x: Column) -> Column:
+        less = F.size(x.a) - F.size(x.b)
+        lost = lambda u, v, gap: F.size(F.array_except(u, v)) <= edits + F.floor((edits + gap) / 2)
+        return (F.abs(less) <= edits) & lost(x.a, x.b, less) & lost(x.b, x.a, -less)
+
+    return let(F.struct(F.split(a, " ").alias("a"), F.split(b, " ").alias("b")), body)
+
+
 def within_edits(a: Column, b: Column, edits: int) -> Column:
     """Whether the edit distance of ``a`` and ``b`` (``a`` not the longer, both longer than ``edits``) is at most ``edits``.
 
@@ -95,14 +116,13 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
     inverse = lambda x: x.bitwiseXOR(word(mask))
 
     def run(pair: Column) -> Column:
-        p, t, m = pair.p, pair.t, F.size(pair.p)
+        p, t, m = pair.p, pair.t, F.size(pair.p) - 2 * edits  # the pattern has ``edits`` places that match nothing at both ends
 
         def step(s: Column, j: Column) -> Column:
             char = F.get(t, j - 1)
             match = word(0)
             for bit in range(width):
-                at = j - 1 - edits + bit
-                match = match + F.when((at >= 0) & (at < m) & (F.get(p, F.greatest(at, F.lit(0))) == char), word(1 << bit)).otherwise(word(0))
+                match = match + F.when(F.get(p, j + (bit - 1)) == char, word(1 << bit)).otherwise(word(0))
 
             def moved(x: Column) -> Column:
                 d0 = ((x.bitwiseAND(s.vp) + s.vp).bitwiseXOR(s.vp)).bitwiseOR(x).bitwiseOR(s.vn).bitwiseAND(word(mask))
@@ -123,67 +143,81 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
         return F.aggregate(F.sequence(F.lit(1), F.size(t)), first, step, lambda s: s.score <= edits)
 
     chars = lambda x: F.filter(F.split(x, ""), lambda c: c != "")
-    return (F.length(b) - F.length(a) <= edits) & let(F.struct(chars(a).alias("p"), chars(b).alias("t")), run)
+    beyond = F.array_repeat(F.lit(""), edits)
+    return (F.length(b) - F.length(a) <= edits) & let(F.struct(F.concat(beyond, chars(a), beyond).alias("p"), chars(b).alias("t")), run)
 
 
 def occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, pos, line, h1, h2): every line with a word, white space around it taken off."""
-    rows = docs.select(F.col(f"`{key}`").alias("key"), F.posexplode(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n")).alias("pos", "raw"))
-    line = F.btrim("raw", F.lit(" \t\x0b\x0c\r"))
-    return rows.select("key", "pos", line.alias("line")).where("line <> ''").select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"))
-
-
-def distinct_lines(found: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """One row per line: first place, number of places, letter counts and keys (null for short lines)."""
-    n = F.length("line")
-    keyed = found.select("key", "pos", "h1", "h2", "line", n.alias("n")).select(
-        "key", "pos", "h1", "h2",
-        F.when(F.col("n") >= min_chars, F.struct(
-            _letter_counts(F.col("line")).alias("letters"),
-            F.array(*_index_keys(F.col("line"), F.col("n"), edits)).alias("index"),
-            F.array(*_probe_keys(F.col("line"), F.col("n"), edits)).alias("probe"),
-        )).alias("keys"),
-    )
-    place = F.struct(F.col("key").isNull().alias("unknown"), "key", "pos")
-    return keyed.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("times"), F.any_value("keys").alias("keys"))
+    """(key, pos, line, h1, h2, place): every line with a word, white space around it taken off.
 
-
-def near_lines(docs: DataFrame, lines: DataFrame, key: str, text: str, edits: int) -> DataFrame:
-    """Verified links (a, b) between line identities of ``distinct_lines``."""
-    indexed = lines.where("keys IS NOT NULL").select(F.explode("keys.index").alias("k"), F.col("h1").alias("i"), F.col("keys.letters").alias("il"))
-    probing = lines.where("keys IS NOT NULL").select(F.explode(F.array_distinct("keys.probe")).alias("k"), F.col("h1").alias("p"), F.col("keys.letters").alias("pl"))
-    close = (F.col("i") != F.col("p")) & (_counts_differ(F.col("il"), F.col("pl")) <= 2 * edits)
+    ``place`` orders lines by (key, pos), those of unknown documents last, as one number, which keeps
+    its minimum in the hash aggregate.
+    """
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.posexplode(F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n")).alias("pos", "raw"))
+    rows = rows.select("key", "pos", F.btrim("raw", F.lit(" \t\x0b\x0c\r")).alias("line")).where("line <> ''")
+    place = F.expr(f"cast(coalesce(cast(key as decimal(20,0)), {2**63}) as decimal(20,0)) * cast({2**31} as decimal(10,0)) + pos").cast("decimal(38,0)")
+    return rows.select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), place.alias("place"))
+
+
+def folded(found: DataFrame) -> DataFrame:
+    """(h1, h2, first, times): one narrow row per distinct line."""
+    return found.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("times"))
+
+
+def first_lines(found: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Each distinct line once, at its first place; ``repeated`` has the lines with more than one."""
+    marked = join_small(found, repeated.select("h1", "h2", "first"), ["h1", "h2"], "left", MAX_IDS)
+    return marked.where(F.col("first").isNull() | (F.col("first") == F.col("place"))).select("h1", "h2", "line")
+
+
+def near_lines(lines: DataFrame, edits: int, min_chars: int) -> DataFrame:
+    """Verified links (a, b) between the identities of distinct ``lines`` (h1, h2, line)."""
+    n = F.col("n")
+    sized = lines.select("h1", "h2", "line", F.length("line").alias("n")).where(n >= min_chars)
+    keyed = sized.select("h1", F.array(*_index_keys(F.col("line"), n, edits)).alias("index"), F.array(*_probe_keys(F.col("line"), n, edits)).alias("probe"))
+    keyed = written(keyed, "line-keys")
+    sides = F.array(F.struct(F.lit(True).alias("held"), F.col("index").alias("keys")), F.struct(F.lit(False).alias("held"), F.col("probe").alias("keys")))
+    rows = keyed.select("h1", F.inline(sides)).select("h1", "held", F.explode("keys").alias("k"))
+    # most substrings stand in one line: what is compared are keys that one line holds and another probes
+    met = rows.groupBy("k").agg(F.max("held").alias("held"), F.min("held").alias("all_held"), F.min("h1").alias("lo"), F.max("h1").alias("hi"))
+    met = written(met.where("held AND NOT all_held AND lo <> hi").select("k"), "line-met")
+    rows = written(join_small(rows, met, "k", "left_semi", MAX_IDS), "line-rows")
+    ids = rows.select("h1").distinct()
+    found = join_small(sized.select("h1", "h2", "line"), ids, "h1", "left_semi", MAX_IDS)
+    one, two = _letter_counts(F.col("line"))
+    texts = written(found.select("h1", "h2", "line", one.alias("l1"), two.alias("l2")), "line-texts")
+    lettered = rows.join(texts.select("h1", "l1", "l2"), "h1")
+    indexed = lettered.where("held").select("k", F.col("h1").alias("i"), F.col("l1").alias("i1"), F.col("l2").alias("i2"))
+    probing = lettered.where("NOT held").select("k", F.col("h1").alias("p"), F.col("l1").alias("p1"), F.col("l2").alias("p2"))
+    close = (F.col("i") != F.col("p")) & (_counts_differ(["i1", "i2"], ["p1", "p2"]) <= 2 * edits)
     pairs = indexed.join(probing, (indexed.k == probing.k) & close).select(F.least("i", "p").alias("x"), F.greatest("i", "p").alias("y")).distinct()
     pairs = written(pairs, "line-pairs")
-    ids = pairs.select(F.col("x").alias("h1")).union(pairs.select("y")).distinct()
-    texts = written(join_small(occurrences(docs, key, text), ids, "h1", "left_semi", MAX_IDS).groupBy("h1", "h2").agg(F.any_value("line").alias("line")), "line-texts")
     x = texts.select(F.col("h1").alias("x"), F.struct("h1", "h2").alias("a"), F.col("line").alias("la"))
     y = texts.select(F.col("h1").alias("y"), F.struct("h1", "h2").alias("b"), F.col("line").alias("lb"))
     both = pairs.join(x, "x").join(y, "y")
     shorter = F.length("la") <= F.length("lb")
-    verified = within_edits(F.when(shorter, F.col("la")).otherwise(F.col("lb")), F.when(shorter, F.col("lb")).otherwise(F.col("la")), edits)
-    return both.where(verified).select("a", "b")
+    ordered = both.select("a", "b", F.when(shorter, F.struct(F.col("la").alias("s"), F.col("lb").alias("l"))).otherwise(F.struct(F.col("lb").alias("s"), F.col("la").alias("l"))).alias("o"))
+    return ordered.where(_words_allow(F.col("o.s"), F.col("o.l"), edits)).where(within_edits(F.col("o.s"), F.col("o.l"), edits)).select("a", "b")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(h1, h2, first, near): each repeated line with the first place of its class; ``near`` where that is another line's."""
-    lines = written(distinct_lines(occurrences(docs, key, text), edits, min_chars), "lines")
-    links = written(near_lines(docs, lines, key, text, edits), "line-links")
+    found = occurrences(docs, key, text)
+    lines = written(folded(found), "lines")
+    links = written(near_lines(first_lines(found, lines.where("times > 1")), edits, min_chars), "line-links")
     place = lines.select(F.struct("h1", "h2").alias("id"), "first", "times")
-    linked = components(links)
-    joined = join_small(place, linked, "id", "left", MAX_IDS)
+    joined = join_small(place, components(links), "id", "left", MAX_IDS)
     lead = joined.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("lead"))
-    whole = joined.where("component IS NOT NULL").join(lead, "component").select("id", "first", "times", "lead")
-    alone = joined.where("component IS NULL AND times > 1").select("id", "first", "times", F.col("first").alias("lead"))
-    every = whole.union(alone)
-    return every.select("id.h1", "id.h2", F.col("lead").alias("first"), (F.col("first") != F.col("lead")).alias("near"))
+    whole = joined.where("component IS NOT NULL").join(lead, "component").select("id", "first", "lead")
+    alone = joined.where("component IS NULL AND times > 1").select("id", "first", F.col("first").alias("lead"))
+    return whole.union(alone).select("id.h1", "id.h2", F.col("lead").alias("first"), (F.col("first") != F.col("lead")).alias("near"))
 
 
 def removed(docs: DataFrame, key: str = "doc_id", text: str = "text", edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(key, cut, n_near): per document the positions to remove, ascending, and how many are near copies only."""
     repeated = written(classes(docs, key, text, edits, min_chars), "line-classes")
-    found = occurrences(docs, key, text).select("key", "pos", "h1", "h2").where("key IS NOT NULL")
-    extra = found.join(repeated, ["h1", "h2"]).where((F.col("first.key") != F.col("key")) | F.col("first.unknown") | (F.col("first.pos") != F.col("pos")))
+    found = occurrences(docs, key, text).select("key", "pos", "h1", "h2", "place").where("key IS NOT NULL")
+    extra = join_small(found, repeated, ["h1", "h2"], "inner", MAX_IDS).where("first <> place")
     return extra.groupBy("key").agg(F.array_sort(F.collect_set("pos")).alias("cut"), F.count_distinct(F.when(F.col("near"), F.col("pos"))).alias("n_near"))
 
 
