@@ -234,12 +234,17 @@ def remove_items(
     Hit ranges are cut out of the text (and the text is matched again until nothing is hit, since a
     cut joins what stood around it); a document of whose words more than ``max_coverage`` are hit is
     dropped.  ``chars`` is the length of the new text, where that column exists.  Shards are applied
-    one after the other, each to what the one before left.
+    one after the other, again and again until none of them changes a text.
     """
     shards = _shards(items, item_id, item_text, shard_bytes)
-    for k, shard in enumerate(shards):
-        docs = _remove(docs if k == 0 else written(docs, "cleaned"), shard, text, chars, window, max_coverage)
-    return docs
+    if len(shards) == 1:
+        return _remove(docs, shards[0], text, chars, window, max_coverage)
+    while True:
+        volume = docs.agg(F.count("*"), F.sum(F.length(text))).first()
+        for shard in shards:
+            docs = written(_remove(docs, shard, text, chars, window, max_coverage), "cleaned")
+        if docs.agg(F.count("*"), F.sum(F.length(text))).first() == volume:  # cuts only ever shorten
+            return docs
 
 
 def _remove(docs: DataFrame, shard: list[tuple[str, bytes]], text: str, chars: str, window: int, max_coverage: float) -> DataFrame:

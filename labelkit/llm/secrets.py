@@ -36,6 +36,8 @@ LEAST_RATIO = 1.0
 SAMPLE_DOCS = 4000
 """Documents with known secrets, and as many others, that the models learn from."""
 MIN_SAMPLES = 20
+BACKOFF = 5.0
+"""Weight of single-character frequencies in the transition probabilities."""
 _CODES = np.full(128, 64, np.int64)
 for _i, _c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"):
     _CODES[ord(_c)] = _i
@@ -106,8 +108,9 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id", sample_docs:
         return None
     logs = []
     for one in counts:
-        square = one.reshape(STATES, STATES) + 0.5
-        logs.append(np.log(square / square.sum(1, keepdims=True)))
+        square = one.reshape(STATES, STATES)
+        alone = (square.sum(0) + 0.5) / (square.sum() + 0.5 * STATES)  # what follows where the character before was not seen
+        logs.append(np.log((square + BACKOFF * alone) / (square.sum(1, keepdims=True) + BACKOFF)))
     return (logs[0] - logs[1]).ravel()
 
 
