@@ -8,8 +8,9 @@ Reading: archives are split at every ``WARC/1.0`` line wherever it stands, also
 files are read by many tasks.  Each piece is a candidate record with a successor: its own place plus
 what its header says.  A task follows its candidates to where each chain leaves the split; pointer
 jumping over splits then tells, from the start of each file, the entry of every split, and a second
-local walk marks the records that are reachable.  A marker inside a payload is never reached; the
-pieces behind it are joined to the record they belong to.
+local walk gives out the records that are reachable.  A marker inside a payload is never reached; the
+pieces behind it are joined to the record they belong to.  Payloads are not shuffled, but for records
+that hold a marker and cross a split.
 
 Defined results: a null payload is empty; a null id gives a record without id, always a response, never
 referred to; repeated rows are written as often as they occur, those with the smallest id all as
@@ -27,11 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from labelkit.llm.registry import query
-from labelkit.operators.bounded import join_small
+from labelkit.operators.bounded import is_small, join_small
 from labelkit.plans.registry import table
 from labelkit.session import shared_dir, written
 
 MIN_BYTES = 100
+MAX_SPLITS = 200_000
+"""Largest number of splits whose entries are broadcast."""
 BREAK = "\r\n"
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
@@ -128,8 +131,8 @@ def _candidates(pieces: DataFrame) -> DataFrame:
     return pieces.mapInArrow(run, "file string, block long, place long, successor long, bytes long")
 
 
-def reachable(candidates: DataFrame) -> DataFrame:
-    """(file, block, place, start, owner): every piece with its place in the file and the record it belongs to (null before the first)."""
+def entries(candidates: DataFrame) -> DataFrame:
+    """(file, block, base, entry): where each split begins in its file, and the place of its first reachable record (null without one)."""
     splits = candidates.groupBy("file", "block").agg(F.sum("bytes").alias("bytes"))
     before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     based = splits.select("file", "block", F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base"), "bytes")
@@ -166,74 +169,112 @@ def reachable(candidates: DataFrame) -> DataFrame:
         hop = jump.select("file", F.col("at").alias("to"), F.col("to").alias("then"))
         jump = written(jump.join(hop, ["file", "to"], "left").select("file", "at", F.coalesce("then", "to").alias("to")), "warc-jumps")
 
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for file, starts, nexts, _, entries in _by_split(batches, True):
-            want, hit = set(entries), []
-            for s, n in zip(starts, nexts):
-                if s in want:
-                    hit.append(s)
-                    want.add(n)
-            yield pa.record_batch([pa.array([file] * len(hit), pa.string()), pa.array(hit, pa.int64())], ["file", "start"])
-
-    entered = placed.join(grown.select("file", F.col("at").alias("start"), F.lit(True).alias("entry")), ["file", "start"], "left")
-    together = entered.select("file", "block", "start", "next", "until", "entry").repartition("file", "block").sortWithinPartitions("file", "block", "start")
-    heads = together.mapInArrow(marked, "file string, start long").withColumn("head", F.lit(True))
-    owner = F.max(F.when(F.col("head"), F.col("start"))).over(W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, 0))
-    return placed.join(heads, ["file", "start"], "left").select("file", "block", "place", "start", owner.alias("owner"))
+    first = placed.join(grown.select("file", F.col("at").alias("start")), ["file", "start"]).groupBy("file", "block").agg(F.min("place").alias("entry"))
+    return based.select("file", "block", "base").join(first, ["file", "block"], "left")
 
 
-def _by_split(batches: Iterator[pa.RecordBatch], entries: bool = False) -> Iterator[tuple]:
-    """Rows of each (file, block) together: file, starts, successors, end of the split and, if asked, the entries."""
-    key, starts, nexts, until, marks = None, [], [], 0, []
+def _by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows of each (file, block) together: file, starts, successors, end of the split."""
+    key, starts, nexts, until = None, [], [], 0
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("file", "block", "start", "next", "until")] + ([batch.column("entry").to_pylist()] if entries else [[None] * batch.num_rows])
-        for file, block, s, n, u, e in zip(*columns):
+        for file, block, s, n, u in zip(*(batch.column(c).to_pylist() for c in ("file", "block", "start", "next", "until"))):
             if (file, block) != key:
                 if key is not None:
-                    yield (key[0], starts, nexts, until, marks) if entries else (key[0], starts, nexts, until)
-                key, starts, nexts, marks = (file, block), [], [], []
+                    yield key[0], starts, nexts, until
+                key, starts, nexts = (file, block), [], []
             starts.append(s)
             nexts.append(n)
             until = u
-            if e:
-                marks.append(s)
     if key is not None:
-        yield (key[0], starts, nexts, until, marks) if entries else (key[0], starts, nexts, until)
+        yield key[0], starts, nexts, until
+
+
+def _assembled(batches: Iterator[pa.RecordBatch], limit: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """(file, start, head, whole, piece): records that end in their split, glued, and the pieces of those that do not.
+
+    Rows come in file order with ``base`` and ``entry`` of their split.  From the entry on, each record's
+    header tells where the next one starts; what stands in between is part of it.
+    """
+    names, types = ["file", "start", "head", "whole", "piece"], [pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary()]
+    out: list[tuple] = []
+    volume = 0
+    key, held, expected, end = None, [], None, 0
+
+    def close(reached: bool) -> None:
+        """Give out what is held: glued if the record is known to end here, else piece by piece."""
+        nonlocal volume
+        if held:
+            if reached:
+                out.append((key[0], held[0][0], True, True, MAGIC.encode().join(h[2] for h in held)))
+            else:
+                out.extend((key[0], start, head, False, piece) for start, head, piece in held)
+            volume += sum(len(h[2]) for h in held)
+            held.clear()
+
+    for batch in batches:
+        for file, block, at, piece, base, entry in zip(*(batch.column(c).to_pylist() for c in ("file", "block", "place", "piece", "base", "entry"))):
+            if (file, block) != key:
+                close(expected is not None and expected == end)
+                key, expected = (file, block), entry
+                inside = False
+            if expected is not None and at == expected:
+                close(inside)
+                step = _successor(piece)
+                expected, inside = None if step is None else at + step, True
+                held.append((base + at, True, piece))
+            elif at > 0 or block > 0:
+                if not inside:
+                    close(False)
+                held.append((base + at, False, piece))
+            end = at + len(piece) + len(MAGIC)
+            if volume >= limit:
+                yield pa.record_batch([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names)
+                out.clear()
+                volume = 0
+    close(expected is not None and expected == end)
+    if out:
+        yield pa.record_batch([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """(header map, payload binary, start, file) of every record in the archives below ``path``."""
     pieces = _pieces(spark, path)
-    places = written(reachable(_candidates(pieces)), "warc-places")
+    splits = written(entries(_candidates(pieces)), "warc-splits")
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _rebatched(_offset_pieces(batches)):
-            yield batch
+        yield from _rebatched(_offset_pieces(batches))
 
     parts = pieces.mapInArrow(placed, "file string, block long, place long, piece binary")
-    owned = parts.join(places.where("owner IS NOT NULL"), ["file", "block", "place"]).select("file", "owner", "start", "piece")
-    several = places.where("owner IS NOT NULL").groupBy("file", "owner").agg(F.count("*").alias("n")).where("n > 1").select("file", "owner", F.lit(True).alias("split"))
-    flagged = join_small(owned, written(several, "warc-several"), ["file", "owner"], "left")
-    single = flagged.where("split IS NULL").select("file", "owner", "piece")
-    joined = flagged.where("split").groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("start", "piece"))).alias("p"))
+    if is_small(splits, MAX_SPLITS):
+        known = parts.join(F.broadcast(splits), ["file", "block"])  # rows keep their order
+    else:
+        known = parts.join(splits, ["file", "block"]).repartition("file", "block").sortWithinPartitions("file", "block", "place")
+    rows = known.mapInArrow(_assembled, "file string, start long, head boolean, whole boolean, piece binary")
+    # records cut by the end of a split: few, and only those that hold a marker or end a file early
+    owner = F.max(F.when(F.col("head"), F.col("start"))).over(W.partitionBy("file").orderBy("start").rowsBetween(W.unboundedPreceding, 0))
+    cut = rows.where("NOT whole").select("file", "start", "piece", owner.alias("owner")).where("owner IS NOT NULL")
+    joined = cut.groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("start", "piece"))).alias("p"))
     glued = joined.select("file", "owner", F.aggregate("p", F.lit(b""), lambda s, x: F.when(F.length(s) == 0, x.piece).otherwise(F.concat(s, F.lit(MAGIC.encode()), x.piece))).alias("piece"))
+    single = rows.where("whole").select("file", F.col("start").alias("owner"), "piece")
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            headers, payloads = [], []
+            headers, payloads, there = [], [], []
             for piece in batch.column("piece").to_pylist():
                 stop = piece.find(b"\r\n\r\n")
                 header = {}
                 for line in piece[:stop].decode("utf-8", "replace").split(BREAK):
                     name, _, value = line.partition(":")
                     header[name.strip()] = value.strip()
-                block = piece[stop + 4 : stop + 4 + int(header.get("Content-Length", 0))]
+                size = int(header.get("Content-Length", 0))
+                block = piece[stop + 4 : stop + 4 + size]
+                there.append(len(block) == size)
                 cut = block.find(b"\r\n\r\n")
                 headers.append(list(header.items()))
                 payloads.append(block[cut + 4 :] if cut >= 0 else block)
             yield pa.record_batch(
                 [batch.column("file"), batch.column("owner"), pa.array(headers, pa.map_(pa.string(), pa.string())), pa.array(payloads, pa.binary())], ["file", "start", "header", "payload"]
-            )
+            ).filter(pa.array(there, pa.bool_()))
 
     return single.union(glued).mapInArrow(parsed, "file string, start long, header map<string,string>, payload binary")
 
