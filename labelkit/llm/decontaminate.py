@@ -31,6 +31,7 @@ from labelkit.session import written
 WINDOW = 10
 MAX_COVERAGE = 0.5
 SHARD_BYTES = 1_000_000
+GROUP_BYTES = 32_000_000
 
 
 class ItemAutomaton:
@@ -149,6 +150,52 @@ def _automaton(shared, window: int) -> ItemAutomaton:
     return _BUILT[key]
 
 
+def _merged(ranges: list[list[int]]) -> list[list[int]]:
+    """Ranges [start, end) that overlap or touch, as one each."""
+    out: list[list[int]] = []
+    for a, b in sorted(ranges):
+        if out and out[-1][1] >= a:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
+def _matched(shared: list, window: int, texts: list[list[bytes]]) -> list[tuple[list[list[int]], set[str]]]:
+    """Merged hit ranges and items of each text over all shards, one automaton in memory at a time."""
+    if len(shared) == 1:
+        return [_automaton(shared[0], window).match(words) for words in texts]
+    found: list[tuple[list[list[int]], set[str]]] = [([], set()) for _ in texts]
+    for shard in shared:
+        automaton = _automaton(shard, window)
+        for (ranges, items), words in zip(found, texts):
+            more, names = automaton.match(words)
+            ranges += more
+            items |= names
+    return [(_merged(ranges), items) for ranges, items in found]
+
+
+def _cut(raw: bytes, ranges: list[list[int]]) -> bytes:
+    places, kept, done = [m.span() for m in WORD.finditer(raw)], [], 0
+    for a, b in ranges:
+        kept.append(raw[done : places[a][0]])
+        done = places[b - 1][1]
+    return b"".join(kept) + raw[done:]
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to ``GROUP_BYTES`` of text, so that automata of many shards are built seldom."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(text).nbytes
+        if size >= GROUP_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 FOUND = "n_words: long, ranges: array<array<int>>, items: array<string>"
 FOUND_TYPE = pa.struct([("n_words", pa.int64()), ("ranges", pa.list_(pa.list_(pa.int32()))), ("items", pa.list_(pa.string()))])
 
@@ -233,47 +280,33 @@ def remove_items(
 
     Hit ranges are cut out of the text (and the text is matched again until nothing is hit, since a
     cut joins what stood around it); a document of whose words more than ``max_coverage`` are hit is
-    dropped.  ``chars`` is the length of the new text, where that column exists.  Shards are applied
-    one after the other, again and again until none of them changes a text.
+    dropped.  ``chars`` is the length of the new text, where that column exists.  Coverage is judged
+    once, on the whole text and the merged ranges of all shards, and all ranges are cut at once, so
+    what goes does not depend on how the items are dealt to shards.
     """
-    shards = _shards(items, item_id, item_text, shard_bytes)
-    if len(shards) == 1:
-        return _remove(docs, shards[0], text, chars, window, max_coverage)
-    while True:
-        volume = docs.agg(F.count("*"), F.sum(F.length(text))).first()
-        for shard in shards:
-            docs = written(_remove(docs, shard, text, chars, window, max_coverage), "cleaned")
-        if docs.agg(F.count("*"), F.sum(F.length(text))).first() == volume:  # cuts only ever shorten
-            return docs
-
-
-def _remove(docs: DataFrame, shard: list[tuple[str, bytes]], text: str, chars: str, window: int, max_coverage: float) -> DataFrame:
-    shared, names = _broadcast(docs.sparkSession, shard), docs.columns
-
-    def clean(automaton: ItemAutomaton, value: str) -> str | None:
-        raw = value.encode("utf-8", "surrogatepass")
-        words = lower_words(raw)
-        ranges, _ = automaton.match(words)
-        if not ranges:
-            return value
-        if sum(b - a for a, b in ranges) > max_coverage * len(words):
-            return None
-        while ranges:
-            places = [m.span() for m in WORD.finditer(raw)]
-            kept, done = [], 0
-            for a, b in ranges:
-                kept.append(raw[done : places[a][0]])
-                done = places[b - 1][1]
-            raw = b"".join(kept) + raw[done:]
-            ranges, _ = automaton.match(lower_words(raw))
-        return raw.decode("utf-8", "surrogatepass")
+    shared = [_broadcast(docs.sparkSession, shard) for shard in _shards(items, item_id, item_text, shard_bytes)]
+    names = docs.columns
+
+    def clean(values: list[str | None]) -> list[str | None]:
+        raw = {i: v.encode("utf-8", "surrogatepass") for i, v in enumerate(values) if v is not None}
+        done, first = list(values), True
+        while raw:
+            listed = {i: lower_words(r) for i, r in raw.items()}
+            hit = {i: ranges for i, (ranges, _) in zip(listed, _matched(shared, window, list(listed.values()))) if ranges}
+            if first:
+                for i in [i for i, ranges in hit.items() if sum(b - a for a, b in ranges) > max_coverage * len(listed[i])]:
+                    done[i] = None
+                    del hit[i]
+            raw, first = {i: _cut(raw[i], ranges) for i, ranges in hit.items()}, False
+            for i, r in raw.items():
+                done[i] = r.decode("utf-8", "surrogatepass")
+        return done
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = _automaton(shared, window)
-        for batch in batches:
+        for batch in batches if len(shared) == 1 else _grouped(batches, text):
             at = batch.schema.get_field_index(text)
             old = batch.column(at).to_pylist()
-            new = [None if v is None else clean(automaton, v) for v in old]
+            new = clean(old)
             keep = pa.array([v is None or n is not None for v, n in zip(old, new)], pa.bool_())
             columns = list(batch.columns)
             columns[at] = pa.array(new, batch.schema.field(at).type)

@@ -164,3 +164,21 @@ def test_cut_text_and_counts(spark):
     short = "Before;  - after these many other words that stay here alone now"
     assert out == {1: (keep, 15, "a"), 2: (short, len(short), None), 3: (None, None, "b")}
     assert decontaminate.remove_items(docs, bench.limit(0)).count() == 4
+
+
+def test_removal_does_not_depend_on_shards(spark):
+    import random
+
+    rng = random.Random(3)
+    item = [[f"i{k}w{j}" for j in range(30)] for k in range(8)]
+    item[7] = item[6][22:] + [f"o{j}" for j in range(12)]  # windows of two items that overlap
+    free = [[f"f{k}w{j}" for j in range(40)] for k in range(40)]
+    texts = [item[a] + free[k] + item[b] for k, (a, b) in enumerate((a, b) for a in range(7) for b in range(a))]  # 60 % covered, half by each
+    texts += [free[22] + item[6] + item[7][8:] + free[23], free[24] + item[6][:25] + item[3][5:] + free[25]]
+    texts += [rng.choice(free) + rng.choice(item)[:rng.randrange(30)] + rng.choice(item) for _ in range(40)]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)] + [(900, None), (901, "")], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(item)], "item_id long, text string")
+    one, *more = [sorted(decontaminate.remove_items(docs, bench, shard_bytes=n).collect(), key=lambda r: r["doc_id"]) for n in (10**6, 700)]
+    assert more == [one]
+    kept = {r["doc_id"] for r in one}
+    assert not kept & set(range(21)) and {21, 22, 900, 901} <= kept
