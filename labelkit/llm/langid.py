@@ -5,7 +5,9 @@ character n-grams.  A word of a text scores by its own frequencies; an unknown w
 n-grams that the model knows, trying five characters down to one.  The language with the greatest sum
 wins, ties go to the name that sorts first; ``score`` is its share after a softmax of mean scores.
 
-Words are lower-cased runs of letters.  Word counts are summed by Spark over a bounded, seeded sample of
+Words are lower-cased runs of letters.  An unknown run of more than ``RUN`` letters, as in scripts
+without blanks, is read to its end in slices of that size that overlap, each scored like a word, so no
+n-gram is left out and a long run weighs more than a short one.  Word counts are summed by Spark over a bounded, seeded sample of
 labelled documents (``sample_docs``); the model keeps the ``vocabulary`` most frequent words and n-grams
 of each length, so what is broadcast is bounded too.
 
@@ -33,6 +35,8 @@ from labelkit.session import written
 SAMPLE_DOCS = 8000
 VOCABULARY = 60_000
 LONGEST = 5
+RUN = 64
+STEP = RUN - LONGEST + 1  # every n-gram that starts in the first STEP letters of a slice ends in it
 UNKNOWN = "und"
 _LETTERS = regex.compile(r"[\p{L}\p{M}]+")
 
@@ -41,6 +45,12 @@ def words(text: str) -> list[str]:
     return _LETTERS.findall(text.lower())
 
 
+def slices(run: str) -> list[str]:
+    """A long run with its marks, in slices: the n-grams that start in their first STEP letters are all of the run's."""
+    padded = f"^{run}$"
+    return [padded[at : at + RUN] for at in range(0, len(padded), STEP)]
+
+
 class Model:
     """Languages, a row of log frequencies per known word, and one per known n-gram."""
 
@@ -68,20 +78,29 @@ class Model:
             return self.cache[word]
         if len(self.cache) > 200_000:
             self.cache.clear()
-        padded, score = f"^{word[:64]}$", None
+        score = self._of_grams(f"^{word}$")
+        self.cache[word] = score
+        return score
+
+    def _of_grams(self, padded: str) -> np.ndarray | None:
         for size in range(min(LONGEST, len(padded)), 0, -1):
             hits = [g for i in range(len(padded) - size + 1) if (g := self.grams.get(padded[i : i + size])) is not None]
             if hits:
-                score = np.mean(hits, axis=0)
-                break
-        self.cache[word] = score
-        return score
+                return np.mean(hits, axis=0)
+        return None
+
+    def _scores(self, listed: list[str]) -> Iterator[np.ndarray | None]:
+        for word in listed:
+            if len(word) <= RUN or word in self.words:
+                yield self.of_word(word)
+            else:  # a last slice that lies within the one before has nothing new
+                yield from (self._of_grams(s) for s in slices(word) if len(s) >= LONGEST)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         listed = words(text) if text else []
         if not listed or not self.langs or not any(c.isalpha() for c in text):
             return UNKNOWN, 0.0
-        scored = [s for s in map(self.of_word, listed) if s is not None]
+        scored = [s for s in self._scores(listed) if s is not None]
         if not scored:
             return self.langs[0], 1.0 / len(self.langs)
         mean = np.sum(scored, axis=0) / len(scored)
@@ -103,22 +122,36 @@ def train(rows: DataFrame, lang: str = "lang", text: str = "text", key: str = "d
         for batch in batches:
             for name, value in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 totals.setdefault(name, Counter()).update(words(value))
-        rows = [(name, w, n) for name, c in totals.items() for w, n in c.items()]
-        yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
-
-    per_word = written(chosen.mapInArrow(counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "langid-words")
+        for name, c in totals.items():
+            rows = []
+            for w, n in c.items():
+                rows.append((name, w, None, n))
+                if len(w) > RUN:
+                    rows += [(name, None, s, n) for s in slices(w)]
+                if len(rows) >= 10_000:
+                    yield batch_of(rows)
+                    rows = []
+            yield batch_of(rows)
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        types = {"lang": pa.string(), "word": pa.string(), "slice": pa.string(), "n": pa.int64()}
+        return pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(types.values())], list(types))
+
+    # a row per word, and per slice of the words longer than RUN
+    per_word = written(chosen.mapInArrow(counted, "lang string, word string, slice string, n long").groupBy("lang", "word", "slice").agg(F.sum("n").alias("n")), "langid-words")
 
     def top(counts: DataFrame) -> dict[str, dict[str, int]]:
         best = counts.groupBy("unit").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))  # a row per language
         return {r["unit"]: r["by"] for r in best.orderBy(F.desc("all"), "unit").limit(vocabulary).collect()}
 
     grams: dict[str, dict[str, int]] = {}
-    padded = F.concat(F.lit("^"), F.substring("word", 1, 64), F.lit("$"))
+    padded = F.coalesce("slice", F.when(F.length("word") <= RUN, F.concat(F.lit("^"), "word", F.lit("$"))))
+    starts = F.when(F.col("slice").isNotNull(), F.lit(STEP)).otherwise(F.length(padded))
     for size in range(1, LONGEST + 1):
-        pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - size + 1, F.lit(1))), lambda i: F.substring(padded, i, F.lit(size)))  # noqa: B023
+        pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.least(F.length(padded) - size + 1, starts), F.lit(1))), lambda i: F.substring(padded, i, F.lit(size)))  # noqa: B023
         units = per_word.select("lang", "n", F.explode(pieces).alias("unit")).where(F.length("unit") == size)
         grams |= top(units.groupBy("unit", "lang").agg(F.sum("n").alias("n")))
-    return Model(langs, top(per_word.withColumnRenamed("word", "unit")), grams)
+    return Model(langs, top(per_word.where("word IS NOT NULL").select("lang", F.col("word").alias("unit"), "n")), grams)
 
 
 _LOADED: dict[bytes, Model] = {}

@@ -116,6 +116,19 @@ def test_languages(spark):
     assert none.predict("some text") == ("und", 0.0)
 
 
+def test_long_runs_are_read_to_their_end(spark):
+    rng = random.Random(9)
+    run = lambda letters, n: "".join(rng.choices(letters, k=n))
+    head, rows = run("abcd", 64), []
+    rows += [(i, head + run("mnop", 400), "x") for i in range(10)] + [(100 + i, run("abcd", 300), "y") for i in range(10)]
+    rows += [(200 + i, " ".join(run("qrst", 5) for _ in range(20)), "z") for i in range(10)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    every = Counter(g[i : i + 3] for _, t, _ in rows for w in t.split() for g in [f"^{w}$"] for i in range(len(g) - 2))
+    assert {g for g in model.grams if len(g) == 3} == set(every)
+    assert model.predict(head + run("mnop", 200))[0] == "x" and model.predict(head + run("qrst", 500))[0] == "z"
+    assert model.predict(run("abcd", 20_000))[0] == "y" and langid.slices("a" * 58) == ["^" + "a" * 58 + "$"]
+
+
 @needs_data
 def test_language_accuracy_on_held_out_documents(spark):
     got = langid.op8_language_id(spark, FOLDER)
