@@ -7,9 +7,10 @@ wins, ties go to the name that sorts first; ``score`` is its share after a softm
 
 Words are lower-cased runs of letters.  An unknown run of more than ``RUN`` letters, as in scripts
 without blanks, is read to its end in slices of that size that overlap, each scored like a word, so no
-n-gram is left out and a long run weighs more than a short one.  Word counts are summed by Spark over a bounded, seeded sample of
-labelled documents (``sample_docs``); the model keeps the ``vocabulary`` most frequent words and n-grams
-of each length, so what is broadcast is bounded too.
+n-gram is left out and a long run weighs more than a short one.  Word counts are summed by Spark over a
+seeded sample of about ``sample_docs`` labelled documents of each language (all of a language that has
+fewer); the model keeps the ``vocabulary`` most frequent words and n-grams of each length of each
+language, so what is broadcast is bounded by the number of languages.
 
 Defined results: null text or text without a letter is ``und`` with score 0; without any training row
 everything is ``und``; rows with null language or null text do not train; repeated documents are
@@ -27,8 +28,9 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelkit.functions.hashing import hash_order
+from labelkit.functions.hashing import unit_draw
 from labelkit.llm.registry import query
+from labelkit.operators.bounded import join_small, local_table
 from labelkit.plans.registry import table
 from labelkit.session import written
 
@@ -51,29 +53,32 @@ def slices(run: str) -> list[str]:
     return [padded[at : at + RUN] for at in range(0, len(padded), STEP)]
 
 
+Counts = tuple[list[str], np.ndarray]
+"""Units, and a row of counts per unit with a column per language."""
+
+
 class Model:
     """Languages, a row of log frequencies per known word, and one per known n-gram."""
 
-    def __init__(self, langs: list[str], counts: dict[str, dict[str, int]], grams: dict[str, dict[str, int]]) -> None:
+    def __init__(self, langs: list[str], counts: Counts, grams: list[Counts]) -> None:
         self.langs = langs
-        self.words = self._table(counts)
-        self.grams: dict[str, np.ndarray] = {}
-        for size in range(1, LONGEST + 1):
-            self.grams |= self._table({g: c for g, c in grams.items() if len(g) == size})
+        self.words, self.word_logs = self._table([counts])
+        self.grams, self.gram_logs = self._table(grams)
         self.cache: dict[str, np.ndarray] = {}
 
-    def _table(self, counts: dict[str, dict[str, int]]) -> dict[str, np.ndarray]:
-        names = list(counts)
-        matrix = np.array([[counts[w].get(lang, 0) for lang in self.langs] for w in names], float).reshape(len(names), len(self.langs))
-        total = matrix.sum(0, keepdims=True)
-        logs = np.log((matrix + 0.5) / (total + 0.5 * max(1, len(names))))
-        return dict(zip(names, logs))
+    def _table(self, tables: list[Counts]) -> tuple[dict[str, int], np.ndarray]:
+        """Row number of each unit, and the rows; each table has its own totals."""
+        names, logs = [], [np.empty((0, len(self.langs)))]
+        for units, matrix in tables:
+            names += units
+            logs.append(np.log((matrix + 0.5) / (matrix.sum(0, keepdims=True) + 0.5 * max(1, len(units)))))
+        return {name: i for i, name in enumerate(names)}, np.concatenate(logs)
 
     def of_word(self, word: str) -> np.ndarray | None:
         """Log frequencies of one word in each language; None where even its letters are unknown."""
         found = self.words.get(word)
         if found is not None:
-            return found
+            return self.word_logs[found]
         if word in self.cache:
             return self.cache[word]
         if len(self.cache) > 200_000:
@@ -86,7 +91,7 @@ class Model:
         for size in range(min(LONGEST, len(padded)), 0, -1):
             hits = [g for i in range(len(padded) - size + 1) if (g := self.grams.get(padded[i : i + size])) is not None]
             if hits:
-                return np.mean(hits, axis=0)
+                return self.gram_logs[hits].mean(0)
         return None
 
     def _scores(self, listed: list[str]) -> Iterator[np.ndarray | None]:
@@ -108,12 +113,21 @@ class Model:
         return self.langs[best], 1.0 / float(np.exp(np.minimum((mean - mean[best]) * min(len(scored), 50), 0)).sum())
 
 
+def cut_off(levels: list[tuple[int, int]], limit: int) -> tuple[int, float]:
+    """Frequency above which all units stay, given (frequency, units), and the share of the units at it for which there is room."""
+    for n, units in sorted(levels, reverse=True):
+        if units > limit:
+            return n, limit / units
+        limit -= units
+    return 0, 0.0
+
+
 def train(rows: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", sample_docs: int = SAMPLE_DOCS, vocabulary: int = VOCABULARY) -> Model:
-    """Model of the labelled ``rows``.  At most ``vocabulary`` words and as many n-grams per length reach the driver, with a count per language."""
+    """Model of the labelled ``rows``.  About ``vocabulary`` words of each language and as many n-grams per length reach the driver at most, with a count per language."""
     known = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(f"`{key}`").alias("key"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"))
-    picked = known.select("key", hash_order("langid", "key").alias("o")).orderBy("o", "key").limit(sample_docs).select("key").distinct()
-    chosen = written(known.join(F.broadcast(picked), "key", "left_semi").select("lang", "text"), "langid-sample")  # at most sample_docs keys
-    langs = sorted(r["lang"] for r in chosen.select("lang").distinct().collect())
+    shares = known.groupBy("lang").agg((F.lit(float(sample_docs)) / F.count("*")).alias("share"))
+    drawn = unit_draw("langid", "sample", F.coalesce(F.col("key").cast("string"), F.lit("")), F.xxhash64("text")) < F.col("share")
+    chosen = join_small(known, shares, "lang").where(drawn).select("lang", "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
@@ -139,18 +153,29 @@ def train(rows: DataFrame, lang: str = "lang", text: str = "text", key: str = "d
 
     # a row per word, and per slice of the words longer than RUN
     per_word = written(chosen.mapInArrow(counted, "lang string, word string, slice string, n long").groupBy("lang", "word", "slice").agg(F.sum("n").alias("n")), "langid-words")
-
-    def top(counts: DataFrame) -> dict[str, dict[str, int]]:
-        best = counts.groupBy("unit").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))  # a row per language
-        return {r["unit"]: r["by"] for r in best.orderBy(F.desc("all"), "unit").limit(vocabulary).collect()}
-
-    grams: dict[str, dict[str, int]] = {}
+    langs = sorted(r["lang"] for r in per_word.select("lang").distinct().collect())
+
+    def top(counts: DataFrame) -> Counts:
+        if not langs:
+            return [], np.zeros((0, 0))
+        counts = written(counts, "langid-units")
+        levels = counts.groupBy("lang", "n").agg(F.count("*").alias("units")).collect()  # a row per language and frequency
+        cuts = [cut_off([(r["n"], r["units"]) for r in levels if r["lang"] == name], vocabulary) for name in langs]
+        floors = local_table(rows.sparkSession, {"lang": langs, "floor": [c[0] for c in cuts], "share": [c[1] for c in cuts]}, "lang string, floor long, share double")
+        in_share = F.crc32(F.col("unit").cast("binary")) / F.lit(4294967296.0) < F.col("share")
+        best = join_small(counts, floors, "lang").where((F.col("n") > F.col("floor")) | (F.col("n") == F.col("floor")) & in_share).select("unit").distinct()
+        by = counts.join(best, "unit", "left_semi").groupBy("unit").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))  # an entry per language
+        row = F.transform(F.array(*map(F.lit, langs)), lambda name: F.coalesce(F.col("by")[name], F.lit(0).cast("bigint")))
+        kept = by.select("unit", row.alias("row")).toArrow()  # not as rows, which take many times the memory
+        return kept["unit"].to_pylist(), kept["row"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, len(langs))
+
+    grams: list[Counts] = []
     padded = F.coalesce("slice", F.when(F.length("word") <= RUN, F.concat(F.lit("^"), "word", F.lit("$"))))
     starts = F.when(F.col("slice").isNotNull(), F.lit(STEP)).otherwise(F.length(padded))
     for size in range(1, LONGEST + 1):
         pieces = F.transform(F.sequence(F.lit(1), F.greatest(F.least(F.length(padded) - size + 1, starts), F.lit(1))), lambda i: F.substring(padded, i, F.lit(size)))  # noqa: B023
         units = per_word.select("lang", "n", F.explode(pieces).alias("unit")).where(F.length("unit") == size)
-        grams |= top(units.groupBy("unit", "lang").agg(F.sum("n").alias("n")))
+        grams.append(top(units.groupBy("unit", "lang").agg(F.sum("n").alias("n"))))
     return Model(langs, top(per_word.where("word IS NOT NULL").select("lang", F.col("word").alias("unit"), "n")), grams)
 
 

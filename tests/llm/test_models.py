@@ -129,6 +129,15 @@ def test_long_runs_are_read_to_their_end(spark):
     assert model.predict(run("abcd", 20_000))[0] == "y" and langid.slices("a" * 58) == ["^" + "a" * 58 + "$"]
 
 
+def test_rare_languages_are_learned(spark):
+    large = [(i, f"the house w{chr(97 + i % 26)}{chr(97 + i // 26)} stone", "en") for i in range(600)]
+    rare = [(1000 + i, "gwlad dwfr", "cy") for i in range(3)]
+    model = langid.train(spark.createDataFrame(large + rare, "doc_id long, text string, lang string"), sample_docs=40, vocabulary=12)
+    assert model.langs == ["cy", "en"] and {"gwlad", "dwfr", "the", "house", "stone"} <= set(model.words) and len(model.words) < 30
+    assert model.predict("gwlad")[0] == "cy" and model.predict("the stone")[0] == "en"
+    assert langid.cut_off([(1, 8), (5, 2), (9, 1)], 7) == (1, 0.5) and langid.cut_off([(1, 8)], 8) == (0, 0.0)
+
+
 @needs_data
 def test_language_accuracy_on_held_out_documents(spark):
     got = langid.op8_language_id(spark, FOLDER)
