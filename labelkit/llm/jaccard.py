@@ -244,8 +244,10 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     base = written(prefixes(rows, percent), "prefixes")
     sized = base.where("id IS NOT NULL AND n > 0")
     firsts = sized.groupBy("digest").agg(F.min("id").alias("lead"), F.count("*").alias("times")).where("times > 1").select("digest", "lead")
-    equal = written(join_small(sized.select("id", "digest"), written(firsts, "equal-sets"), "digest", "inner", MAX_IDS).where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")), "equal")
-    entries = join_small(sized, equal.select(F.col("a").alias("id")).distinct(), "id", "left_anti", MAX_IDS).select("id", "n", F.explode("tokens").alias("token"))
+    folded = written(join_small(sized.select("id", "digest"), written(firsts, "equal-sets"), "digest", "inner", MAX_IDS).where("id <> lead").select("id", "digest", "lead"), "equal")
+    equal = folded.select(F.col("id").alias("a"), F.col("lead").alias("b"))
+    # only the row whose set is the lead's leaves the index: other texts of its id stay
+    entries = join_small(sized, folded.select("id", "digest").distinct(), ["id", "digest"], "left_anti", MAX_IDS).select("id", "n", F.explode("tokens").alias("token"))
     shared = entries.groupBy("token").count().where("count > 1").select("token")
     buckets = written(join_small(entries, written(shared, "shared"), "token", "left_semi", MAX_IDS), "buckets")
 

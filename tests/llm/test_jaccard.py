@@ -77,3 +77,12 @@ def test_components_of_chains_and_stars(spark):
     rng.shuffle(edges)
     got = {r["id"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(61)} | {k: 1000 for k in range(1000, 1200)}
+
+
+def test_other_text_of_a_folded_id_keeps_its_links(spark):
+    rng = random.Random(11)
+    first, other = ([f"{c}{rng.randrange(10**6)}" for _ in range(120)] for c in "ab")
+    near = [*other[:119], "changed"]
+    rows = [(1, " ".join(first)), (2, " ".join(first)), (2, " ".join(other)), (3, " ".join(near)), (4, "alone in the world with five words")]
+    _, linked = jaccard.linked_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["id"]: r["component"] for r in linked.collect() if r["id"] != r["component"]} == {2: 1, 3: 1}
