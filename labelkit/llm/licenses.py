@@ -136,6 +136,9 @@ class Scanner:
         for phrase, label in {**NOTICES, **BASE}.items():
             self.phrases.add_word(f" {phrase} ", (phrase, label))
         self.phrases.make_automaton()
+        self.tags = ahocorasick.Automaton()
+        self.tags.add_word(TAG, len(TAG))
+        self.tags.make_automaton()
 
     def scan(self, text: str) -> tuple[int, list[int], set[str], set[str], float | None]:
         """Words, word places of base phrases, base labels, all labels, freedom of the strictest."""
@@ -154,15 +157,13 @@ class Scanner:
                 base.add(label)
             labels.add(label)
             free.append(freedom(label))
-        lowered = text.lower() if TAG in text.lower() else ""
-        at = lowered.find(TAG)
-        while at >= 0:
-            stop = lowered.find("\n", at)
-            found, value = evaluate(leading_expression(lowered[at + len(TAG) : stop if stop >= 0 else len(lowered)]))
+        lowered = text.lower()
+        for end, _ in self.tags.iter(lowered):
+            stop = lowered.find("\n", end)
+            found, value = evaluate(leading_expression(lowered[end + 1 : stop if stop >= 0 else len(lowered)]))
             if found:
                 labels |= found
                 free.append(value)
-            at = lowered.find(TAG, at + 1)
         return len(words), places, base, labels, min(free) if free else None
 
 

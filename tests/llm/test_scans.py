@@ -116,6 +116,15 @@ def test_expressions(text, named, free):
     assert licenses.evaluate(text) == (named, pytest.approx(free))
 
 
+def test_tags_come_from_an_automaton():
+    scanner = licenses.Scanner()
+    tag = "SPDX-License-Identifier:"
+    text = f"é𝄞 {tag} MIT\n{tag}{tag} GPL-2.0 {tag.upper()} Apache-2.0\nspdx-license-identifier MIT {tag}"
+    ends = [m.end() - 1 for m in re.finditer(licenses.TAG, text.lower())]
+    assert [end for end, _ in scanner.tags.iter(text.lower())] == ends and len(ends) == 5
+    assert scanner.scan(text)[3] >= {"mit", "gpl-2.0", "apache-2.0"}
+
+
 def windows(items, size=10):
     out = set()
     for i, text in items:
