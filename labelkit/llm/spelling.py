@@ -9,7 +9,8 @@
    shards whose upper levels are within the budget.  A shard that still has many words is dealt to
    several pieces, all of which are asked.
 4. A task builds the subtree of one shard at a time and searches it depth first with what is left of the
-   budget of one surplus and one deficit; words at the leaves reached are verified.
+   budget of one surplus and one deficit; words at the leaves reached are verified.  Each pair is found from
+   one side: the shorter word asks for longer ones, and a surplus is spent before a deficit.
 5. Every word has at most one form, with a larger count, so forms are trees and their roots come by pointer jumping.
 
 Defined results: null or blank text has no words; rows without id count unchanged; repeated rows count as often
@@ -33,7 +34,7 @@ from labelkit.plans.registry import table
 from labelkit.session import written
 
 GROUPS = 8
-SHARD = 4_000
+SHARD = 20_000
 """Words of a shard beyond which it is cut at a deeper level, or into pieces at the last one."""
 LEAST_LETTERS = 6
 LEAST_COUNT = 5
@@ -93,48 +94,62 @@ def one_edit(a: str, b: str) -> bool:
     return a[k + (len(a) == len(b)) :] == b[k + 1 :]
 
 
-def reachable(prefix: list[int]) -> Iterator[tuple[list[int], int, int]]:
-    """Upper levels within the budget, with the surplus and deficit that are left."""
-    yield prefix, 1, 1
-    depth = range(len(prefix))
-    for up in (None, *depth):
-        for down in (None, *depth):
-            if up == down or (down is not None and not prefix[down]):
-                continue
-            other = list(prefix)
-            if up is not None:
-                other[up] += 1
-            if down is not None:
-                other[down] -= 1
-            yield other, int(up is None), int(down is None)
+def reachable(prefix: list[int]) -> Iterator[tuple[list[int], int]]:
+    """Upper levels within the budget, with what is spent on them (see ``Subtrie.near``)."""
+    yield prefix, 0
+    for up in range(len(prefix)):
+        more = [*prefix[:up], prefix[up] + 1, *prefix[up + 1 :]]
+        yield more, 1
+        for down in range(up + 1, len(prefix)):
+            if more[down]:
+                yield [*more[:down], more[down] - 1, *more[down + 1 :]], 2
 
 
 class Subtrie:
-    """Words below one node, by the successive counts of the levels beneath it."""
+    """Words below one node, by the successive counts of the levels beneath it.
+
+    The words of a leaf are kept by their first and by their last ``half`` letters: words of at least
+    ``2 * half`` letters that are one edit apart have one of these in common.
+    """
 
-    def __init__(self, depth: int) -> None:
+    def __init__(self, depth: int, half: int) -> None:
         self.root: dict = {}
-        self.depth = depth
+        self.depth, self.half = depth, half
 
     def add(self, word: str, n: int) -> None:
         node = self.root
         for count in letter_counts(word)[self.depth :]:
             node = node.setdefault(count, {})
-        node.setdefault("words", []).append((word, n))
+        node.setdefault(("first", word[: self.half]), []).append((word, n))
+        node.setdefault(("last", word[-self.half :]), []).append((word, n))
 
-    def near(self, word: str, surplus: int, deficit: int) -> Iterator[tuple[str, int]]:
-        """Words within the budget, depth first, that are one edit away."""
+    def near(self, word: str, spent: int) -> Iterator[tuple[str, int]]:
+        """Words one edit away, depth first, each pair from one side only.
+
+        A search spends nothing (0: a letter replaced within its group, asked by the smaller word), then one
+        surplus (1: a letter more, asked by the shorter word), then one deficit at a later level (2: a letter
+        replaced by one of an earlier group).
+        """
         wanted = letter_counts(word)[self.depth :]
-        open_nodes = [(self.root, 0, surplus, deficit)]
+        first, last = ("first", word[: self.half]), ("last", word[-self.half :])
+        open_nodes = [(self.root, 0, spent)]
         while open_nodes:
-            node, level, plus, minus = open_nodes.pop()
+            node, level, spent = open_nodes.pop()
             if level == len(wanted):
-                yield from ((w, n) for w, n in node.get("words", ()) if one_edit(word, w))
+                for w, n in node.get(first, ()):
+                    if one_edit(word, w) and (spent or w > word):
+                        yield w, n
+                for w, n in node.get(last, ()):
+                    if w[: self.half] != first[1] and one_edit(word, w) and (spent or w > word):
+                        yield w, n
                 continue
             count = wanted[level]
-            for step, left in ((0, (plus, minus)), (1, (0, minus)), (-1, (plus, 0))):
-                if (step <= 0 or plus) and (step >= 0 or minus) and (child := node.get(count + step)) is not None:
-                    open_nodes.append((child, level + 1, *left))
+            if (child := node.get(count)) is not None:
+                open_nodes.append((child, level + 1, spent))
+            if spent == 0 and (child := node.get(count + 1)) is not None:
+                open_nodes.append((child, level + 1, 1))
+            if spent == 1 and (child := node.get(count - 1)) is not None:
+                open_nodes.append((child, level + 1, 2))
 
 
 def _cut_depth(words: DataFrame, shard: int) -> tuple[int, DataFrame]:
@@ -146,8 +161,11 @@ def _cut_depth(words: DataFrame, shard: int) -> tuple[int, DataFrame]:
     return depth, sizes.select("shard", F.ceil(F.col("size") / shard).cast("int").alias("pieces"))
 
 
-def near_words(counts: DataFrame, shard: int = SHARD) -> DataFrame:
-    """(word, near, near_n): every pair of words one edit apart, in both directions; ``counts`` is (word, n)."""
+def near_words(counts: DataFrame, letters: int = LEAST_LETTERS, shard: int = SHARD) -> DataFrame:
+    """(word, near, near_n): every pair of words one edit apart, in both directions.
+
+    ``counts`` is (word, n) of words with at least ``letters`` letters, which are two or more.
+    """
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,30 +179,31 @@ def near_words(counts: DataFrame, shard: int = SHARD) -> DataFrame:
     def questions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [
-                (",".join(map(str, to)), word, plus, minus)
-                for word, counts in zip(batch.column("word").to_pylist(), batch.column("counts").to_pylist())
-                for to, plus, minus in reachable(counts[:depth])
+                (",".join(map(str, to)), word, n, spent)
+                for word, n, counts in zip(*(batch.column(c).to_pylist() for c in ("word", "n", "counts")))
+                for to, spent in reachable(counts[:depth])
             ]
             columns = list(zip(*rows)) or [()] * 4
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.int32())
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], ["shard", "word", "plus", "minus"])
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int32())
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], ["shard", "word", "n", "spent"])
 
-    asked = words.mapInArrow(questions, "shard string, word string, plus int, minus int")
-    asked = join_small(asked, sizes, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.lit(1).alias("asks"), "word", F.lit(0).cast("long").alias("n"), "plus", "minus")
-    own = words.select(F.array_join(F.slice("counts", 1, depth), ",").alias("shard"), "word", "n")
-    entries = join_small(own, sizes, "shard").select("shard", F.pmod(F.xxhash64("word"), F.col("pieces")).cast("int").alias("piece"), F.lit(0).alias("asks"), "word", "n", F.lit(0).alias("plus"), F.lit(0).alias("minus"))
+    asked = join_small(words.mapInArrow(questions, "shard string, word string, n long, spent int"), sizes, "shard")
+    asked = asked.select("shard", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.lit(1).alias("asks"), "word", "n", "spent")
+    own = join_small(words.select(F.array_join(F.slice("counts", 1, depth), ",").alias("shard"), "word", "n"), sizes, "shard")
+    entries = own.select("shard", F.pmod(F.xxhash64("word"), F.col("pieces")).cast("int").alias("piece"), F.lit(0).alias("asks"), "word", "n", F.lit(0).alias("spent"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, trie = None, Subtrie(depth)
+        at, trie = None, Subtrie(depth, letters // 2)
         for batch in batches:
             found: list[tuple[str, str, int]] = []
-            for shard, piece, asks, word, n, plus, minus in zip(*(c.to_pylist() for c in batch.columns)):
+            for shard, piece, asks, word, n, spent in zip(*(c.to_pylist() for c in batch.columns)):
                 if (shard, piece) != at:
-                    at, trie = (shard, piece), Subtrie(depth)
-                if asks:
-                    found += [(word, near, times) for near, times in trie.near(word, plus, minus)]
-                else:
+                    at, trie = (shard, piece), Subtrie(depth, letters // 2)
+                if not asks:
                     trie.add(word, n)
+                    continue
+                for near, near_n in trie.near(word, spent):
+                    found += [(word, near, near_n), (near, word, n)]
             columns = list(zip(*found)) or [()] * 3
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64()))], ["word", "near", "near_n"])
 
@@ -202,9 +221,9 @@ def roots(forms: DataFrame) -> DataFrame:
         to = written(to.join(further, "root", "left").select("word", F.coalesce("next", "root").alias("root")), "roots")
 
 
-def spelling_variants(counts: DataFrame, times: int = TIMES, shard: int = SHARD) -> DataFrame:
+def spelling_variants(counts: DataFrame, times: int = TIMES, letters: int = LEAST_LETTERS, shard: int = SHARD) -> DataFrame:
     """(word, form, root, n, n_near, form_n) of every word of ``counts`` (word, n)."""
-    near = near_words(counts, shard).groupBy("word").agg(
+    near = near_words(counts, letters, shard).groupBy("word").agg(
         F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best")
     )
     judged = counts.join(near, "word", "left").select(
