@@ -108,20 +108,21 @@ def reachable(prefix: list[int]) -> Iterator[tuple[list[int], int]]:
 class Subtrie:
     """Words below one node, by the successive counts of the levels beneath it.
 
-    The words of a leaf are kept by their first and by their last ``half`` letters: words of at least
-    ``2 * half`` letters that are one edit apart have one of these in common.
+    The words of a leaf, which are equally long, are kept by their first and by their last letters: a word
+    of 2h or 2h + 1 letters has its first or its last h in common with any word one edit away that is not shorter.
     """
 
-    def __init__(self, depth: int, half: int) -> None:
+    def __init__(self, depth: int) -> None:
         self.root: dict = {}
-        self.depth, self.half = depth, half
+        self.depth = depth
 
     def add(self, word: str, n: int) -> None:
         node = self.root
         for count in letter_counts(word)[self.depth :]:
             node = node.setdefault(count, {})
-        node.setdefault(("first", word[: self.half]), []).append((word, n))
-        node.setdefault(("last", word[-self.half :]), []).append((word, n))
+        for half in {len(word) // 2, (len(word) - 1) // 2}:
+            node.setdefault(("first", word[:half]), []).append((word, n))
+            node.setdefault(("last", word[len(word) - half :]), []).append((word, n))
 
     def near(self, word: str, spent: int) -> Iterator[tuple[str, int]]:
         """Words one edit away, depth first, each pair from one side only.
@@ -131,7 +132,8 @@ class Subtrie:
         replaced by one of an earlier group).
         """
         wanted = letter_counts(word)[self.depth :]
-        first, last = ("first", word[: self.half]), ("last", word[-self.half :])
+        half = len(word) // 2
+        first, last = ("first", word[:half]), ("last", word[len(word) - half :])
         open_nodes = [(self.root, 0, spent)]
         while open_nodes:
             node, level, spent = open_nodes.pop()
@@ -140,7 +142,7 @@ class Subtrie:
                     if one_edit(word, w) and (spent or w > word):
                         yield w, n
                 for w, n in node.get(last, ()):
-                    if w[: self.half] != first[1] and one_edit(word, w) and (spent or w > word):
+                    if w[:half] != first[1] and one_edit(word, w) and (spent or w > word):
                         yield w, n
                 continue
             count = wanted[level]
@@ -161,11 +163,8 @@ def _cut_depth(words: DataFrame, shard: int) -> tuple[int, DataFrame]:
     return depth, sizes.select("shard", F.ceil(F.col("size") / shard).cast("int").alias("pieces"))
 
 
-def near_words(counts: DataFrame, letters: int = LEAST_LETTERS, shard: int = SHARD) -> DataFrame:
-    """(word, near, near_n): every pair of words one edit apart, in both directions.
-
-    ``counts`` is (word, n) of words with at least ``letters`` letters, which are two or more.
-    """
+def near_words(counts: DataFrame, shard: int = SHARD) -> DataFrame:
+    """(word, near, near_n): every pair of words one edit apart, in both directions; ``counts`` is (word, n)."""
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,12 +192,12 @@ def near_words(counts: DataFrame, letters: int = LEAST_LETTERS, shard: int = SHA
     entries = own.select("shard", F.pmod(F.xxhash64("word"), F.col("pieces")).cast("int").alias("piece"), F.lit(0).alias("asks"), "word", "n", F.lit(0).alias("spent"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, trie = None, Subtrie(depth, letters // 2)
+        at, trie = None, Subtrie(depth)
         for batch in batches:
             found: list[tuple[str, str, int]] = []
             for shard, piece, asks, word, n, spent in zip(*(c.to_pylist() for c in batch.columns)):
                 if (shard, piece) != at:
-                    at, trie = (shard, piece), Subtrie(depth, letters // 2)
+                    at, trie = (shard, piece), Subtrie(depth)
                 if not asks:
                     trie.add(word, n)
                     continue
@@ -221,9 +220,9 @@ def roots(forms: DataFrame) -> DataFrame:
         to = written(to.join(further, "root", "left").select("word", F.coalesce("next", "root").alias("root")), "roots")
 
 
-def spelling_variants(counts: DataFrame, times: int = TIMES, letters: int = LEAST_LETTERS, shard: int = SHARD) -> DataFrame:
+def spelling_variants(counts: DataFrame, times: int = TIMES, shard: int = SHARD) -> DataFrame:
     """(word, form, root, n, n_near, form_n) of every word of ``counts`` (word, n)."""
-    near = near_words(counts, letters, shard).groupBy("word").agg(
+    near = near_words(counts, shard).groupBy("word").agg(
         F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best")
     )
     judged = counts.join(near, "word", "left").select(
