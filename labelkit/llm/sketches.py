@@ -43,6 +43,10 @@ PERCENT = 80
 K = 128
 CLASSES = 32
 MISS = 1e-9
+FEW = 64
+BLOCK = 1_000
+"""Lists longer than FEW are compared in groups of two blocks of about BLOCK sets each."""
+FLUSH = 200_000
 MAX_IDS = 2_000_000
 """Largest number of 8-byte values or ids that is broadcast; beyond it a shuffle join is taken."""
 
@@ -162,16 +166,73 @@ def _across(index: DataFrame, rows: DataFrame, words: int, percent: int) -> Data
     by = written(by.select("id", "n", "component", F.slice("by", F.lit(1), F.col("room"))["value"].alias("values")), "rare-values")
     outside = _outside_counts(rows, by.select("id", "component").distinct(), words)
     total = F.aggregate("outside", F.lit(0), lambda s, x: s + x)
-    outside = written(outside.where(total > 0), "outside")
     # a set shares no more than all it has in common with other components
-    able = by.join(outside, "id").where(100 * total >= percent * F.col("n"))
-    lists = able.select("id", "n", "component", "outside", F.explode("values").alias("value"))
-    ends = [lists.select(F.col("value").alias(f"v{e}"), F.col("id").alias(e), F.col("n").alias(f"n{e}"), F.col("component").alias(f"c{e}"), F.col("outside").alias(f"o{e}")) for e in "ab"]
+    able = by.join(outside.withColumn("total", total), "id").where(100 * F.col("total") >= percent * F.col("n"))
+    lists = written(able.select("id", "n", "component", "total", "outside", F.explode("values").alias("value")), "rare-lists")
+    held = written(lists.groupBy("value").agg(F.count("*").alias("count")).where("count > 1"), "held")
+    dealt = join_small(lists, held, "value", "inner", MAX_IDS)
+    names = {"value": "v", "id": "", "n": "n", "component": "c", "total": "t", "outside": "o"}
+    few = dealt.where(F.col("count") <= FEW)
+    ends = [few.select(*[F.col(name).alias(f"{short}{e}") for name, short in names.items()]) for e in "ab"]
     most = sum(F.least(F.get("oa", F.lit(c)), F.get("ob", F.lit(c))) for c in range(CLASSES))
     fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    shared = (100 + percent) * most >= percent * (F.col("na") + F.col("nb"))
-    met = ends[0].join(ends[1], (F.col("va") == F.col("vb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits & shared)
-    return met.select("a", "b").distinct()
+    enough = lambda common: (100 + percent) * common >= percent * (F.col("na") + F.col("nb"))
+    apart = (F.col("va") == F.col("vb")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
+    met = ends[0].join(ends[1], apart & fits & enough(F.least("ta", "tb")) & enough(most)).select("a", "b")
+    return met.union(_met_in_blocks(dealt.where(F.col("count") > FEW), percent)).distinct()
+
+
+def _met_in_blocks(lists: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of long lists that sizes and counts allow; ``lists`` is (value, count, id, n, component, total, outside).
+
+    A list is dealt to blocks, and each two blocks meet in one group, where the bounds are compared as matrices;
+    only pairs that pass become rows.
+    """
+    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
+    each = lists.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("id"), blocks).cast("int")})
+    other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("lo"), F.greatest("block", o).alias("hi")))
+    rows = each.select("value", F.inline(other), "block", "id", "n", "component", "total", "outside")
+
+    def pairs(group: list[tuple]) -> list[tuple[int, int]]:
+        lo, hi = group[0][1], group[0][2]
+        sides = [[r for r in group if r[3] == block] for block in (lo, hi)]
+        if not sides[0] or not sides[1]:
+            return []
+        (ia, na, ca, ta), (ib, nb, cb, tb) = (np.array([r[4:8] for r in side], np.int64).T for side in sides)
+        oa, ob = (np.array([r[8] for r in side], np.int32) for side in sides)
+        need = percent * (na[:, None] + nb)
+        can = (ca[:, None] != cb) & (100 * np.minimum(na[:, None], nb) >= percent * np.maximum(na[:, None], nb))
+        can &= (100 + percent) * np.minimum(ta[:, None], tb) >= need
+        x, y = np.nonzero(can & (ia[:, None] < ib) if lo == hi else can)
+        out = []
+        for k in range(0, len(x), 1 << 16):  # bounded memory
+            i, j = x[k : k + (1 << 16)], y[k : k + (1 << 16)]
+            good = (100 + percent) * np.minimum(oa[i], ob[j]).sum(1, dtype=np.int64) >= need[i, j]
+            i, j = ia[i[good]], ib[j[good]]
+            out += zip(np.minimum(i, j).tolist(), np.maximum(i, j).tolist())
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            a, b = list(zip(*found)) or ((), ())
+            return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        group: list[tuple] = []
+        found: set[tuple[int, int]] = set()  # a pair meets in many lists
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if group and row[:3] != group[0][:3]:
+                    found.update(pairs(group))
+                    group = []
+                group.append(row)
+            if len(found) > FLUSH:
+                yield made(list(found))
+                found.clear()
+        if group:
+            found.update(pairs(group))
+        yield made(list(found))
+
+    return rows.repartition("value", "lo", "hi").sortWithinPartitions("value", "lo", "hi").mapInArrow(run, "a long, b long")
 
 
 def linked_components(
