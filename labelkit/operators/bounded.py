@@ -43,3 +43,13 @@ def join_small(
     """Broadcast join when ``small`` is proven small, else a shuffle join under AQE skew handling."""
     on = [on] if isinstance(on, str) else list(on)
     return big.join(F.broadcast(small) if is_small(small, max_rows) else small, on, how)
+
+
+def spread(df: DataFrame, key: str, max_bytes: int = 256 << 20) -> DataFrame:
+    """``df`` dealt to all cores by ``key`` when Catalyst estimates it to be small; larger tables stay as they are.
+
+    A small table often is one file with one row group, which a single task reads; heavy work on its rows is
+    worth a shuffle of that size.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key) if size <= max_bytes else df

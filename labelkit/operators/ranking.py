@@ -10,13 +10,16 @@ sorted, and a cut has to look only into the bucket that holds it.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from labelkit.functions.hashing import hash_order
-from labelkit.operators.bounded import local_copy
+from labelkit.operators.bounded import MAX_LOCAL_ROWS, local_copy
+from labelkit.session import written
 
 # Hex digits of the hash that name a bucket: where rows are ranked, and where a cut is looked for
 # first. A cut bucket with more rows than SORT_ROWS is looked into by REFINE_DIGITS more.
@@ -25,6 +28,11 @@ CUT_DIGITS = 2
 REFINE_DIGITS = 3
 SORT_ROWS = 4_000_000
 
+# Selection by rank: rows of a group that are ordered in one window at last, and rows of a group that are
+# looked at to guess where the wanted one lies.
+SELECT_ROWS = 100_000
+SELECT_SAMPLE = 4_000
+
 
 def _names(by: str | Sequence[str] | None) -> list[str]:
     if by is None:
@@ -231,6 +239,114 @@ def top_n_per_group(
     )
 
 
+def _place(df: DataFrame, order: Sequence[Column]) -> Column:
+    """Total order of rows: the order columns, then a hash of the row. Rows of equal place are copies of each other."""
+    hashed = [f"`{f.name}`" for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    return F.struct(*[c.alias(f"o{i}") for i, c in enumerate([*order, F.xxhash64(*hashed)])])
+
+
+def _inside() -> Column:
+    return (F.col("lo").isNull() | (F.col("place") > F.col("lo"))) & (F.col("hi").isNull() | (F.col("place") <= F.col("hi")))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A broadcast copy of at most ``MAX_LOCAL_ROWS`` rows, or a written table where there are more groups."""
+    rows = df.limit(MAX_LOCAL_ROWS + 1).collect()
+    if len(rows) > MAX_LOCAL_ROWS:
+        return written(df, "places")
+    schema = T.StructType.fromJson(json.loads(df.schema.json().replace('"nullable":false', '"nullable":true')))
+    return F.broadcast(df.sparkSession.createDataFrame(rows, schema))
+
+
+def _narrowed(narrow: DataFrame, state: DataFrame, groups: list[str], rows: int, turn: int) -> DataFrame:
+    """The state with a smaller range for groups that still have more than ``rows`` rows in theirs.
+
+    A sample of the range gives two places that very likely enclose the wanted one; counting tells in which
+    of the three parts it lies, so the answer is exact whatever the sample.
+    """
+    inside = narrow.join(state.where(F.col("left") > rows), groups).where(_inside())
+    draw = F.pmod(F.xxhash64("place", F.lit(turn)), F.lit(1 << 30)) * F.col("left") < F.lit((1 << 30) * SELECT_SAMPLE)
+    looked = inside.where(draw).groupBy(*groups, "want", "left").agg(F.array_sort(F.collect_list("place")).alias("seen"))
+    at = F.col("want") / F.col("left") * F.size("seen")
+    margin = 3 * F.sqrt(F.size("seen")) + 1
+    below, above = F.floor(at - margin).cast("int"), F.ceil(at + margin).cast("int")
+    guessed = looked.select(*groups, F.when(below >= 0, F.get("seen", below)).alias("a"), F.get("seen", above).alias("b"))
+    cuts = _small(state.join(guessed, groups, "left"))
+    counted = narrow.join(cuts.where(F.col("left") > rows), groups).where(_inside())
+    upto_a = F.coalesce(F.col("place") <= F.col("a"), F.lit(False))
+    upto_b = F.coalesce(F.col("place") <= F.col("b"), F.lit(True))
+    sizes = counted.groupBy(*groups).agg(F.count_if(upto_a).alias("under"), F.count_if(~upto_a & upto_b).alias("mid"))
+    found = cuts.join(sizes, groups, "left")
+    low = F.col("want") <= F.col("under")
+    high = F.col("want") > F.col("under") + F.col("mid")
+    part = lambda name, first, second, third: (
+        F.when(F.col("under").isNull(), F.col(name)).when(low, first).when(high, third).otherwise(second).alias(name)
+    )
+    return _small(
+        found.select(
+            *groups,
+            part("lo", F.col("lo"), F.coalesce("a", "lo"), F.col("b")),
+            part("hi", F.col("a"), F.coalesce("b", "hi"), F.col("hi")),
+            part("left", F.col("under"), F.col("mid"), F.col("left") - F.col("under") - F.col("mid")),
+            part("want", F.col("want"), F.col("want") - F.col("under"), F.col("want") - F.col("under") - F.col("mid")),
+        )
+    )
+
+
+def _nth_places(narrow: DataFrame, groups: list[str], n: int, rows: int) -> DataFrame:
+    """(groups, t, ties, keep): place of the n-th row of each group that has one, how many rows share it, and how many of
+    them are among the first n.  ``narrow`` is (groups, place).
+
+    Counted cuts narrow a range around the n-th row until it holds few rows, or copies of one row only, which are
+    counted and not sorted.  So no window holds a group, however large the group or n.
+    """
+    none = F.lit(None).cast(narrow.schema["place"].dataType)
+    sizes = narrow.groupBy(*groups).agg(F.count("*").alias("left")).where(F.col("left") >= n)
+    state = _small(sizes.select(*groups, none.alias("lo"), none.alias("hi"), "left", F.lit(n).cast("bigint").alias("want")))
+    turn, before = 0, None
+    while (most := state.agg(F.sum(F.when(F.col("left") > rows, F.col("left")))).first()[0]) and most != before:
+        state, turn, before = _narrowed(narrow, state, groups, rows, turn), turn + 1, most
+    order = Window.partitionBy(*groups).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    places = narrow.join(state, groups).where(_inside()).groupBy(*groups, "place", "want").agg(F.count("*").alias("ties"))
+    passed = places.withColumn("upto", F.sum("ties").over(order)).withColumn("keep", F.col("want") - F.col("upto") + F.col("ties"))
+    at = passed.where((F.col("keep") > 0) & (F.col("upto") >= F.col("want")))
+    return _small(at.select(*groups, F.col("place").alias("t"), "ties", "keep"))
+
+
+_BOUND = {"t": "__t", "ties": "__ties", "keep": "__keep"}
+
+
+def first_of_groups(
+    df: DataFrame, by: str | Sequence[str] | None, order: Sequence[Column], n: int, rows: int = SELECT_ROWS
+) -> DataFrame:
+    """First ``n`` rows of each group (of the table where ``by`` is None), by ascending order columns, then a hash of the row.
+
+    The n-th row's place is found by counting, and the table is then filtered by comparing places, so wide rows
+    are not shuffled, and neither a group nor the n rows kept meet in one task.
+    """
+    keys = _group_keys(_names(by))
+    groups = list(keys)
+    placed = df.withColumns({**keys, "__place": _place(df, order)})
+    bounds = _nth_places(placed.select(*groups, F.col("__place").alias("place")), groups, n, rows).withColumnsRenamed(_BOUND)
+    marked = placed.join(bounds, groups, "left")
+    kept = marked.where(F.col("__t").isNull() | (F.col("__place") < F.col("__t")) | ((F.col("__place") == F.col("__t")) & (F.col("__ties") == F.col("__keep"))))
+    # of copies of one row that are not all kept, one is shown as often as it is kept
+    copies = marked.where((F.col("__place") == F.col("__t")) & (F.col("__ties") > F.col("__keep")))
+    if bounds.where("__ties > __keep").isEmpty():
+        return kept.select(*df.columns)
+    one = copies.groupBy(*groups, "__keep").agg(F.first(F.struct(*df.columns)).alias("row"))
+    again = one.select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), "__keep"))).select("row.*")
+    return kept.select(*df.columns).unionByName(again)
+
+
+def row_of_rank(df: DataFrame, order: Sequence[Column], rank: int, rows: int = SELECT_ROWS) -> DataFrame:
+    """The row with the given 1-based rank; no row where there are fewer."""
+    placed = df.withColumns({**_group_keys([]), "__place": _place(df, order)})
+    bounds = _nth_places(placed.select("__g0", F.col("__place").alias("place")), ["__g0"], rank, rows).withColumnsRenamed(_BOUND)
+    found = placed.join(bounds, "__g0").where(F.col("__place") == F.col("__t"))
+    return found.agg(F.first(F.struct(*df.columns)).alias("row")).where("row IS NOT NULL").select("row.*")
+
+
 def order_range(order: str, width: int) -> Column:
     """Start of the range of ``width`` order values a row lies in (exact for whole numbers)."""
     return F.col(order) - F.pmod(F.col(order), F.lit(width))

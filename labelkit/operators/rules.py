@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelkit.functions.text import squeeze
-from labelkit.operators.bounded import join_small, local_table
+from labelkit.operators.bounded import join_small, local_table, spread
 from labelkit.operators.ranking import order_range
 from labelkit.session import written
 
@@ -27,6 +27,8 @@ MENTION = r"(^|[^\w.])@(\w+)"
 EVERYONE = r"(^|[^\w.])@(everyone|here)([^\w]|$)"
 EMAIL = r"[\w.+-]+@[\w-]+\.[\w.-]+"
 
+MAX_GRAMS = 2_000_000  # largest number of 8-byte n-grams that is broadcast
+
 # Default wording. kind "hit" counts towards spam, kind "allow" is an exclusion that overrides hits.
 DEFAULT_RULES = [
     ("commercial", "hit", r"(?i)\b(coupons?|vouchers?|rabatt|clearance|wholesale|free shipping)\b|\bprices? (cut|drop|slashed)\w*", 1.0),
@@ -289,44 +291,97 @@ def copies_across(df: DataFrame, text: str = "text", source: str = "source") ->
     )
 
 
-def similar_across(
-    df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", threshold: float = 0.8, words: int = 3
-) -> DataFrame:
-    """Posts that have an exact or near copy in another source: (key, likeness).
+CLASSES = 32
 
-    ``likeness`` is the largest Jaccard similarity of word n-grams with a text of another source, computed
-    exactly; exact copies have 1, texts without words have none.  Equal texts fold first.  Candidates come from prefixes: n-grams are
-    ordered by how many texts hold them, rare ones first, and two sets as similar as ``threshold`` share
-    one among the first ``size - ceil(threshold * size) + 1`` of each, so none is missed and common
-    phrases pair nothing.  Large buckets are split by skew handling of the join.
-    """
-    tokens = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
-    posts = df.select(F.col(key).alias("key"), F.col(source).alias("source"), F.md5(F.col(text)).alias("m"), tokens.alias("w"))
-    posts = posts.where(F.size("w") > 0)
 
+def _grams(words: int) -> Column:
     def gram(i: Column) -> Column:
         return F.xxhash64(*[F.get("w", i + j) for j in range(words)])
 
     count = F.size("w") - words
-    grams = F.when(count >= 0, F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(0))), gram))).otherwise(
-        F.array(F.xxhash64(F.array_join("w", " ")))
-    )
-    held = posts.groupBy("m").agg(F.min("source").alias("lo"), F.max("source").alias("hi"))
-    sets = written(posts.select("m", grams.alias("g")).dropDuplicates(["m"]), "gram-sets")
-    each = sets.select("m", F.size("g").alias("n"), F.explode("g").alias("g"))
-    often = each.groupBy("g").agg(F.count("*").alias("c")).where("c > 1")
-    ordered = each.join(often, "g").groupBy("m", "n").agg(F.array_sort(F.collect_list(F.struct("c", "g"))).alias("shared"))
-    # n-grams of a single text come first in the order and pair nothing, so they only use up prefix places
-    room = F.expr(f"n - ceil({threshold} * n) + 1 - (n - size(shared))")
-    index = ordered.where(room > 0).select("m", "n", F.explode(F.slice("shared", F.lit(1), room.cast("int"))["g"]).alias("g"))
-    a, b = index.select("g", F.col("m").alias("x"), F.col("n").alias("nx")), index.select(F.col("g").alias("h"), F.col("m").alias("y"), F.col("n").alias("ny"))
-    fits = F.least("nx", "ny") >= threshold * F.greatest("nx", "ny")
-    pairs = written(a.join(b, (F.col("g") == F.col("h")) & (F.col("x") < F.col("y")) & fits).select("x", "y").distinct(), "gram-pairs")
+    some = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(0))), gram))
+    return F.when(count >= 0, some).otherwise(F.array(F.xxhash64(F.array_join("w", " "))))
+
+
+def _likeness(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(x, y, j): exact Jaccard similarity of each pair; ``sets`` is (m, g)."""
+    pairs = written(pairs, "gram-pairs")
     both = pairs.join(sets.select(F.col("m").alias("x"), F.col("g").alias("gx")), "x").join(sets.select(F.col("m").alias("y"), F.col("g").alias("gy")), "y")
     common = F.size(F.array_intersect("gx", "gy"))
-    scored = both.select("x", "y", (common / (F.size("gx") + F.size("gy") - common)).alias("j")).where(F.col("j") >= threshold)
-    links = scored.select(F.col("x").alias("m"), F.col("y").alias("other"), "j").union(scored.select("y", "x", "j"))
-    links = links.unionByName(held.where("lo <> hi").select("m", F.col("m").alias("other"), F.lit(1.0).alias("j")))
-    near = links.join(held.withColumnRenamed("m", "other"), "other").groupBy("m", "lo", "hi").agg(F.max("j").alias("j"))
-    found = posts.select("key", "source", "m").join(near, "m").where((F.col("source") != F.col("lo")) | (F.col("source") != F.col("hi")))
-    return found.groupBy("key", "source", "m").agg(F.max("j").alias("likeness")).select(F.col("key").alias(key), "likeness")
+    return both.select("x", "y", (common / (F.size("gx") + F.size("gy") - common)).alias("j"))
+
+
+def similar_across(
+    df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", threshold: float = 0.8, words: int = 3
+) -> DataFrame:
+    """Posts that have an exact or near copy in another source: (key, likeness).
+
+    ``likeness`` is the largest Jaccard similarity of word n-grams with a text of another source, computed
+    exactly; exact copies have 1, texts without words and posts without source have none.  A key is one post.  Equal texts
+    fold into the one with the smallest key first.
+
+    Only n-grams that texts of two sources hold can be shared, and a text with fewer of them than ``threshold``
+    of its n-grams has no partner.  The others are indexed by their rarest such n-grams, as many as leave
+    less than the threshold.  Each text first tries the richest text of another source in its lists.  What two texts can
+    share at most is the sum of the smaller counts of such n-grams in ``CLASSES`` classes by hash; a pair becomes
+    a row only if this bound is above the best that one of the two has found.  So a large group of near copies costs a
+    few rows per copy, unless its members are nearer to each other than to the richest in ways the bound cannot tell.
+    """
+    posts = df.select(F.col(key).alias("key"), F.xxhash64(source).alias("s"), F.md5(F.col(text)).alias("m"), F.col(text).alias("t"))
+    posts = posts.where(F.col(source).isNotNull() & F.col("t").rlike(r"[\p{L}\p{N}_]"))
+    held = posts.groupBy("m").agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.min("key").alias("lead"), F.count("*").alias("times"))
+    twice = written(held.where("times > 1").select("m", "lo", "hi", "lead"), "equal-texts")
+    # (key, lead): rows whose text has a row with a smaller key
+    copies = written(join_small(posts.select("key", "m"), twice, "m").select("key", "m", "lead", "lo", "hi"), "copies")
+    leads = join_small(spread(posts, "key"), copies.where("key <> lead").select("key", "m").distinct(), ["key", "m"], "left_anti")
+    tokens = F.regexp_extract_all(F.lower("t"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    marks = copies.where("key = lead").select("key", "lo", "hi").distinct()
+    marked = join_small(leads.select("key", "s", tokens.alias("w")), marks, "key", "left")
+    sets = marked.select(F.col("key").alias("m"), F.coalesce("lo", "s").alias("lo"), F.coalesce("hi", "s").alias("hi"), _grams(words).alias("g"))
+    sets = written(sets, "gram-sets")
+    each = sets.select("m", "lo", "hi", F.size("g").alias("n"), F.explode("g").alias("g"))
+    often = each.groupBy("g").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("c")).where("c > 1 AND lo <> hi")
+    shared = join_small(each, written(often.select("g", "c"), "shared-grams"), "g", "inner", MAX_GRAMS)
+
+    need = F.ceil(threshold * F.col("n") - 1e-9)
+    by_class = [F.count_if(F.pmod("g", F.lit(CLASSES)) == c).cast("int") for c in range(CLASSES)]
+    listed = shared.groupBy("m", "lo", "hi", "n").agg(
+        F.array_sort(F.collect_list(F.struct("c", "g"))).alias("by"), F.count("*").alias("total"), F.array(*by_class).alias("counts")
+    )
+    room = (F.col("total") - need + 1).cast("int")
+    able = listed.where(room > 0).select("m", "lo", "hi", "n", "total", "counts", F.slice("by", F.lit(1), room)["g"].alias("grams"))
+    able = written(able, "able-texts")
+    index = able.select("m", "lo", "hi", "n", "total", F.explode("grams").alias("g"))
+
+    # the richest text of each list, and the richest of another source than that one
+    rich = F.struct((F.col("total") / F.col("n")).alias("share"), "m", "lo", "hi")
+    first = index.groupBy("g").agg(F.max(rich).alias("first"))
+    told = index.join(first, "g").withColumn("apart", (F.col("lo") != F.col("first.lo")) | (F.col("hi") != F.col("first.hi")))
+    second = told.where("apart").groupBy("g").agg(F.max(rich).alias("second"))
+    tried = told.join(second, "g", "left").select("m", F.inline(F.array_compact(F.array("first", "second"))).alias("share", "y", "ylo", "yhi"), "lo", "hi")
+    alone = (F.col("lo") == F.col("hi")) & ~((F.col("ylo") == F.col("lo")) & (F.col("yhi") == F.col("lo")))
+    counted = tried.where(alone & (F.col("m") != F.col("y"))).groupBy("m", "y").agg(F.struct(F.count("*").alias("c"), F.max("share").alias("share"), "y").alias("best"))
+    start = counted.groupBy("m").agg(F.max("best").alias("best")).select(F.col("m").alias("x"), F.col("best.y").alias("y"))
+    seen = written(_likeness(start, sets), "first-likeness")
+    ends = seen.select(F.col("x").alias("m"), "j").union(seen.select("y", "j")).groupBy("m").agg(F.max("j").alias("best"))
+    # a text of several sources has a copy already, and seeks none
+    best = F.when(F.col("lo") != F.col("hi"), F.lit(1.0)).otherwise(F.greatest(F.coalesce("best", F.lit(0.0)), F.lit(threshold) - 1e-9))
+    full = able.join(ends, "m", "left").withColumn("best", best).select("m", "lo", "hi", "n", "total", "counts", "best", F.explode("grams").alias("g"))
+    full = written(full, "gram-lists")
+
+    sides = [full.select(*[F.col(c).alias(f"{c}_{e}") for c in full.columns]) for e in "xy"]
+    other = (F.col("lo_x") != F.col("lo_y")) | (F.col("hi_x") != F.col("hi_y")) | (F.col("lo_x") != F.col("hi_x"))
+    bound = lambda common: common / (F.col("n_x") + F.col("n_y") - common)
+    better = lambda common: bound(common) > F.least("best_x", "best_y")
+    most = sum(F.least(F.get("counts_x", F.lit(c)), F.get("counts_y", F.lit(c))) for c in range(CLASSES))
+    met = sides[0].join(
+        sides[1],
+        (F.col("g_x") == F.col("g_y")) & (F.col("m_x") < F.col("m_y")) & other & better(F.least("total_x", "total_y")) & better(most),
+    )
+    found = _likeness(met.select(F.col("m_x").alias("x"), F.col("m_y").alias("y")).distinct(), sets).unionByName(seen)
+    found = found.where(F.col("j") >= threshold)
+    links = found.select(F.col("x").alias("m"), "j").union(found.select("y", "j")).groupBy("m").agg(F.max("j").alias("j"))
+    # a text of several sources has a copy in another one
+    near = sets.where("lo <> hi").select("m", F.lit(1.0).alias("j")).unionByName(links.join(sets.where("lo <> hi").select("m"), "m", "left_anti"))
+    all_rows = near.select(F.col("m").alias("key"), "j").unionByName(copies.where("key <> lead").join(near.withColumnRenamed("m", "lead"), "lead").select("key", "j"))
+    return all_rows.groupBy("key").agg(F.max("j").alias("likeness")).select(F.col("key").alias(key), "likeness")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelkit.functions.hashing import hash_order, unit_draw
-from labelkit.operators.ranking import split_at, top_n_per_group
+from labelkit.operators.ranking import first_of_groups, row_of_rank, split_at
 
 
 def stratified_split(
@@ -95,14 +95,14 @@ def keep_split(df: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
 
 def cap_per_group(df: DataFrame, by: str | Sequence[str], order: str, n: int) -> DataFrame:
     """At most ``n`` rows of each source, the first in source order."""
-    return top_n_per_group(df, by, [F.col(order)], n)
+    return first_of_groups(df, by, [F.col(order)], n)
 
 
 def sample_per_group(
     df: DataFrame, by: str | Sequence[str], key: str, n: int = 5, seed: int = 42
 ) -> DataFrame:
     """``n`` rows of each group in shuffle order."""
-    return top_n_per_group(df, by, [hash_order(seed, key), F.col(key)], n)
+    return first_of_groups(df, by, [hash_order(seed, key), F.col(key)], n)
 
 
 def head_n(df: DataFrame, order: str | Sequence[str], n: int) -> DataFrame:
@@ -112,7 +112,7 @@ def head_n(df: DataFrame, order: str | Sequence[str], n: int) -> DataFrame:
 
 def row_at(df: DataFrame, order: str, index: int) -> DataFrame:
     """The row at a zero-based position; no row when the position is out of range."""
-    return df.orderBy(order).offset(index).limit(1)
+    return row_of_rank(df, [F.col(order)], index + 1)
 
 
 def row_or_error(df: DataFrame, order: str, index: int) -> DataFrame:

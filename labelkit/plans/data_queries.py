@@ -27,7 +27,7 @@ from labelkit.plans.standins import (
     triples,
 )
 from labelkit.session import shared_dir
-from labelkit.sinks.writers import class_metric_rows, write_label_json, write_metrics
+from labelkit.sinks.writers import class_metric_rows, write_label_arrays, write_label_json, write_metrics
 from labelkit.sources.columns import tag_source
 from labelkit.sources.datasets import load_status, read_many, read_split, select_split, union_all
 from labelkit.sources import files
@@ -459,6 +459,20 @@ def json_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(LABEL_JSON_SCHEMA + ", split string").json(path)
 
 
+@query("SELECT 'img/' || doc_id || '.png' AS image_path, md5(d.text) AS labels, lang, item_id FROM documents d LEFT JOIN benchmark ON item_id = doc_id")
+def json_array_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole texts as labels in files that hold one JSON array each, on one line or on many, read in splits."""
+    path = shared_dir(spark, "json-array")
+    docs = table(spark, folder, "documents").join(table(spark, folder, "benchmark").select(F.col("item_id").alias("doc_id"), "item_id"), "doc_id", "left")
+    labelled = docs.select(
+        F.concat(F.lit("img/"), "doc_id", F.lit(".png")).alias("image_path"), F.col("text").alias("labels"), F.struct("lang", F.array("item_id").alias("items")).alias("about")
+    )
+    write_label_arrays(labelled, path)
+    schema = "image_path string, labels string, about struct<lang: string, items: array<bigint>>"
+    back = files.read_label_json(spark, path, schema)
+    return back.select("image_path", F.md5("labels").alias("labels"), "about.lang", F.get("about.items", F.lit(0)).alias("item_id"))
+
+
 @query("SELECT doc_id AS id, n_chars FROM documents WHERE source = 'src2' AND lang = 'fr' AND n_chars > 500 ORDER BY doc_id LIMIT 10")
 def read_split_partitions(spark: SparkSession, folder: str) -> DataFrame:
     """Slice of one dataset, config and split of a partitioned table; other partitions are not read."""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +20,22 @@ def write_label_json(df: DataFrame, path: str, labels: str = "labels", mode: str
     (writer.partitionBy("split") if "split" in keep else writer).json(path)
 
 
+def write_label_arrays(df: DataFrame, path: str, mode: str = "error") -> None:
+    """Files that hold one JSON array of row objects each, one file per task that has rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened = False
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                yield pa.record_batch([pa.array([("," if opened else "[") + value])], ["value"])
+                opened = True
+        if opened:
+            yield pa.record_batch([pa.array(["]"])], ["value"])
+
+    rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+    rows.mapInArrow(run, "value string").write.mode(mode).text(path)
+
+
 def run_report(base_prompt: Column, compiled_prompt: Column, accuracy: Column, report: Column) -> list[Column]:
     """Columns of the run report; use in ``select`` on a one-row metric table."""
     return [

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import types as T
 
 from labelkit.functions.text import has_extension
 from labelkit.sources.columns import require_columns
+from labelkit.sources.pieces import csv_format, json_format, read_records
 
 INSTRUCTION_COLUMNS = ["prompt", "question", "response"]
 INTENT_COLUMNS = ["text", "label"]
@@ -24,15 +26,19 @@ UNLABELLED_IMAGES = ["jpg", "jpeg", "png", "webp"]
 def read_examples_csv(spark: SparkSession, path: str, columns: Sequence[str] = INSTRUCTION_COLUMNS) -> DataFrame:
     """CSV with a header whose fields may hold newlines, commas and doubled quotes.
 
-    Columns are found by name.  One such file cannot be split between tasks, so a large set should
-    be many files, or be landed once with ``land``.
+    Columns are found by name; all files must have the same header.  Files are read in splits of any
+    size (``sources.pieces``); an empty field is null, quoted or not, blank lines below the header are skipped.
     """
-    reader = (
-        spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-        .option("enforceSchema", False)
-    )
-    df = require_columns(reader.csv(path), columns)
-    return df.select(*[F.col(c).cast("string") for c in columns])
+    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", False)
+    names = [n.removeprefix("\ufeff") for n in reader.csv(path).columns]  # reads the first record of one file
+    records = read_records(spark, path, csv_format()).withColumn("record", F.regexp_replace("record", "\r$", ""))
+    fields = ", ".join(f"c{i} string" for i in range(len(names)))
+    parsed = records.where(F.trim("record") != "").withColumn("r", F.from_csv("record", fields, {"escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1"}))
+    same = [F.regexp_replace(f"r.c{i}", "^\ufeff", "").eqNullSafe(F.lit(n)) for i, n in enumerate(names)]
+    other = F.raise_error(F.concat(F.lit(f"header is not {names}: "), "file")).cast("boolean")
+    is_head = F.when((F.col("block") == 0) & (F.col("at") == 0), F.when(reduce(lambda a, b: a & b, same), True).otherwise(other)).otherwise(False)
+    df = require_columns(parsed.where(~is_head).select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)]), columns)
+    return df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in columns])
 
 
 def land(df: DataFrame, path: str, partitions: int | None = None) -> DataFrame:
@@ -46,8 +52,14 @@ def drop_incomplete(df: DataFrame, columns: Sequence[str] = INTENT_COLUMNS) -> D
 
 
 def read_label_json(spark: SparkSession, path: str, schema: str | T.StructType = LABEL_JSON_SCHEMA) -> DataFrame:
-    """JSON file holding one array of {image_path, labels} objects."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    """JSON files that hold one array of {image_path, labels} objects each, read in splits of any size.
+
+    The array may stand on one line; values may be nested.  Text that is no object gives no row.
+    """
+    records = read_records(spark, path, json_format())
+    body = F.regexp_extract("record", r"(?s)^[\s,\[\ufeff]*(\{.*)$", 1)
+    objects = records.select(F.concat(body, F.lit("}")).alias("body")).where(F.length("body") > 1)
+    return objects.select(F.from_json("body", schema).alias("r")).select("r.*")
 
 
 def _files(spark: SparkSession, root: str, recursive: bool) -> DataFrame:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -198,3 +199,29 @@ def test_similar_posts_equal_brute_force_over_all_pairs(spark):
     assert found[0] == found[400] == found[401] == 1.0
     assert not {300, 301, 402} & set(found) and not any(100 <= k < 120 for k in found)
     assert len(found) > 10
+
+
+def test_a_group_of_near_copies_costs_rows_in_proportion(spark, monkeypatch):
+    rng = random.Random(2)
+    origin = [f"w{k}" for k in range(150)]
+    rows = [(0, "s0", " ".join(origin)), (1, "s1", " ".join(origin + ["end"]))]
+    for k in range(2, 400):
+        words = list(origin)
+        for at in rng.sample(range(150), rng.choice((1, 2, 3))):
+            words[at] = f"own{rng.randrange(10**9)}"
+        rows.append((k, f"s{k % 5}", " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    seen = []
+    likeness = r._likeness
+
+    def counted(pairs, sets):
+        seen.append(pairs.count())
+        return likeness(pairs, sets)
+
+    monkeypatch.setattr(r, "_likeness", counted)
+    got = {row["doc_id"]: row["likeness"] for row in r.similar_across(docs).collect()}
+    assert len(got) == len(rows) and sum(seen) < 20 * len(rows)
+    grams = {k: {tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)} for k, _, t in rows}
+    for k, source, _ in rng.sample(rows, 25):
+        best = max(len(grams[k] & grams[o]) / len(grams[k] | grams[o]) for o, s, _ in rows if s != source)
+        assert abs(got[k] - best) < 1e-12

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -182,3 +183,31 @@ def test_build_dataset(skewed):
     plain = synth.build_dataset(pool, "key", cats, multi_label=False)
     assert plain.where("is_multi").count() == 0 and plain.count() == 493 + 125 + 15
     assert plain.where(F.col("shuffle").isNull()).count() == 0
+
+
+def test_first_of_groups_by_counted_cuts(spark):
+    """A group of most rows, ties, copies of rows and groups smaller than n, with windows of at most 50 rows."""
+    rng = random.Random(4)
+    rows = [("hot", rng.choice((rng.random(), 0.25, 0.5)), rng.randrange(3)) for _ in range(4000)]
+    rows += [("few", float(k % 2), 0) for k in range(7)] + [(None, None, k) for k in range(300)] + [("copies", 1.0, 1)] * 500
+    df = spark.createDataFrame(rows, "g string, o double, x int").repartition(5)
+    low = lambda r: (r[1] is not None, r[1] or 0.0)
+    for n in (1, 60, 1500, 3999):
+        got = {}
+        for r in ranking.first_of_groups(df, "g", [F.col("o")], n, rows=50).collect():
+            got.setdefault(r["g"], []).append(tuple(r))
+        for g in {r[0] for r in rows}:
+            own = sorted((r for r in rows if r[0] == g), key=low)
+            assert [low(r) for r in sorted(got[g], key=low)] == [low(r) for r in own[:n]]
+            assert not Counter(got[g]) - Counter(own)
+
+
+def test_row_of_a_million_without_a_window_of_them(spark):
+    df = spark.range(0, 1_000_000, numPartitions=8).select((F.col("id") * 7919 % 1_000_003).alias("v"), F.col("id").alias("x"))
+    want = sorted(k * 7919 % 1_000_003 for k in range(1_000_000))
+    for index in (0, 499_999, 999_999):
+        found = sampling.row_at(df, "v", index)
+        assert found.first()["v"] == want[index]
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "GlobalLimit" not in plan and "Sort" not in plan
+    assert sampling.row_at(df, "v", 1_000_000).count() == 0
