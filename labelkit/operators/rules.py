@@ -291,7 +291,7 @@ def copies_across(df: DataFrame, text: str = "text", source: str = "source") ->
     )
 
 
-CLASSES = 32
+CLASSES = 16
 
 
 def _grams(words: int) -> Column:
@@ -365,14 +365,15 @@ def similar_across(
     seen = written(_likeness(start, sets), "first-likeness")
     ends = seen.select(F.col("x").alias("m"), "j").union(seen.select("y", "j")).groupBy("m").agg(F.max("j").alias("best"))
     # a text of several sources has a copy already, and seeks none
-    best = F.when(F.col("lo") != F.col("hi"), F.lit(1.0)).otherwise(F.greatest(F.coalesce("best", F.lit(0.0)), F.lit(threshold) - 1e-9))
+    best = F.when(F.col("lo") != F.col("hi"), F.lit(1.0)).otherwise(F.greatest(F.coalesce("best", F.lit(0.0)), F.lit(threshold) - 1e-6))
     full = able.join(ends, "m", "left").withColumn("best", best).select("m", "lo", "hi", "n", "total", "counts", "best", F.explode("grams").alias("g"))
     full = written(full, "gram-lists")
 
     sides = [full.select(*[F.col(c).alias(f"{c}_{e}") for c in full.columns]) for e in "xy"]
     other = (F.col("lo_x") != F.col("lo_y")) | (F.col("hi_x") != F.col("hi_y")) | (F.col("lo_x") != F.col("hi_x"))
-    bound = lambda common: common / (F.col("n_x") + F.col("n_y") - common)
-    better = lambda common: bound(common) > F.least("best_x", "best_y")
+    least = F.least("best_x", "best_y")
+    # common / (n_x + n_y - common) > least, by more than rounding
+    better = lambda common: common * (1 + least) > least * (F.col("n_x") + F.col("n_y")) + 1e-9
     most = sum(F.least(F.get("counts_x", F.lit(c)), F.get("counts_y", F.lit(c))) for c in range(CLASSES))
     met = sides[0].join(
         sides[1],
