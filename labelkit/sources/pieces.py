@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from labelkit.operators.bounded import join_small
 from labelkit.session import written
 
+FEW_RECORDS = 1_000
+
 _FIELD = r'(?:"(?:[^"]++|"")*+"[^,]*+|[^",][^,]*+|)'
 _REST = rf"(?:,{_FIELD})*+$"
 _STRINGS = r'"[^"]*+("|$)'
@@ -147,8 +149,6 @@ def read_records(spark: SparkSession, path: str, form: Format) -> DataFrame:
     placed = known.select(
         "file", "block", "at", "value", at_base("state", "deep").alias("starts"), at_base("end", "deep_end").alias("ends")
     )
-    whole = placed.where("starts AND ends").select("file", "block", "at", F.col("value").alias("record"))
-
     # a part belongs to the last piece before it that starts a record, in its block or in an earlier one
     parts = written(placed.where("NOT (starts AND ends)"), "record-parts").withColumn("own", F.when(F.col("starts"), F.struct("block", "at")))
     inside = Window.partitionBy("file", "block").orderBy("at")
@@ -159,4 +159,7 @@ def read_records(spark: SparkSession, path: str, form: Format) -> DataFrame:
     parts = join_small(parts, opened, ["file", "block"]).withColumn("own", F.coalesce("own", "opened"))
     pieces_of = F.array_sort(F.collect_list(F.struct("block", "at", "value")))
     joined = parts.groupBy("file", "own").agg(F.array_join(pieces_of["value"], form.separator).alias("record"))
-    return whole.unionByName(joined.select("file", "own.block", "own.at", "record"))
+    joined = joined.select("file", "own.block", "own.at", "record")
+    # put where the first piece stands; a few long records are broadcast, and rows then keep the order of the files
+    records = join_small(placed.where("starts"), joined, ["file", "block", "at"], "left", FEW_RECORDS)
+    return records.select("file", "block", "at", F.when(F.col("ends"), F.col("value")).otherwise(F.col("record")).alias("record"))
