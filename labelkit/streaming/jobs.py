@@ -6,10 +6,8 @@ time, because watermarks need an instant.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +17,6 @@ from labelkit.session import SETTINGS, shared_dir
 
 CLOSES = "closes_"
 FAR = "9000-01-01 00:00:00"
-STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 
 
 def read_files(
@@ -108,79 +105,48 @@ def first_and_repeats(
     key: str,
     seconds: int = 3600,
     delay: str = "2 hours",
-    buckets: int = 256,
 ) -> DataFrame:
     """Every post with ``is_repeat``: the author sent this message within the last ``seconds`` before it.
 
-    Posts are held until the watermark passes them and are then judged in event order, so the answer
-    depends on their times alone, not on how they fell into micro-batches.  Authors and messages are
-    hashed into ``buckets`` groups; each keeps its held posts and one table of the latest time per
-    author and message, so a micro-batch costs one state access per group.  Entries leave the table
-    once the watermark is past their hour.  Posts later than ``delay`` are dropped, as in any window.
-    """
-    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+    Time is cut into cells of ``seconds``.  Of a thread's posts in one cell only the first can be new,
+    since the others have it less than ``seconds`` before them; it is judged by the latest post of the
+    cell before.  First and latest are one running aggregate per thread and cell, over windows of two
+    cells that slide by one, and the posts meet it in a join on thread and cell.  So no task holds a list
+    of posts, whatever a thread or an hour contains, nothing leaves the JVM, and state goes as soon as
+    the watermark passes the cell.
 
-    gap_us = seconds * 1_000_000
+    Posts are judged in event order, so answers do not depend on files or micro-batches.  Rows with the
+    same time and key (a post delivered twice) are judged alike.  Rows without a time are dropped, as
+    are those whose cell the watermark has passed (``delay``); null authors or messages are threads too.
+    """
+    span = seconds * 1_000_000
+    cell, two_cells = f"{seconds} seconds", f"{2 * seconds} seconds"
     timed = with_event_time(df, ts, delay)
-    thread = F.concat_ws("|", F.col(author).cast("string"), F.md5(squeeze(message)))
-    shown = timed.select(
-        F.pmod(F.xxhash64(thread), F.lit(buckets)).alias("bucket"),
+    posts = timed.select(
         F.col(author).cast("string").alias("author"),
-        F.md5(thread).alias("thread"),
+        F.md5(F.concat_ws("|", F.col(author).cast("string"), F.md5(squeeze(message)))).alias("thread"),
         F.col(key).cast("bigint").alias("post"),
         F.col(ts).alias("seen_at"),
         F.unix_micros(F.col(ts)).alias("at"),
     )
-
-    class LastSeen(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.handle = handle
-            self.last = handle.getValueState("last", "threads array<string>, at array<bigint>")
-            self.held = handle.getListState("held", "author string, thread string, post bigint, at bigint")
-
-        def _seen(self) -> pd.Series:
-            kept = self.last.get()
-            return pd.Series(dtype="int64") if kept is None else pd.Series(list(kept[1]), index=list(kept[0]), dtype="int64")
-
-        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            latest = None
-            for batch in rows:
-                held = batch[["author", "thread", "post", "at"]]
-                self.held.appendList([(a, t, None if pd.isna(p) else int(p), int(w)) for a, t, p, w in held.itertuples(index=False)])
-                newest = int(held["at"].max())
-                latest = newest if latest is None else max(latest, newest)
-            if latest is not None:
-                self.handle.registerTimer(latest // 1000 + 1)
-            yield pd.DataFrame()
-
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            passed = timerValues.getCurrentWatermarkInMs() * 1000
-            posts = pd.DataFrame(list(self.held.get()), columns=["author", "thread", "post", "at"])
-            if posts.empty:
-                yield pd.DataFrame()
-                return
-            due = posts["at"] < passed
-            later = posts[~due]
-            self.held.clear()
-            if len(later):
-                self.held.put([(a, t, None if pd.isna(p) else int(p), int(w)) for a, t, p, w in later.itertuples(index=False)])
-            posts = posts[due].sort_values(["thread", "at", "post"])
-            seen = self._seen()
-            previous = np.fmax(posts.groupby("thread")["at"].shift(1), posts["thread"].map(seen))
-            merged = pd.concat([seen, posts.groupby("thread")["at"].max()]).groupby(level=0).max()
-            merged = merged[merged >= passed - gap_us]
-            if merged.empty:
-                self.last.clear()
-            else:
-                self.last.update((merged.index.tolist(), [int(v) for v in merged]))
-                self.handle.registerTimer(int(merged.max() + gap_us) // 1000 + 1)
-            yield pd.DataFrame({"author": posts["author"], "post": posts["post"], "is_repeat": (posts["at"] - previous) <= gap_us})
-
-        def close(self) -> None:
-            pass
-
-    return shown.groupBy("bucket").transformWithStateInPandas(
-        LastSeen(), "author string, post bigint, is_repeat boolean", "append", "eventtime"
+    own = F.col("at") >= F.unix_micros(F.col("window.end")) - span
+    firsts = (
+        posts.withColumn("window", F.window("seen_at", two_cells, cell))
+        .groupBy("window", F.col("thread").alias("of"))
+        .agg(
+            F.min(F.when(own, F.struct("at", "post"))).alias("first"),
+            F.max(F.when(~own, F.col("at"))).alias("before"),
+        )
+        .where(F.col("first").isNotNull())
+        .select(F.window_time("window").alias("ends"), "of", "first", "before")
+    )
+    placed = posts.withColumn("window", F.window("seen_at", cell)).select(
+        "author", "thread", "post", "at", F.window_time("window").alias("cell")
+    )
+    is_first = (F.col("at") == F.col("first.at")) & F.col("post").eqNullSafe(F.col("first.post"))
+    near = F.coalesce(F.col("at") - F.col("before") <= span, F.lit(False))
+    return placed.join(firsts, (F.col("thread") == F.col("of")) & (F.col("cell") == F.col("ends"))).select(
+        "author", "post", (~is_first | near).alias("is_repeat")
     )
 
 
@@ -205,7 +171,9 @@ def run_available(
     more, which closes what is open.
     """
     spark = stream.sparkSession
-    spark.conf.set(STATE_STORE, SETTINGS[STATE_STORE])
+    for name, value in SETTINGS.items():
+        if name.startswith("spark.sql.streaming."):
+            spark.conf.set(name, value)
     base = out or shared_dir(spark, "stream")
     spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{base}/data/none")
 

@@ -28,7 +28,7 @@ def _land(spark, path, batches):
 
 def _jobs():
     return {
-        "repeats": lambda df: jobs.first_and_repeats(df, "author", "message", "ts", "id", buckets=4, delay="30 days"),
+        "repeats": lambda df: jobs.first_and_repeats(df, "author", "message", "ts", "id", delay="30 days"),
         "sliding": lambda df: jobs.repeats_sliding(df, "author", "message", "ts", delay="30 days"),
         "counts": lambda df: jobs.label_counts(df, "message", "ts", delay="30 days"),
         "sessions": lambda df: jobs.bursts(df, "author", "ts", "15 minutes", delay="30 days"),
@@ -71,6 +71,22 @@ def test_repeats_equal_a_loop(spark, tmp_path):
     assert {r.post: r.is_repeat for r in done.collect()} == want
 
 
+def test_repeats_at_cell_edges_with_null_threads_and_posts_delivered_twice(spark, tmp_path):
+    hour = 60
+    rows = [
+        (1, 1, "x", 0), (2, 1, "x", hour), (3, 1, "x", 3 * hour - 1), (4, 1, "x", 4 * hour - 1), (5, 1, "x", 5 * hour),
+        (6, None, "x", 10), (7, None, " X ", 20), (8, 2, None, 10), (9, 2, "y", 20), (10, 3, "z", 10), (10, 3, "z", 10),
+        (11, 1, "x", 0),
+    ]
+    made = [(n, a, m, T0 + datetime.timedelta(minutes=minute)) for n, a, m, minute in rows]
+    made.append((12, 1, "x", None))
+    path, closing = str(tmp_path / "in"), str(tmp_path / "closing")
+    spark.createDataFrame(made, SCHEMA).coalesce(1).write.parquet(path)
+    done = jobs.run_available(_jobs()["repeats"](jobs.read_files(spark, path, SCHEMA, closing)), closing=closing).collect()
+    assert sorted(r.post for r in done if r.is_repeat) == [2, 4, 7, 11]
+    assert sorted(r.post for r in done if not r.is_repeat) == [1, 3, 5, 6, 8, 9, 10, 10]
+
+
 def test_no_input_gives_no_rows(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "in"))
     closing = str(tmp_path / "closing")
