@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import statistics
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -23,24 +24,63 @@ SPEED_RANGE = (0.9, 1.1)
 NOISE_RANGE = (0.01, 0.05)
 
 
-def _gaussian(seed: int) -> Callable:
-    """``draw(key, n, sigma)``: the same numbers for the same seed and key, on any worker."""
+# Fixed values of the noise generator: a prime modulus below 2**31, so that products of two values
+# fit 63 bits in any engine, and the multipliers of its counter and of its two mixing steps.
+NOISE_PRIME = 2**31 - 1
+NOISE_STEP = 1640531527
+NOISE_MIX = (739982445, 695872825)
+NOISE_KNOTS = 1024
 
-    def draw(key: object, n: int, sigma: float):
-        import numpy as np
 
-        return np.random.default_rng([seed, abs(int(key))]).normal(0.0, sigma, n)
+def normal_table() -> list[float]:
+    """Normal quantiles at ``NOISE_KNOTS`` even steps, ends at 1/8 of a step, scaled to unit variance
+    of the linear pieces between them and rounded to 6 places."""
+    inverse = statistics.NormalDist().inv_cdf
+    edge = 1 / (8 * NOISE_KNOTS)
+    raw = [inverse(min(max(k / NOISE_KNOTS, edge), 1 - edge)) for k in range(NOISE_KNOTS + 1)]
+    variance = sum((a * a + a * b + b * b) / 3 for a, b in zip(raw, raw[1:])) / NOISE_KNOTS
+    return [round(q / variance**0.5, 6) for q in raw]
+
+
+def noise_source(seed: int) -> Callable:
+    """``draw(key, n, sigma)``: the same numbers for the same seed and integer key, on any worker.
+
+    A counter-based generator: sample ``i`` depends on (seed, key, i) alone, by integer steps that SQL
+    can repeat.  Each key has two 31-bit words, an offset of the counter and a second one mixed in
+    later, so rows do not share shifted stretches of one sequence.  The uniform integer is turned into
+    a normal value by ``normal_table``, linear between its knots.
+    """
+    import numpy as np
+
+    table = np.asarray(normal_table())
+    low_bits = 31 - (NOISE_KNOTS.bit_length() - 1)
+
+    def mix(a):
+        a = (a ^ (a >> 15)) * NOISE_MIX[0] % NOISE_PRIME
+        a = (a ^ (a >> 13)) * NOISE_MIX[1] % NOISE_PRIME
+        return a ^ (a >> 16)
+
+    start = mix(seed % NOISE_PRIME)
+
+    def draw(key: int, n: int, sigma: float):
+        high, low = divmod(int(key), NOISE_PRIME)
+        first = mix((mix((start + high) % NOISE_PRIME) + low) % NOISE_PRIME)
+        second = mix((first + 1) % NOISE_PRIME)
+        counter = (first + np.arange(n, dtype="int64") * NOISE_STEP) % NOISE_PRIME
+        drawn = mix((mix(counter) + second) % NOISE_PRIME)
+        knot, part = drawn >> low_bits, (drawn & ((1 << low_bits) - 1)) / (1 << low_bits)
+        return (table[knot] + (table[knot + 1] - table[knot]) * part) * sigma
 
     return draw
 
 
 def noise_rows(keys: DataFrame, key: str, n_samples: int, sigma: float = 0.1, seed: int = 42, rate: int = TARGET_RATE) -> DataFrame:
-    """One white-noise waveform per (non-negative integer) key, the same one whenever it is made."""
-    draw = _gaussian(seed)
+    """One white-noise waveform per integer key, the same one whenever it is made; a null key has none."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        draw = noise_source(seed)
         for batch in batches:
-            waves = [draw(k, n_samples, sigma).astype("float32") for k in batch[key]]
+            waves = [None if pd.isna(k) else draw(k, n_samples, sigma).astype("float32") for k in batch[key]]
             yield pd.DataFrame({key: batch[key], "array": waves})
 
     made = keys.select(key).mapInPandas(
@@ -131,14 +171,15 @@ def standardise_waves(
 
 
 def add_noise(df: DataFrame, wave: str, sigma: str, key: str, seed: int = 42, column: str = "noisy") -> DataFrame:
-    """Gaussian noise of each row's own ``sigma``, then clipped to [-1, 1]. Null sigma leaves the row."""
-    draw = _gaussian(seed)
+    """Gaussian noise of each row's own ``sigma``, then clipped to [-1, 1]. Null sigma or key leaves the row."""
 
     def build() -> Callable:
         import numpy as np
 
+        draw = noise_source(seed)
+
         def noisy(samples, sigma_of_row, key_of_row):
-            if sigma_of_row is None:
+            if sigma_of_row is None or key_of_row is None:
                 return samples
             return np.clip(samples + draw(key_of_row, len(samples), sigma_of_row), -1.0, 1.0)
 

@@ -17,6 +17,7 @@ from labelkit.plans.standins import (
     checksum_sql,
     class_names,
     logits,
+    noise_sql,
 )
 
 
@@ -61,19 +62,20 @@ def time_shift(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("vec_id", "shift", F.size(moved).alias("n"), checksum(moved).alias("shifted"))
 
 
-@query("SELECT vec_id, 64 AS n, true AS is_clipped, true AS is_near FROM embeddings")
+NOISY_SQL = "list_transform({wave}, lambda x, i: greatest(least(x + noise[i] * {sigma}, 1), -1))"
+
+
+@query(
+    f"""
+SELECT vec_id, 64 AS n, {checksum_sql(NOISY_SQL.format(wave='a', sigma='0.03::DOUBLE'))} AS checksum
+FROM ({noise_sql(WAVE_SQL, "vec_id", 64)})
+"""
+)
 def add_noise(spark: SparkSession, folder: str) -> DataFrame:
-    """Seeded noise on every waveform: size, limits kept, and a mean square near that of sigma 0.03."""
+    """Seeded noise of sigma 0.03 on every waveform, clipped."""
     rows = _waves(spark, folder).withColumn("sigma", F.lit(0.03))
     noisy = audio.add_noise(rows, "embedding", "sigma", "vec_id", SEED)
-    diff = F.zip_with("noisy", "embedding", lambda a, b: (a - b) * (a - b))
-    mean_square = F.aggregate(diff, F.lit(0.0), lambda s, x: s + x) / F.size("noisy")
-    return noisy.select(
-        "vec_id",
-        F.size("noisy").alias("n"),
-        (F.array_max(F.transform("noisy", F.abs)) <= 1.0).alias("is_clipped"),
-        mean_square.between(0.0009 / 3, 0.0009 * 3).alias("is_near"),
-    )
+    return noisy.select("vec_id", F.size("noisy").alias("n"), checksum(F.col("noisy")).alias("checksum"))
 
 
 @query(
@@ -84,14 +86,17 @@ def clip_array(spark: SparkSession, folder: str) -> DataFrame:
     return _waves(spark, folder).select("vec_id", checksum(arrays.clip_array(loud)).alias("clipped"))
 
 
-@query(
-    f"""
+PLANNED_SQL = f"""
 WITH r AS (SELECT vec_id, row_number() OVER (ORDER BY md5('42|' || vec_id), vec_id) AS rn, count(*) OVER () AS n FROM embeddings),
 s AS (SELECT vec_id, rn <= n - ceil(n * 0.2::DOUBLE) AS is_train FROM r),
 k AS (SELECT vec_id, CASE WHEN is_train AND {_draw_sql('gate')} >= 0.5
         THEN ['time_shift', 'speed', 'noise', 'all'][('0x' || substr(md5('42|kind|' || vec_id), 1, 8))::BIGINT % 4 + 1]
         ELSE 'none' END AS augmentation FROM s)
-SELECT vec_id, augmentation,
+"""
+
+
+@query(
+    f"""{PLANNED_SQL}SELECT vec_id, augmentation,
        CASE WHEN augmentation IN ('time_shift', 'all') THEN {SHIFT_SQL} ELSE 0 END AS shift,
        CASE WHEN augmentation IN ('speed', 'all') THEN round(0.9::DOUBLE + 0.2::DOUBLE * {_draw_sql('speed')}, 6) END AS speed,
        CASE WHEN augmentation IN ('noise', 'all') THEN round(0.01::DOUBLE + 0.04::DOUBLE * {_draw_sql('sigma')}, 6) END AS sigma
@@ -107,6 +112,30 @@ def augment_plan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+SHIFTED_SQL = "list_transform(range(1, 65), lambda i: CASE WHEN i - shift BETWEEN 1 AND 64 THEN a[i - shift] ELSE 0 END)"
+CHANGED_SQL = f"CASE WHEN shift IS NULL THEN a ELSE {SHIFTED_SQL} END"
+
+
+@query(
+    f"""{PLANNED_SQL},
+p AS (SELECT vec_id, augmentation, embedding::DOUBLE[] AS a,
+             CASE WHEN augmentation IN ('time_shift', 'all') THEN {SHIFT_SQL} END AS shift,
+             CASE WHEN augmentation IN ('noise', 'all') THEN 0.01::DOUBLE + 0.04::DOUBLE * {_draw_sql('sigma')} END AS sigma
+      FROM k JOIN embeddings USING (vec_id)),
+c AS (SELECT vec_id, augmentation, sigma, {CHANGED_SQL} AS b FROM p),
+z AS ({noise_sql("SELECT vec_id FROM embeddings", "vec_id", 64)})
+SELECT vec_id, augmentation, 64 AS n,
+       CASE WHEN sigma IS NULL THEN {checksum_sql('b')} ELSE {checksum_sql(NOISY_SQL.format(wave='b', sigma='sigma'))} END AS checksum
+FROM c JOIN z USING (vec_id)
+"""
+)
+def augment(spark: SparkSession, folder: str) -> DataFrame:
+    """Train waveforms shifted and made noisy as planned; the others as they are."""
+    rows = sampling.random_split(_waves(spark, folder), "vec_id", 0.2, SEED)
+    made = audio.augment(rows, "embedding", "vec_id", SEED, F.col("split") == "train")
+    return made.select("vec_id", "augmentation", F.size("augmented").alias("n"), checksum(F.col("augmented")).alias("checksum"))
+
+
 @query(
     f"""
 WITH m AS (SELECT vec_id, a, list_avg(a) AS mean FROM ({WAVE_SQL})),

@@ -22,6 +22,7 @@ from labelkit.plans.standins import (
     categorised,
     checksum,
     checksum_sql,
+    noise_sql,
     part_dim,
     predict_language,
     triples,
@@ -96,19 +97,18 @@ def scan_folder_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.scan_folder(spark, root, ["txt"]).groupBy("folder").agg(F.count("*").alias("n_files"))
 
 
-@query("SELECT vec_id, 64 AS n_samples, 'noise' AS language_str, true AS is_quiet, true AS is_noise FROM embeddings")
+@query(
+    f"""
+SELECT vec_id, len(noise)::INTEGER AS n_samples, 'noise' AS language_str,
+       {checksum_sql('list_transform(noise, lambda x: (x * 0.1::DOUBLE)::FLOAT)')} AS checksum
+FROM (SELECT vec_id, noise FROM ({noise_sql("SELECT vec_id FROM embeddings", "vec_id", 64)}))
+"""
+)
 def gen_noise(spark: SparkSession, folder: str) -> DataFrame:
-    """A seeded noise waveform for every embedding row: its size, label, and whether it stays within ten sigma."""
+    """A seeded noise waveform for every embedding row: its size, label and checksum."""
     keys = table(spark, folder, "embeddings").select("vec_id")
     noise = audio.noise_rows(keys, "vec_id", 64, 0.1, SEED)
-    peak = F.array_max(F.transform("audio.array", F.abs))
-    return noise.select(
-        "vec_id",
-        F.size("audio.array").alias("n_samples"),
-        "language_str",
-        (peak < 1.0).alias("is_quiet"),
-        (F.size(F.array_distinct("audio.array")) > 60).alias("is_noise"),
-    )
+    return noise.select("vec_id", F.size("audio.array").alias("n_samples"), "language_str", checksum(F.col("audio.array")).alias("checksum"))
 
 
 # -- projections and filters -------------------------------------------------------------------

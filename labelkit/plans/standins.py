@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelkit.functions.binding import let
+from labelkit.operators import audio
 from labelkit.operators.bounded import local_table
 from labelkit.operators.sft import to_triples
 from labelkit.plans.registry import table
@@ -125,6 +126,38 @@ def checksum_sql(arr: str) -> str:
     return f"round(list_sum(list_transform({arr}, lambda x, i: x::DOUBLE * i)), 6)"
 
 
+# -- noise ---------------------------------------------------------------------------------------
+
+
+def _mixed_sql(rows: str, value: str) -> str:
+    """``rows`` with ``value`` in column ``a``, sent through the mixing steps of the noise generator."""
+    p, (m1, m2) = audio.NOISE_PRIME, audio.NOISE_MIX
+    started = f"SELECT * EXCLUDE (a), ({value})::BIGINT AS a FROM ({rows})"
+    once = f"SELECT * REPLACE (xor(a, a >> 15) * {m1} % {p} AS a) FROM ({started})"
+    twice = f"SELECT * REPLACE (xor(a, a >> 13) * {m2} % {p} AS a) FROM ({once})"
+    return f"SELECT * REPLACE (xor(a, a >> 16) AS a) FROM ({twice})"
+
+
+def noise_sql(rows: str, key: str, n_samples: int, seed: int = SEED) -> str:
+    """Columns of ``rows`` and ``noise``: the unit normal samples of each key."""
+    p, step, knots = audio.NOISE_PRIME, audio.NOISE_STEP, audio.NOISE_KNOTS
+    low = 31 - (knots.bit_length() - 1)
+    made = _mixed_sql(f"SELECT *, 0 AS a FROM ({rows})", str(seed % p))
+    made = _mixed_sql(made, f"(a + {key} // {p}) % {p}")
+    made = _mixed_sql(made, f"(a + {key} % {p}) % {p}")
+    made = _mixed_sql(f"SELECT *, a AS first_ FROM ({made})", f"(a + 1) % {p}")
+    made = f"SELECT *, a AS second_, unnest(range({n_samples})) AS i_ FROM ({made})"
+    made = _mixed_sql(made, f"(first_ + i_ * {step}) % {p}")
+    made = _mixed_sql(made, f"(a + second_) % {p}")
+    table = "[" + ", ".join(f"{q:.6f}" for q in audio.normal_table()) + "]::DOUBLE[]"
+    knot = f"t[(a >> {low}) + 1]"
+    drawn = (
+        f"SELECT {key}, i_, {knot} + (t[(a >> {low}) + 2] - {knot}) * ((a & {(1 << low) - 1}) / {1 << low}::DOUBLE) AS z "
+        f"FROM ({made}), (SELECT {table} AS t)"
+    )
+    return f"SELECT * FROM ({rows}) JOIN (SELECT {key}, list(z ORDER BY i_) AS noise FROM ({drawn}) GROUP BY {key}) USING ({key})"
+
+
 # -- raw answers -------------------------------------------------------------------------------
 
 

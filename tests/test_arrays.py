@@ -78,3 +78,22 @@ def test_top_k_breaks_ties_by_class(one):
     names = F.array(*[F.lit(c) for c in "abcd"])
     got = one(a.top_k(F.col("p"), names, 3), p=([0.1, 0.4, 0.1, 0.4], DOUBLES))
     assert [(r["label"], r["prob"]) for r in got] == [("b", 0.4), ("d", 0.4), ("a", 0.1)]
+
+
+def test_noise_is_normal_and_differs_between_keys():
+    import numpy as np
+
+    from labelkit.operators.audio import noise_source, normal_table
+
+    table = normal_table()
+    assert len(table) == 1025 and table == [-v for v in reversed(table)] and table == sorted(table)
+    draw = noise_source(42)
+    waves = np.array([draw(k, 5000, 1.0) for k in [0, 1, 2, -3, 2**31 - 1, 2**31, 2**62]])
+    assert np.allclose(waves.mean(axis=1), 0, atol=0.06) and np.allclose(waves.std(axis=1), 1, atol=0.05)
+    assert abs((np.abs(waves) < 1).mean() - 0.6827) < 0.01 and abs((np.abs(waves) < 2).mean() - 0.9545) < 0.005
+    between = np.corrcoef(waves) - np.eye(len(waves))
+    assert np.abs(between).max() < 0.06  # rows
+    for lag in range(1, 20):  # samples of a row
+        assert np.abs([np.corrcoef(w[:-lag], w[lag:])[0, 1] for w in waves]).max() < 0.06
+    assert (draw(7, 100, 2.0) == 2 * draw(7, 200, 1.0)[:100]).all()
+    assert not np.allclose(noise_source(43)(7, 100, 1.0), draw(7, 100, 1.0))
