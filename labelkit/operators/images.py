@@ -2,37 +2,82 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Per-channel mean and deviation (red, green, blue) the image models expect.
 CHANNEL_MEAN = (0.485, 0.456, 0.406)
 CHANNEL_STD = (0.229, 0.224, 0.225)
 
+# Fixed values of the file formats: first bytes of a PNG file, chunks of a webp file that hold pixels.
+PNG_MARK = b"\x89PNG\r\n\x1a\n"
+WEBP_PIXELS = (b"VP8 ", b"VP8L", b"ANMF")
 
-def is_webp(content: Column) -> Column:
-    """RIFF container of kind WEBP, by its first twelve bytes."""
-    head = F.hex(F.substring(content, 1, 12))
-    return F.startswith(head, F.lit("52494646")) & F.endswith(head, F.lit("57454250"))
+
+@F.pandas_udf(T.BooleanType())
+def is_webp(content: pd.Series) -> pd.Series:
+    """RIFF container of kind WEBP whose chunks end where the container ends, one of them with pixels.
+
+    Only chunk headers are looked at; null is no image.
+    """
+
+    def whole(body: bytes | None) -> bool:
+        if body is None or body[:4] != b"RIFF" or body[8:12] != b"WEBP":
+            return False
+        end = 8 + int.from_bytes(body[4:8], "little")
+        if end > len(body):
+            return False
+        at, pixels = 12, False
+        while at + 8 <= end:
+            size = int.from_bytes(body[at + 4:at + 8], "little")
+            if at + 8 + size > end:
+                return False
+            pixels = pixels or body[at:at + 4] in WEBP_PIXELS
+            at += 8 + size + size % 2
+        return pixels and at in (end, end + 1)
+
+    return content.map(whole).astype("bool")
+
+
+@F.pandas_udf(T.BinaryType())
+def encode_png(width: pd.Series, height: pd.Series, pixels: pd.Series) -> pd.Series:
+    """PNG file of 8-bit red, green, blue values in row order; null where a value is missing or the
+    number of values is not 3 * width * height."""
+    import numpy as np
+
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    def encode(w: int, h: int, values) -> bytes | None:
+        if values is None or pd.isna(w) or pd.isna(h) or len(values) != 3 * w * h:
+            return None
+        lines = np.zeros((int(h), 1 + 3 * int(w)), dtype="uint8")  # each line starts with its filter, none
+        lines[:, 1:] = np.asarray(values).reshape(int(h), -1)
+        head = struct.pack(">IIBBBBB", int(w), int(h), 8, 2, 0, 0, 0)
+        return PNG_MARK + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
+
+    return pd.Series([encode(*row) for row in zip(width, height, pixels)], dtype="object")
 
 
 def valid_images(spark: SparkSession, root: str) -> DataFrame:
     """Paths below ``root`` that decode as an image.
 
-    The image source drops what the JVM cannot decode; webp, which it does not know, is accepted by
-    its header.
+    The image source drops what the JVM cannot decode.  Of webp files, which it does not know, the
+    chunks are checked; no other file is read for that.
     """
     decoded = (
         spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(root)
         .select(F.col("image.origin").alias("path"))
     )
     webp = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-        .where(F.lower("path").endswith(".webp") & is_webp(F.col("content")))
-        .select("path")
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[wW][eE][bB][pP]")
+        .load(root).where(is_webp("content")).select("path")
     )
     return decoded.unionByName(webp)
 

@@ -28,7 +28,7 @@ from labelkit.plans.standins import (
     triples,
 )
 from labelkit.session import shared_dir
-from labelkit.sinks.writers import class_metric_rows, write_label_arrays, write_label_json, write_metrics
+from labelkit.sinks.writers import class_metric_rows, write_files, write_label_arrays, write_label_json, write_metrics
 from labelkit.sources.columns import tag_source
 from labelkit.sources.datasets import load_status, read_many, read_split, select_split, union_all
 from labelkit.sources import files
@@ -88,13 +88,34 @@ def read_many_sources(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("source_name").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
-@query("SELECT 'lang=' || lang AS folder, count(*) AS n_files FROM (SELECT DISTINCT lang FROM documents) GROUP BY lang")
+@query(
+    """
+WITH f AS (SELECT DISTINCT lang, source, doc_id // 8 AS part FROM documents)
+SELECT lang AS folder, count(*) FILTER (WHERE part % 4 <> 3 AND part % 3 <> 2) AS n_flat,
+       count(*) FILTER (WHERE part % 3 <> 2) AS n_tree
+FROM f GROUP BY lang
+"""
+)
 def scan_folder_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Files in labelled folders, which the query writes from the table (one per language)."""
+    """Files per labelled folder, one level down and in the whole tree.
+
+    The query writes the files: one for eight ids of a language and source, every fourth one level
+    deeper, with three endings, one of which is not asked for.
+    """
     root = shared_dir(spark, "labelled-files")
-    sizes = table(spark, folder, "documents").groupBy("lang").agg(F.count("*").cast("string").alias("value"))
-    sizes.repartition("lang").write.partitionBy("lang").text(root)
-    return files.scan_folder(spark, root, ["txt"]).groupBy("folder").agg(F.count("*").alias("n_files"))
+    part = F.floor(F.col("doc_id") / 8)
+    ids = table(spark, folder, "documents").groupBy("lang", "source", part.alias("part")).agg(
+        F.concat_ws(",", F.sort_array(F.collect_list("doc_id"))).alias("content")
+    )
+    ending = F.element_at(F.array(F.lit("png"), F.lit("JPG"), F.lit("txt")), (F.col("part") % 3 + 1).cast("int"))
+    below = F.when(F.col("part") % 4 == 3, F.concat("source", F.lit("/"))).otherwise("")
+    name = F.concat("lang", F.lit("/"), below, "source", F.lit("-"), "part", F.lit("."), ending)
+    write_files(ids.withColumn("path", name), root)
+    flat = files.scan_folder(spark, root).withColumn("flat", F.lit(1))
+    tree = files.scan_folder(spark, root, recursive=True).withColumn("flat", F.lit(0))
+    return flat.unionByName(tree).groupBy("folder").agg(
+        F.sum("flat").alias("n_flat"), F.count_if(F.col("flat") == 0).alias("n_tree")
+    )
 
 
 @query(

@@ -168,14 +168,20 @@ def explode_prompts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(
-    "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS matched FROM documents"
+    r"""
+WITH t AS (SELECT doc_id, text, CASE WHEN doc_id % 2 = 0 THEN chr(10) || replace(text, ' ', chr(9) || ' ')
+                                     ELSE regexp_replace(text, '[0-9]', '', 'g') END AS other FROM documents),
+s AS (SELECT doc_id, trim(regexp_replace(lower(text), '[ \t\n\v\f\r]+', ' ', 'g'), ' ') AS gold,
+             trim(regexp_replace(lower(other), '[ \t\n\v\f\r]+', ' ', 'g'), ' ') AS pred FROM t)
+SELECT doc_id, CASE WHEN pred = gold THEN 1.0 ELSE 0.0 END::DOUBLE AS matched FROM s
+"""
 )
 def exact_match(spark: SparkSession, folder: str) -> DataFrame:
-    """Texts against twins that differ in white space, and for every third in a word."""
-    spaced = F.concat(F.lit(" \n"), F.replace("text", F.lit(" "), F.lit("  ")), F.lit("\t"))
-    twin = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" more"))).otherwise(spaced)
+    """Texts against themselves with other white space, or without their digits."""
+    spaced = F.concat(F.lit("\n"), F.replace("text", F.lit(" "), F.lit("\t ")))
+    other = F.when(F.col("doc_id") % 2 == 0, spaced).otherwise(F.regexp_replace("text", "[0-9]", ""))
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return docs.select("doc_id", text.exact_match(twin, "text").alias("matched"))
+    return docs.select("doc_id", text.exact_match(other, "text").alias("matched"))
 
 
 @query(

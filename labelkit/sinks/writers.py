@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,6 +38,40 @@ def write_label_arrays(df: DataFrame, path: str, mode: str = "error") -> None:
     rows.mapInArrow(run, "value string").write.mode(mode).text(path)
 
 
+def write_files(df: DataFrame, root: str, path: str = "path", content: str = "content") -> int:
+    """One file per row, ``content`` (binary or text) at ``path`` below ``root``; gives their number.
+
+    Written by the tasks.  A file appears whole under its name, so a retried task replaces what it
+    wrote with the same.  Of rows with equal paths any one stays.  Rows without path or content write none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _store(root)
+        folders = set()
+        for batch in batches:
+            for name, body in zip(*(column.to_pylist() for column in batch.columns)):
+                folder, _, last = f"{base}/{name}".rpartition("/")
+                if folder not in folders:
+                    store.create_dir(folder, recursive=True)
+                    folders.add(folder)
+                part = f"{folder}/_part-{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(body)
+                store.move(part, f"{folder}/{last}")
+            yield pa.record_batch([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    rows = df.select(F.col(path).cast("string"), F.col(content).cast("binary")).dropna()
+    return rows.mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def _store(root: str):
+    """File system and path of a folder, for use within a task."""
+    from pyarrow import fs
+
+    local = re.fullmatch(r"(?:file:)?/*(/.*?)/*", root)
+    return (fs.LocalFileSystem(), local.group(1)) if local else fs.FileSystem.from_uri(root.rstrip("/"))
+
+
 def run_report(base_prompt: Column, compiled_prompt: Column, accuracy: Column, report: Column) -> list[Column]:
     """Columns of the run report; use in ``select`` on a one-row metric table."""
     return [

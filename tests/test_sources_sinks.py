@@ -23,6 +23,11 @@ def png(width, height, rgb=(10, 20, 30)):
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(line * height)) + chunk(b"IEND", b"")
 
 
+def webp(*chunks, size=None):
+    body = b"WEBP" + b"".join(kind + struct.pack("<I", len(data)) + data + b"\0" * (len(data) % 2) for kind, data in chunks)
+    return b"RIFF" + struct.pack("<I", len(body) if size is None else size) + body
+
+
 @pytest.fixture(scope="module")
 def tree(tmp_path_factory):
     root = tmp_path_factory.mktemp("img")
@@ -33,7 +38,7 @@ def tree(tmp_path_factory):
         "zzz/c.gif": png(2, 2),
         "safe/bad.jpg": b"notanimage",
         "safe/n.txt": b"text",
-        "safe/w.webp": b"RIFF\0\0\0\0WEBPVP8 ",
+        "safe/w.webp": webp((b"VP8 ", b"abc")),
         "safe/fake.webp": b"nothing here",
         "top.png": png(1, 1),
     }.items():
@@ -81,6 +86,42 @@ def test_valid_images(spark, tree):
     assert _names(images.valid_images(spark, tree)) == {"a.PNG", "b.png", "d.png", "c.gif", "w.webp", "top.png"}
 
 
+def test_webp_chunks(spark):
+    pixels, extra = (b"VP8L", b"odd"), (b"EXIF", b"even")
+    cases = {
+        "one": (webp(pixels), True),
+        "several": (webp((b"VP8X", b"0123456789"), (b"ANMF", b"ab"), extra), True),
+        "bytes after it": (webp(pixels) + b"tail", True),
+        "last pad missing": (webp(pixels, size=4 + 8 + 3)[:-1], True),
+        "no pixels": (webp(extra), False),
+        "cut": (webp(extra, pixels)[:-3], False),
+        "chunk beyond the end": (webp(pixels)[:16] + struct.pack("<I", 999) + b"odd\0", False),
+        "head only": (b"RIFF\0\0\0\0WEBPVP8 ", False),
+        "other kind": (webp(pixels).replace(b"WEBP", b"WAVE"), False),
+        "empty": (b"", False),
+        "null": (None, False),
+    }
+    rows = spark.createDataFrame([(n, body) for n, (body, _) in cases.items()], "name string, content binary")
+    got = {r.name: r.ok for r in rows.select("name", images.is_webp("content").alias("ok")).collect()}
+    assert got == {n: ok for n, (_, ok) in cases.items()}
+
+
+def test_written_png_files_decode_to_their_pixels(spark, tmp_path):
+    pixels = [[(i * 37 + k) % 256 for i in range(3 * 4 * 5)] for k in range(3)]
+    rows = [("a/0.png", 4, 5, pixels[0]), ("a/b/1.png", 5, 4, pixels[1]), ("2.png", 1, 20, pixels[2]), ("3.png", 2, 2, [1, 2, 3]),
+            ("4.png", 1, 1, None), (None, 1, 1, [1, 2, 3])]
+    made = spark.createDataFrame(rows, "path string, w int, h int, p array<int>")
+    made = made.select("path", images.encode_png("w", "h", "p").alias("content"))
+    root = str(tmp_path / "out")
+    assert writers.write_files(made, root) == 3 == writers.write_files(made, f"file://{root}/")  # a second run replaces
+    read = {r.path.rsplit("/", 1)[-1]: r.image for r in images.read_images(spark, root).collect()}
+    assert sorted(read) == ["0.png", "1.png", "2.png"]
+    for name, w, h, k in (("0.png", 4, 5, 0), ("1.png", 5, 4, 1), ("2.png", 1, 20, 2)):
+        image = read[name]
+        rgb = [v for i in range(0, len(image.data), 3) for v in reversed(image.data[i:i + 3])]
+        assert (image.width, image.height, rgb) == (w, h, pixels[k])
+
+
 def test_image_profile_and_features(spark, tree):
     read = images.read_images(spark, tree).withColumn("folder", F.element_at(F.split(files.path_below("path", tree), "/"), 1))
     rows = {r.folder: r for r in images.image_profile(read, "folder").collect()}
