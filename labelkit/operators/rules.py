@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelkit.functions.text import squeeze
-from labelkit.operators.bounded import join_small, local_table, spread
+from labelkit.operators.bounded import join_small, local_copy, local_table, spread
 from labelkit.operators.ranking import order_range
 from labelkit.session import written
 
@@ -210,6 +210,32 @@ def message_key(text: str | Column) -> Column:
     return F.md5(squeeze(text))
 
 
+class _HotRanges:
+    """Finer time cells for the (group, range) pairs that hold more than ``most`` rows.
+
+    The pairs are counted once, narrowly.  One of n rows is cut into 64 n / ``most`` even cells, so that
+    posts may lie unevenly in it; all others are one cell, 0.  A hash collision of two pairs only cuts
+    both alike.
+    """
+
+    def __init__(self, rows: DataFrame, group: Sequence[str], span: int, most: int) -> None:
+        self.key, self.group, self.span = F.xxhash64(*group), list(group), span
+        counted = rows.groupBy(self.key.alias("hot_")).agg(F.count("*").alias("n")).where(F.col("n") > most)
+        cells = F.least(F.ceil(64 * F.col("n") / most), F.lit(min(span, 1 << 20))).cast("bigint")
+        table = counted.select("hot_", cells.alias("cells_"))
+        self.table = local_copy(table)
+        self.found = self.table is None or not self.table.isEmpty()
+        self.table = table if self.table is None else self.table
+
+    def cut(self, rows: DataFrame, at: str, start: str, how: str = "left") -> DataFrame:
+        """``rows`` with their ``cell``; ``how="inner"`` keeps those of pairs that are cut."""
+        if not self.found:
+            return rows.withColumn("cell", F.lit(0).cast("bigint"))
+        cell = F.floor((F.col(at) - F.col(start)) * F.col("cells_") / self.span).cast("bigint")
+        joined = rows.withColumn("hot_", self.key).join(self.table, "hot_", how)
+        return joined.withColumn("cell", F.coalesce(cell, F.lit(0).cast("bigint"))).drop("hot_", "cells_")
+
+
 def repeats_within(
     df: DataFrame,
     author: str,
@@ -219,6 +245,7 @@ def repeats_within(
     seconds: int = 3600,
     thread: str | None = None,
     column: str = "n_recent",
+    most: int = 200_000,
 ) -> DataFrame:
     """Per post, how often its author sent this message in the last ``seconds``, itself included.
 
@@ -227,6 +254,11 @@ def repeats_within(
     running sum of starts and ends, which stays linear where a sliding window frame is re-read for
     every row.  Time is cut into ranges of that length and a post that is still counted in the next
     range is carried there once, so a single author's posts do not end up in one task.
+
+    A range of one author and message with more than ``most`` rows is cut further: finer cells are
+    summed first, the sums of the cells before are added up per range, and each cell starts from what
+    it is handed, so neither a burst nor a hot author is one window.  Only rows of the same microsecond
+    stay together.  The result does not depend on ``most``.
     """
     us = 1_000_000
     span = seconds * us
@@ -241,11 +273,22 @@ def repeats_within(
         seen = posts.select(
             author, message, thread, "post", "at", F.inline(F.array(own, back).cast("array<struct<own:boolean,seen_range:bigint>>"))
         )
-        order = Window.partitionBy(author, message, thread, "seen_range").orderBy("at", "post")
+        group = [author, message, thread, "seen_range"]
+        # a range is seen together with the next one, so it is two spans long
+        hot = _HotRanges(seen, group, 2 * span, most)
+        parts = hot.cut(seen, "at", "seen_range")
+        if hot.found:
+            # each cell is shown the first post of the next cell that has any
+            starts = hot.cut(seen, "at", "seen_range", "inner").groupBy(*group, "cell").agg(F.min("at").alias("at"))
+            shown = starts.withColumn("at", F.lead("at").over(Window.partitionBy(*group).orderBy("cell")))
+            shown = shown.where(F.col("at").isNotNull()).withColumn("own", F.lit(False))
+            parts = parts.unionByName(shown.withColumn("post", F.lit(None).cast(df.schema[key].dataType)))
+        order = Window.partitionBy(*group, "cell").orderBy("at", "post")
         posts = (
-            seen.withColumn("later", F.lead("at").over(order))
+            parts.withColumn("later", F.lead("at").over(order))
             .where("own")
             .withColumnRenamed("seen_range", "range")
+            .drop("cell")
         )
         until = F.least(until, F.coalesce(F.col("later"), until))
     posts = posts.withColumn("until", until)
@@ -269,9 +312,17 @@ def repeats_within(
         .select(author, message, "r", F.col("r").alias("t"), "d", none.alias("p"))
     )
     steps = steps.unionByName(carried)
-    running = Window.partitionBy(author, message, "r").orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
+    hot = _HotRanges(steps, [author, message, "r"], span, most)
+    parts = hot.cut(steps, "t", "r")
+    if hot.found:
+        # what a cell starts from: the sum of the cells before it
+        sums = hot.cut(steps, "t", "r", "inner").groupBy(author, message, "r", "cell").agg(F.sum("d").alias("d"))
+        before = Window.partitionBy(author, message, "r").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+        handed = sums.withColumn("d", F.sum("d").over(before)).where(F.col("d").isNotNull())
+        parts = parts.unionByName(handed.withColumn("t", F.col("r")).withColumn("p", none))
+    running = Window.partitionBy(author, message, "r", "cell").orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
     return (
-        steps.withColumn(column, F.sum("d").over(running).cast("bigint"))
+        parts.withColumn(column, F.sum("d").over(running).cast("bigint"))
         .where(F.col("p").isNotNull())
         .select(F.col("p").alias(key), author, message, column)
     )

@@ -140,15 +140,15 @@ def test_repeats_within_the_hour(spark):
     assert got == {0: 1, 1: 2, 2: 3, 3: 2, 4: 2, 5: 1, 6: 1}
 
 
-@pytest.mark.parametrize("seconds", [60, 3600, 5000])
-def test_repeats_equal_brute_force_on_a_hot_author(spark, seconds):
+@pytest.mark.parametrize("seconds, most", [(60, 200_000), (3600, 200_000), (5000, 200_000), (3600, 20), (5000, 3)])
+def test_repeats_equal_brute_force_on_a_hot_author(spark, seconds, most):
     import random
 
     rng = random.Random(seconds)
     rows = [(rng.choice([1, 1, 1, 2]), "m", rng.randrange(20000), rng.choice("abc")) for _ in range(400)]
     df = _posts(spark, rows)
-    counts = {x.id: x.n_recent for x in r.repeats_within(df, "author", "message", "ts", "id", seconds).collect()}
-    threads = {x.id: x.n for x in r.repeats_within(df, "author", "message", "ts", "id", seconds, "thread", "n").collect()}
+    counts = {x.id: x.n_recent for x in r.repeats_within(df, "author", "message", "ts", "id", seconds, most=most).collect()}
+    threads = {x.id: x.n for x in r.repeats_within(df, "author", "message", "ts", "id", seconds, "thread", "n", most).collect()}
     assert len(counts) == len(threads) == 400
     for i, (a, m, s, t) in enumerate(rows):
         near = [x for x in rows if x[0] == a and s - seconds <= x[2] <= s]
@@ -156,6 +156,33 @@ def test_repeats_equal_brute_force_on_a_hot_author(spark, seconds):
         assert threads[i] == len({x[3] for x in near})
 
 
+@pytest.mark.parametrize("thread", [None, "thread"])
+def test_one_author_in_one_hour_is_spread_over_tasks(spark, thread):
+    """Half of the rows are one author's, of one message and one hour, most of them within a minute."""
+    n = 40_000
+    burst = F.when(F.col("id") % 4 == 0, F.col("id") * 80_000 % 3_600_000_000).otherwise(F.col("id") * 1_499)
+    hot = F.col("id") % 2 == 0
+    df = spark.range(n).select(
+        "id",
+        F.when(~hot, F.col("id")).alias("author"),  # the hot author is null
+        F.lit("m").alias("message"),
+        (F.col("id") % 3).cast("string").alias("thread"),
+        F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.when(hot, burst).otherwise(F.col("id"))).alias("ts"),
+    )
+    plain = r.repeats_within(df, "author", "message", "ts", "id", thread=thread, column="n")
+    cut = r.repeats_within(df, "author", "message", "ts", "id", thread=thread, column="n", most=2_000)
+    assert sorted(plain.select("id", "n").collect()) == sorted(cut.select("id", "n").collect())
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        cut = r.repeats_within(df, "author", "message", "ts", "id", thread=thread, column="n", most=2_000)
+        tasks = cut.groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("rows"), F.sum("n")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert sum(t["rows"] for t in tasks) == n and max(t["rows"] for t in tasks) <= n / 10
+
+
 def test_exact_copies(spark):
     rows = [("t", "a"), ("t", "b"), ("t", "b"), ("u", "a"), ("u", "a")]
     got = r.copies_across(spark.createDataFrame(rows, "text string, source string")).collect()
