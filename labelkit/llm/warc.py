@@ -313,7 +313,10 @@ def op9_warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
         F.length("payload").cast("long").alias("size"), F.sha2("payload", 256).alias("digest"), F.substring(F.col("header")["WARC-Payload-Digest"], 8, 64).alias("said"),
     )
     rows = written(rows, "warc-rows")
-    first = rows.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("size").alias("full_size"), F.col("digest").alias("full_digest")).distinct()
-    return rows.join(first, "refers_to", "left").select(
-        "page_id", F.coalesce("full_size", "size").alias("payload_bytes"), F.coalesce("full_digest", "digest").alias("payload_digest"), "record_type", "refers_to"
+    # ids may repeat with other payloads, so a revisit meets the record that has its id and its digest
+    first = rows.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("digest").alias("said"), F.col("size").alias("full_size")).distinct()
+    again = rows.where("refers_to IS NOT NULL").drop("size", "digest").join(first, ["refers_to", "said"], "left")
+    return (
+        rows.where("refers_to IS NULL").select("page_id", F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+        .unionByName(again.select("page_id", F.col("full_size").alias("payload_bytes"), F.col("said").alias("payload_digest"), "record_type", "refers_to"))
     )

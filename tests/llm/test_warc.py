@@ -58,3 +58,18 @@ def test_empty_table(spark):
     path = shared_dir(spark, "warc-test")
     warc.write_archives(spark.createDataFrame([], SCHEMA), path)
     assert warc.read_archives(spark, path).count() == 0
+
+
+def test_query_on_ids_that_repeat_with_other_payloads(spark, tmp_path):
+    a, b, long = "A" * 200, "B" * 200, "é" * 60
+    rows = [(1, "u", a, None), (1, "u", b, None), (2, "u", a, None), (3, "u", "C" * 50, None), (4, "u", b, None), (4, "u", b, None), (5, "u", long, None),
+            (6, "u", long, None), (None, "u", None, None), (None, "u", "short", None)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(map(tuple, warc.op9_warc_round_trip(spark, str(tmp_path)).collect()), key=str)
+    lead = {a: 1, b: 1, long: 5}
+    want = []
+    for i, _, html, _ in rows:
+        body = (html or "").encode()
+        again = i is not None and lead.get(html, i) < i
+        want.append((i, len(body), hashlib.sha256(body).hexdigest(), "revisit" if again else "response", lead[html] if again else None))
+    assert got == sorted(want, key=str)
