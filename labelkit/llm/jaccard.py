@@ -13,8 +13,12 @@ indexed singly and frequent ones, for the few documents made mostly of them, in
 3. A token is frequent when more than ``FEW`` documents outside its largest component hold it (a passage
    that many documents share).  A document with more frequent tokens than its reserve gets its whole set
    indexed; counting is repeated until every document has a full prefix of rare tokens or is whole.
-4. Left are rare buckets with several components and the combinations: their pairs across components,
-   at most ``FEW`` per row outside a bucket's largest component, are verified on the whole sets.
+4. Left are rare buckets with several components and the combinations.  Pairs across components become
+   rows only where sizes and parity bits allow a link (bits that differ are tokens that differ), and are
+   verified on the whole sets.  Buckets longer than ``SHORT`` are dealt to blocks that are compared as
+   matrices: comparisons, not rows, grow with the square of a group of variants that do not link.  In
+   buckets bits grow with the set up to ``MOST_WORDS`` words; beyond some 1,500 shingles they tell less
+   apart, which makes more rows and changes no result.
 
 No link between different components is lost, and no pair within one is looked at again.  All counts
 cover all documents; no bucket is capped.
@@ -44,6 +48,10 @@ from labelkit.session import written
 WORDS = 5
 PERCENT = 75
 FEW = 20
+SHORT = 8
+BLOCK = 1_000
+FLUSH = 200_000
+LEAST_WORDS, MOST_WORDS = 2, 16
 MAX_IDS = 2_000_000
 """Largest number of 8-byte ids that is broadcast; beyond it a shuffle join is taken."""
 
@@ -99,31 +107,60 @@ def _arrays(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*parts, np.empty(0, np.int64)])))
 
 
+def parity_bits(tokens: np.ndarray, share: int = 1, most: int | None = MOST_WORDS) -> bytes:
+    """For each class of hashes (about ``share`` for each token, 64 * ``most`` at most) whether it holds an odd number of tokens."""
+    words = max(LEAST_WORDS, 1 << max(0, (share * len(tokens) - 1).bit_length() - 6))
+    size = 64 * (words if most is None else min(most, words))
+    odd = np.bincount((tokens & (size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(words: np.ndarray, width: int) -> np.ndarray:
+    """The bits of half as many classes, and so on, until each row has ``width`` words."""
+    while words.shape[1] > width:
+        half = words.shape[1] // 2
+        words = words[:, :half] ^ words[:, half:]
+    return words
+
+
 def prefixes(rows: DataFrame, percent: int) -> DataFrame:
-    """(id, n, digest, tokens): set size, digest of the set, and the tokens with the smallest hashes."""
+    """(id, n, digest, bits, tokens): set size, digest and parity bits of the set, and the tokens with the smallest hashes."""
 
     def build(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
         take = [sum(_prefix(len(s), percent)) if len(s) else 0 for s in sets]
         digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
         return pa.record_batch(
-            [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), _arrays([s[:t] for t, s in zip(take, sets)])],
-            ["id", "n", "digest", "tokens"],
+            [
+                ids,
+                pa.array([len(s) for s in sets], pa.int64()),
+                pa.array(digests, pa.binary()),
+                pa.array([parity_bits(s) for s in sets], pa.binary()),
+                _arrays([s[:t] for t, s in zip(take, sets)]),
+            ],
+            ["id", "n", "digest", "bits", "tokens"],
         )
 
-    return _mapped(rows, "id long, n long, digest binary, tokens array<long>", build)
+    return _mapped(rows, "id long, n long, digest binary, bits binary, tokens array<long>", build)
 
 
 def whole_sets(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, tokens) of the rows whose id is in ``ids``."""
+    """(id, tokens, bits) of the rows whose id is in ``ids``; these bits grow with the set."""
     chosen = join_small(rows, ids, "id", "left_semi", MAX_IDS)
-    return _mapped(chosen, "id long, tokens array<long>", lambda i, sets: pa.record_batch([i, _arrays(sets)], ["id", "tokens"]))
+
+    def build(ids: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.record_batch([ids, _arrays(sets), pa.array([parity_bits(s, 2, None) for s in sets], pa.binary())], ["id", "tokens", "bits"])
+
+    return _mapped(chosen, "id long, tokens array<long>, bits binary", build)
 
 
 def verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar, decided on whole sets."""
+    """The pairs (a, b) that are similar: parity bits rule most others out, whole sets decide the rest."""
     pairs = written(pairs, "pairs")
     sets = written(whole_sets(rows, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()), "sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
+    sized = sets.select("id", F.size("tokens").cast("long").alias("n"), "bits")
+    ends = [sized.select(F.col("id").alias(e), F.col("n").alias(f"n{e}"), F.col("bits").alias(f"bits{e}")) for e in "ab"]
+    close = written(_bits_fit(pairs.join(ends[0], "a").join(ends[1], "b"), percent).distinct(), "close-pairs")
+    both = close.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,6 +177,25 @@ def verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def _bits_fit(pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the (a, b, na, nb, bitsa, bitsb) rows whose bits differ no more than those of similar sets can."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = np.add(*(batch.column(c).to_numpy() for c in ("na", "nb")))
+            by: dict[tuple[int, int], list[int]] = {}
+            bits = [batch.column(c).to_pylist() for c in ("bitsa", "bitsb")]
+            for k, (x, y) in enumerate(zip(*bits)):
+                by.setdefault((len(x) // 8, len(y) // 8), []).append(k)
+            good = np.zeros(batch.num_rows, bool)
+            for widths, at in by.items():
+                x, y = (_folded(np.frombuffer(b"".join(side[k] for k in at), np.uint64).reshape(-1, w), min(widths)) for side, w in zip(bits, widths))
+                good[at] = (100 + percent) * np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= (100 - percent) * total[at]
+            yield pa.record_batch([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good))
+
+    return pairs.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(run, "a long, b long")
+
+
 def _across(buckets: DataFrame) -> DataFrame:
     """Rows (token, id, n, component) of tokens that more than one component holds."""
     spread = buckets.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
@@ -213,28 +269,119 @@ def _combined(held: DataFrame, percent: int) -> DataFrame:
     return held.select("id", "n", "tokens").mapInArrow(run, "token long, id long, n long")
 
 
-def _pairs(buckets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, c): pairs in different components, sizes fitting, with the number of buckets they share."""
-    a = buckets.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    b = buckets.select(F.col("token").alias("tb"), F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    joined = a.join(b, (F.col("token") == F.col("tb")) & (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & _fits("na", "nb", percent))
-    return joined.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+def _close(a: list[tuple], b: list[tuple], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions in two lists of (id, n, component, bits) of the pairs across components that can be similar.
+
+    Similar sets differ in at most ``(100 - percent) / (100 + percent)`` of the sum of their sizes, and each
+    parity bit that differs stands for a token that does.
+    """
+    sides = []
+    for rows in (a, b):
+        by: dict[int, list[int]] = {}
+        for i, row in enumerate(rows):
+            by.setdefault(len(row[3]) // 8, []).append(i)
+        sides.append(
+            {
+                width: (np.array(at), np.array([rows[i][1:3] for i in at], np.int64), np.frombuffer(b"".join(rows[i][3] for i in at), np.uint64).reshape(-1, width))
+                for width, at in by.items()
+            }
+        )
+    for wa, (at_a, known_a, bits_a) in sides[0].items():
+        for wb, (at_b, known_b, bits_b) in sides[1].items():
+            width = min(wa, wb)
+            x, y = _folded(bits_a, width), _folded(bits_b, width)
+            for k in range(0, len(x), 64):  # bounded memory
+                na, ca = known_a[k : k + 64, :1], known_a[k : k + 64, 1:]
+                nb, cb = known_b[:, 0], known_b[:, 1]
+                can = (ca != cb) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+                if not can.any():
+                    continue
+                differ = np.zeros(can.shape, np.int64)
+                for w in range(width):
+                    differ += np.bitwise_count(x[k : k + 64, w, None] ^ y[:, w])
+                i, j = np.nonzero(can & ((100 + percent) * differ <= (100 - percent) * (na + nb)))
+                yield at_a[k + i], at_b[j]
+
+
+def _met(groups: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs that can be similar of the blocks ``lo`` and ``hi`` of a bucket.
+
+    ``groups`` is (token, lo, hi, block, id, n, component, bits).
+    """
 
+    def pairs(group: list[tuple]) -> Iterator[tuple[int, int]]:
+        lo, hi = group[0][1], group[0][2]
+        sides = [[r[4:] for r in group if r[3] == block] for block in (lo, hi)]
+        for i, j in _close(*sides, percent):
+            for x, y in zip(i.tolist(), j.tolist()):
+                a, b = sides[0][x][0], sides[1][y][0]
+                if a < b or a > b and lo != hi:
+                    yield min(a, b), max(a, b)
 
-def _likely(pairs: DataFrame, frequent_in: DataFrame, percent: int) -> DataFrame:
-    """Pairs that can still be similar.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(found: set[tuple[int, int]]) -> pa.RecordBatch:
+            a, b = list(zip(*found)) or ((), ())
+            return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    Similar sets of sizes na and nb share at least ``o`` tokens, so of the ``L`` smallest hashes of the set
-    whose list ends first at least ``L - (size - o)`` are shared and stand in both lists; all of them were
-    counted but the frequent ones.
+        group: list[tuple] = []
+        found: set[tuple[int, int]] = set()  # a pair meets in many buckets
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if group and row[:3] != group[0][:3]:
+                    found.update(pairs(group))
+                    group = []
+                    if len(found) > FLUSH:
+                        yield made(found)
+                        found.clear()
+                group.append(row)
+        if group:
+            found.update(pairs(group))
+        yield made(found)
+
+    dealt = groups.select("token", "lo", "hi", "block", "id", "n", "component", "bits").repartition("token", "lo", "hi")
+    return dealt.sortWithinPartitions("token", "lo", "hi").mapInArrow(run, "a long, b long")
+
+
+def _met_in_rows(few: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs that can be similar of short buckets, at most ``SHORT`` for each row of one."""
+    names = {"token": "t", "id": "", "n": "n", "component": "c", "bits": "bits"}
+    ends = [few.select(*[F.col(name).alias(short + e) for name, short in names.items()]) for e in "ab"]
+    apart = (F.col("ta") == F.col("tb")) & (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & _fits("na", "nb", percent)
+    return _bits_fit(ends[0].join(ends[1], apart), percent)
+
+
+def _rarest(rare: DataFrame, frequent_in: DataFrame, percent: int) -> DataFrame:
+    """(id, n, component, by): of each document its rarest buckets, as many as a link needs.
+
+    Similar sets of sizes na and nb share at least ``o`` tokens, so of the smallest hashes of the set whose list
+    ends first (``L`` of ``size``) at least ``L - (size - o)`` are shared and stand in both lists; all of them are
+    in buckets but the frequent ones.  Over all sizes that fit, this is at least ``need``.  Documents with fewer
+    buckets leave.  The rarest shared bucket is not among the ``need - 1`` most frequent of either document.
     """
-    f = frequent_in.select("id", "f")
-    rows = join_small(join_small(pairs, f.select(F.col("id").alias("a"), F.col("f").alias("fa")), "a", "left", MAX_IDS), f.select(F.col("id").alias("b"), F.col("f").alias("fb")), "b", "left", MAX_IDS)
-    overlap = f"ceil({percent} * (na + nb) / {100.0 + percent})"
-    need = lambda n: f"({n} - ceil({percent} * {n} / 100.0) + 1)"
-    listed = lambda n: f"least({n}, {need(n)} + floor({need(n)} / 16) + 2)"
-    least = F.expr(f"least({listed('na')} - na + {overlap}, {listed('nb')} - nb + {overlap}) - least(coalesce(fa, 0), coalesce(fb, 0))")
-    return rows.where(F.col("c") >= least).select("a", "b")
+    by = rare.groupBy("id", "n", "component").agg(F.array_sort(F.collect_set(F.struct("times", "token"))).alias("by"))
+    by = join_small(by, frequent_in.select("id", "f"), "id", "left", MAX_IDS)
+    fewest = f"least(ceil({percent} * n / 100.0), 3 + floor((floor({percent * (100 - percent)} * n / 10000.0) + 1) / 16))"
+    need = F.greatest(F.lit(1), F.expr(f"{fewest} - coalesce(f, 0)"))
+    room = (F.size("by") - need + 1).cast("int")
+    return by.withColumn("room", room).where("room > 0").select("id", "n", "component", F.slice("by", F.lit(1), F.col("room")).alias("by"))
+
+
+def _alike(rare: DataFrame, combined: DataFrame, frequent_in: DataFrame, base: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs in different components that share a bucket and can be similar by size and parity bits."""
+    buckets = rare.select("token", "id", "n", "component").unionByName(combined.select("token", "id", "n", "component"))
+    times = written(buckets.groupBy("token").agg(F.count("*").alias("times")), "times")
+    counted = [join_small(b, times, "token", "inner", MAX_IDS) for b in (rare, combined)]
+    pairs_of_tokens = counted[1].groupBy("id", "n", "component").agg(F.collect_set(F.struct("times", "token")).alias("by"))
+    chosen = written(_rarest(counted[0], frequent_in, percent).unionByName(pairs_of_tokens), "chosen")
+    held = written(chosen.select(F.explode("by.token").alias("token")).groupBy("token").agg(F.count("*").alias("times")).where("times > 1"), "held")
+    bits = join_small(base.select("id", "n", "bits"), chosen.select("id", "n").distinct(), ["id", "n"], "left_semi", MAX_IDS).distinct()
+    lists = chosen.join(bits, ["id", "n"]).select("id", "n", "component", "bits", F.explode("by.token").alias("token"))
+    lists = written(join_small(lists, held, "token", "inner", MAX_IDS), "lists")
+    blocks = F.ceil(F.col("times") / BLOCK).cast("int")
+    each = lists.where(F.col("times") > SHORT).withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("id"), blocks).cast("int")})
+    other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("lo"), F.greatest("block", o).alias("hi")))
+    groups = each.select("token", F.inline(other), "block", "id", "n", "component", "bits")
+    return _met_in_rows(lists.where(F.col("times") <= SHORT), percent).union(_met(groups, percent)).distinct()
 
 
 def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -289,7 +436,7 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     held = marked.groupBy("id", "n").agg(F.array_sort(F.collect_set(F.struct("times", "token"))).alias("by"), F.count_distinct("token").alias("f"))
     held = held.where(F.col("f") >= F.expr(f"ceil({percent} * n / 100.0)")).select("id", "n", "f", F.transform("by", lambda x: x.token).alias("tokens"))
     combined = written(_across(_in_components(_combined(held, percent), linked)), "combined")
-    alike = _likely(_pairs(rare, percent), count, percent).union(_pairs(combined, percent).select("a", "b")).distinct()
+    alike = _alike(rare, combined, count, base, percent)
     last = written(verified(alike, known, percent), "links")
     return base.select("id", "n"), written(components(links.unionByName(last).unionByName(equal)), "components")
 
@@ -301,7 +448,32 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     return join_small(docs, gone, key, "left_anti", MAX_IDS)
 
 
-@query()
+@query(
+    r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                   '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+  FROM split),
+sizes AS (SELECT doc_id, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS whole FROM shingles GROUP BY doc_id),
+leads AS (SELECT min(doc_id) AS doc_id, any_value(n) AS n, whole FROM sizes GROUP BY whole),
+shared AS (SELECT hash(s) AS s, doc_id, n FROM shingles JOIN leads USING (doc_id)
+           WHERE s IN (SELECT s FROM shingles JOIN leads USING (doc_id) GROUP BY s HAVING count(*) > 1)),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b FROM shared a JOIN shared b
+          ON a.s = b.s AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
+          GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs
+          UNION ALL SELECT l.doc_id, s.doc_id FROM sizes s JOIN leads l USING (whole) WHERE s.doc_id <> l.doc_id
+          UNION ALL SELECT s.doc_id, l.doc_id FROM sizes s JOIN leads l USING (whole) WHERE s.doc_id <> l.doc_id),
+reached AS (SELECT a AS doc_id, b AS other FROM links UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON r.other = l.a),
+least AS (SELECT doc_id, min(other) AS other FROM reached GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(other, d.doc_id)) AS component_id
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
+"""
+)
 def op4_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     sizes, linked = linked_components(table(spark, folder, "documents"))
     return join_small(sizes, linked, "id", "left", MAX_IDS).select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from labelkit.llm import graph, jaccard
@@ -86,3 +87,37 @@ def test_other_text_of_a_folded_id_keeps_its_links(spark):
     rows = [(1, " ".join(first)), (2, " ".join(first)), (2, " ".join(other)), (3, " ".join(near)), (4, "alone in the world with five words")]
     _, linked = jaccard.linked_components(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r["id"]: r["component"] for r in linked.collect() if r["id"] != r["component"]} == {2: 1, 3: 1}
+
+
+def test_variants_that_do_not_link_in_blocks(spark, monkeypatch):
+    """A template of many variants: long buckets are dealt to blocks, few pairs become rows, links equal all pairs."""
+    monkeypatch.setattr(jaccard, "FEW", 4)
+    monkeypatch.setattr(jaccard, "BLOCK", 40)
+    rng = random.Random(5)
+    template = [f"t{k}" for k in range(160)]
+    rows = []
+    for i in range(260):
+        words = list(template)
+        for at in rng.sample(range(0, 160, 8), 14 if i % 13 else rng.choice((0, 1, 2))):
+            words[at] = f"v{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    tried = []
+    real = jaccard.verified
+    monkeypatch.setattr(jaccard, "verified", lambda pairs, *rest: tried.append(pairs.count()) or real(pairs, *rest))
+    sizes, linked = jaccard.linked_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    component = {r["id"]: r["component"] for r in linked.collect()}
+    assert {r["id"]: (r["n"], component.get(r["id"], r["id"])) for r in sizes.collect()} == brute(rows)
+    assert tried[-1] < 260
+
+
+def test_differing_bits_never_exceed_differing_tokens():
+    rng = np.random.default_rng(7)
+    for size in (1, 5, 100, 128, 129, 300, 600, 3000):
+        for changed in (0, 1, size // 10, size // 4, size):
+            x = np.unique(rng.integers(-(2**63), 2**63 - 1, size))
+            y = np.unique(np.concatenate([x[: len(x) - changed], rng.integers(-(2**63), 2**63 - 1, changed + size // 9)]))
+            bits = [np.frombuffer(jaccard.parity_bits(s), np.uint64).reshape(1, -1) for s in (x, y)]
+            width = min(b.shape[1] for b in bits)
+            differ = np.bitwise_count(jaccard._folded(bits[0], width) ^ jaccard._folded(bits[1], width)).sum()
+            assert differ <= len(np.setxor1d(x, y))
+    assert [len(jaccard.parity_bits(np.arange(n))) // 8 for n in (0, 1, 128, 129, 256, 257, 512, 513, 5000)] == [2, 2, 2, 4, 4, 8, 8, 16, 16]
