@@ -16,9 +16,11 @@ indexed singly and frequent ones, for the few documents made mostly of them, in
 4. Left are rare buckets with several components and the combinations.  Pairs across components become
    rows only where sizes and parity bits allow a link (bits that differ are tokens that differ), and are
    verified on the whole sets.  Buckets longer than ``SHORT`` are dealt to blocks that are compared as
-   matrices: comparisons, not rows, grow with the square of a group of variants that do not link.  In
-   buckets bits grow with the set up to ``MOST_WORDS`` words; beyond some 1,500 shingles they tell less
-   apart, which makes more rows and changes no result.
+   matrices: comparisons, not rows, grow with the square of a group of variants that do not link.  Near
+   copies meet in most of their buckets, so each row carries its ``FIRSTS`` most frequent ones and a pair
+   that shares one of them is given out by the first such bucket alone.  In buckets bits grow with the set
+   up to ``MOST_WORDS`` words; beyond some 1,500 shingles they tell less apart, which makes more rows and
+   changes no result.
 
 No link between different components is lost, and no pair within one is looked at again.  All counts
 cover all documents; no bucket is capped.
@@ -51,7 +53,8 @@ FEW = 20
 SHORT = 8
 BLOCK = 1_000
 FLUSH = 200_000
-LEAST_WORDS, MOST_WORDS = 2, 16
+SHARE, LEAST_WORDS, MOST_WORDS = 4, 4, 16
+FIRSTS = 4
 MAX_IDS = 2_000_000
 """Largest number of 8-byte ids that is broadcast; beyond it a shuffle join is taken."""
 
@@ -107,7 +110,7 @@ def _arrays(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*parts, np.empty(0, np.int64)])))
 
 
-def parity_bits(tokens: np.ndarray, share: int = 1, most: int | None = MOST_WORDS) -> bytes:
+def parity_bits(tokens: np.ndarray, share: int = SHARE, most: int | None = MOST_WORDS) -> bytes:
     """For each class of hashes (about ``share`` for each token, 64 * ``most`` at most) whether it holds an odd number of tokens."""
     words = max(LEAST_WORDS, 1 << max(0, (share * len(tokens) - 1).bit_length() - 6))
     size = 64 * (words if most is None else min(most, words))
@@ -270,7 +273,7 @@ def _combined(held: DataFrame, percent: int) -> DataFrame:
 
 
 def _close(a: list[tuple], b: list[tuple], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions in two lists of (id, n, component, bits) of the pairs across components that can be similar.
+    """Positions in two lists of (id, n, component, bits, ...) of the pairs across components that can be similar.
 
     Similar sets differ in at most ``(100 - percent) / (100 + percent)`` of the sum of their sizes, and each
     parity bit that differs stands for a token that does.
@@ -290,32 +293,40 @@ def _close(a: list[tuple], b: list[tuple], percent: int) -> Iterator[tuple[np.nd
         for wb, (at_b, known_b, bits_b) in sides[1].items():
             width = min(wa, wb)
             x, y = _folded(bits_a, width), _folded(bits_b, width)
+            low = min(width, max(LEAST_WORDS, width // SHARE))
+            short_x, short_y = _folded(x, low), np.ascontiguousarray(_folded(y, low).T)
             for k in range(0, len(x), 64):  # bounded memory
                 na, ca = known_a[k : k + 64, :1], known_a[k : k + 64, 1:]
                 nb, cb = known_b[:, 0], known_b[:, 1]
                 can = (ca != cb) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
                 if not can.any():
                     continue
-                differ = np.zeros(can.shape, np.int64)
-                for w in range(width):
-                    differ += np.bitwise_count(x[k : k + 64, w, None] ^ y[:, w])
-                i, j = np.nonzero(can & ((100 + percent) * differ <= (100 - percent) * (na + nb)))
+                most = ((100 - percent) / (100 + percent)) * (na + nb) + 1e-6
+                differ = np.zeros(can.shape, np.uint16)
+                for w in range(low):
+                    differ += np.bitwise_count(short_x[k : k + 64, w, None] ^ short_y[w])
+                i, j = np.nonzero(can & (differ <= most))
+                if low < width:  # few are left for all bits
+                    fit = np.bitwise_count(x[k + i] ^ y[j]).sum(1, dtype=np.int64) <= most[i, j]
+                    i, j = i[fit], j[fit]
                 yield at_a[k + i], at_b[j]
 
 
 def _met(groups: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs that can be similar of the blocks ``lo`` and ``hi`` of a bucket.
 
-    ``groups`` is (token, lo, hi, block, id, n, component, bits).
+    ``groups`` is (token, lo, hi, block, id, n, component, bits, firsts).  All lists of ``firsts`` follow one order of
+    buckets, so the first one that two rows share is the same seen from both, and they meet there: other buckets
+    leave the pair to it.
     """
 
     def pairs(group: list[tuple]) -> Iterator[tuple[int, int]]:
-        lo, hi = group[0][1], group[0][2]
+        token, lo, hi = group[0][:3]
         sides = [[r[4:] for r in group if r[3] == block] for block in (lo, hi)]
         for i, j in _close(*sides, percent):
             for x, y in zip(i.tolist(), j.tolist()):
-                a, b = sides[0][x][0], sides[1][y][0]
-                if a < b or a > b and lo != hi:
+                (a, *_, ours), (b, *_, theirs) = sides[0][x], sides[1][y]
+                if (a < b or a > b and lo != hi) and next((t for t in ours if t in theirs), token) == token:
                     yield min(a, b), max(a, b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,7 +349,7 @@ def _met(groups: DataFrame, percent: int) -> DataFrame:
             found.update(pairs(group))
         yield made(found)
 
-    dealt = groups.select("token", "lo", "hi", "block", "id", "n", "component", "bits").repartition("token", "lo", "hi")
+    dealt = groups.select("token", "lo", "hi", "block", "id", "n", "component", "bits", "firsts").repartition("token", "lo", "hi")
     return dealt.sortWithinPartitions("token", "lo", "hi").mapInArrow(run, "a long, b long")
 
 
@@ -371,16 +382,17 @@ def _alike(rare: DataFrame, combined: DataFrame, frequent_in: DataFrame, base: D
     buckets = rare.select("token", "id", "n", "component").unionByName(combined.select("token", "id", "n", "component"))
     times = written(buckets.groupBy("token").agg(F.count("*").alias("times")), "times")
     counted = [join_small(b, times, "token", "inner", MAX_IDS) for b in (rare, combined)]
-    pairs_of_tokens = counted[1].groupBy("id", "n", "component").agg(F.collect_set(F.struct("times", "token")).alias("by"))
-    chosen = written(_rarest(counted[0], frequent_in, percent).unionByName(pairs_of_tokens), "chosen")
+    pairs_of_tokens = counted[1].groupBy("id", "n", "component").agg(F.array_sort(F.collect_set(F.struct("times", "token"))).alias("by"))
+    firsts = F.slice(F.reverse("by.token"), 1, FIRSTS).alias("firsts")  # both lists stand in one order
+    chosen = written(_rarest(counted[0], frequent_in, percent).unionByName(pairs_of_tokens).select("*", firsts), "chosen")
     held = written(chosen.select(F.explode("by.token").alias("token")).groupBy("token").agg(F.count("*").alias("times")).where("times > 1"), "held")
     bits = join_small(base.select("id", "n", "bits"), chosen.select("id", "n").distinct(), ["id", "n"], "left_semi", MAX_IDS).distinct()
-    lists = chosen.join(bits, ["id", "n"]).select("id", "n", "component", "bits", F.explode("by.token").alias("token"))
+    lists = chosen.join(bits, ["id", "n"]).select("id", "n", "component", "bits", "firsts", F.explode("by.token").alias("token"))
     lists = written(join_small(lists, held, "token", "inner", MAX_IDS), "lists")
     blocks = F.ceil(F.col("times") / BLOCK).cast("int")
     each = lists.where(F.col("times") > SHORT).withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("id"), blocks).cast("int")})
     other = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("lo"), F.greatest("block", o).alias("hi")))
-    groups = each.select("token", F.inline(other), "block", "id", "n", "component", "bits")
+    groups = each.select("token", F.inline(other), "block", "id", "n", "component", "bits", "firsts")
     return _met_in_rows(lists.where(F.col("times") <= SHORT), percent).union(_met(groups, percent)).distinct()
 
 

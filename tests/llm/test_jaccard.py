@@ -121,3 +121,29 @@ def test_differing_bits_never_exceed_differing_tokens():
             differ = np.bitwise_count(jaccard._folded(bits[0], width) ^ jaccard._folded(bits[1], width)).sum()
             assert differ <= len(np.setxor1d(x, y))
     assert [len(jaccard.parity_bits(np.arange(n))) // 8 for n in (0, 1, 128, 129, 256, 257, 512, 513, 5000)] == [2, 2, 2, 4, 4, 8, 8, 16, 16]
+
+
+def test_variants_that_do_not_link_make_few_rows(spark, monkeypatch):
+    rng = random.Random(5)
+    vocabulary = [f"w{k}" for k in range(4000)]
+    origin = [rng.choice(vocabulary) for _ in range(100)]
+    rows = []
+    for i in range(300):  # pairs are between 0.6 and 0.8 alike and meet in many buckets
+        words = list(origin)
+        for at in rng.sample(range(100), 4):
+            words[at] = rng.choice(vocabulary)
+        rows.append((i, " ".join(words)))
+    counted = []
+    met = jaccard._met
+
+    def seen(groups, percent):
+        found = met(groups, percent).persist()
+        counted.append((found.count(), found.distinct().count()))
+        return found
+
+    monkeypatch.setattr(jaccard, "_met", seen)
+    sizes, linked = jaccard.linked_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    component = {r["id"]: r["component"] for r in linked.collect()}
+    assert {r["id"]: (r["n"], component.get(r["id"], r["id"])) for r in sizes.collect()} == brute(rows)
+    given, pairs = counted[0]
+    assert 0 < pairs < 2 * len(rows) and given < 1.5 * pairs
