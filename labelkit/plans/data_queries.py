@@ -110,7 +110,9 @@ def scan_folder_files(spark: SparkSession, folder: str) -> DataFrame:
     ending = F.element_at(F.array(F.lit("png"), F.lit("JPG"), F.lit("txt")), (F.col("part") % 3 + 1).cast("int"))
     below = F.when(F.col("part") % 4 == 3, F.concat("source", F.lit("/"))).otherwise("")
     name = F.concat("lang", F.lit("/"), below, "source", F.lit("-"), "part", F.lit("."), ending)
-    write_files(ids.withColumn("path", name), root)
+    # rows are few bytes and a file each: dealt by number, or all of them would be one task's
+    dealt = ids.withColumn("path", name).repartition(4 * spark.sparkContext.defaultParallelism, "path")
+    write_files(dealt, root)
     flat = files.scan_folder(spark, root).withColumn("flat", F.lit(1))
     tree = files.scan_folder(spark, root, recursive=True).withColumn("flat", F.lit(0))
     return flat.unionByName(tree).groupBy("folder").agg(

@@ -65,6 +65,27 @@ def test_recursive_scan_labels_by_the_top_folder(spark, tree):
     }
 
 
+def test_scans_list_folders_and_open_no_file(spark, tree, tmp_path, monkeypatch):
+    from pathlib import Path
+    from shutil import copytree
+
+    tree = copytree(tree, str(tmp_path / "tree"))
+    for name in ("gore/_hidden.png", "gore/.x.png", "_odd/e.png", "_odd/.deep/f.png", "gore/in/_ner/g.png", "gore/in/h.png"):
+        (Path(tree) / name).parent.mkdir(parents=True, exist_ok=True)
+        (Path(tree) / name).write_bytes(b"x")
+    (Path(tree) / "gore/empty.png").write_bytes(b"")
+    for recursive in (False, True):
+        scan = files.scan_folder(spark, f"file://{tree}/", recursive=recursive)
+        assert "binaryFile" not in scan._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(tuple, scan.collect()))
+        monkeypatch.setattr(files, "_listed", None)
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
+        plain = reader.load(tree if recursive else f"{tree}/*/*").select("path")
+        monkeypatch.setattr(files, "_files", lambda *_: plain)
+        assert got == sorted(map(tuple, files.scan_folder(spark, tree, recursive=recursive).collect()))
+        monkeypatch.undo()
+
+
 def test_unlabelled_scan_does_not_read_contents(spark, tree):
     found = files.scan_files(spark, tree)
     assert _names(found) == {"a.PNG", "b.png", "d.png", "bad.jpg", "w.webp", "fake.webp", "top.png"}
