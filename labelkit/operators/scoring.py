@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
 
+BATCH = 1_000
+
 
 def _parse_schema(schema: str | T.StructType) -> T.StructType:
     return schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
@@ -29,7 +31,8 @@ def score(
     ``scorer_factory`` runs once per task and returns a function from a batch of rows to a frame of
     ``out_schema`` columns, in the same order.  With ``on_error="row"`` a failing batch is halved
     until the bad rows stand alone; these get status ``ERROR`` and a message, and the job goes on.
-    ``timing`` adds the seconds spent per row of the batch.  Select only the columns needed before
+    ``timing`` adds the seconds spent per row of the batch.  A batch has at most ``BATCH`` rows, so that what a worker
+    holds beside Arrow's own batch stays small.  Select only the columns needed before
     the call: what comes in is copied to Python and back.
     """
     if on_error not in ("fail", "row"):
@@ -60,9 +63,7 @@ def score(
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = scorer_factory()
-        for batch in batches:
-            if batch.empty:
-                continue
+        for batch in (arrived.iloc[at : at + BATCH] for arrived in batches for at in range(0, len(arrived), BATCH)):
             began = time.perf_counter()
             found = run(scorer, batch)
             joined = pd.concat([batch.reset_index(drop=True), found], axis=1)

@@ -132,3 +132,11 @@ def test_prompts_are_attached_by_id(spark):
     prompts = search.prompt_table(spark, ["a", "b"])
     rows = spark.createDataFrame([(1, 1), (2, 7)], "id int, prompt_id int")
     assert {r.id: r.prompt for r in search.attach_prompt(rows, prompts).collect()} == {1: "b", 2: None}
+
+
+def test_models_get_batches_of_bounded_size(spark):
+    def factory():
+        return lambda batch: pd.DataFrame({"size": [len(batch)] * len(batch)})
+
+    sizes = scoring.score(spark.range(4_500).coalesce(1), factory, "size long").groupBy("size").count().collect()
+    assert {(r["size"], r["count"]) for r in sizes} == {(1_000, 4_000), (500, 500)}
