@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,14 +68,26 @@ def repeats_sliding(
     slide: str = "10 minutes",
     delay: str = "2 hours",
 ) -> DataFrame:
-    """Author and message seen at least ``at_least`` times in a sliding window."""
-    return (
-        with_event_time(df, ts, delay)
-        .groupBy(F.window(ts, window, slide), author, F.md5(squeeze(message)).alias("message_key"))
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") >= at_least)
-        .select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), author, "message_key", "n")
-    )
+    """Author and message seen at least ``at_least`` times in a sliding window.
+
+    State holds the counts per slide of two window lengths, so a row enters two groups at most instead of one per
+    window it lies in.  A group is given out when the watermark passes its end, up to one window length after
+    the first windows in it; ``window`` must be a multiple of ``slide``, other windows are counted one by one.
+    """
+    timed = with_event_time(df, ts, delay).withColumn("message_key", F.md5(squeeze(message)))
+    long, step = (pd.Timedelta(length) // pd.Timedelta(microseconds=1) for length in (window, slide))
+    if long % step:
+        counted = timed.groupBy(F.window(ts, window, slide), author, "message_key").agg(F.count("*").alias("n"))
+        return counted.where(F.col("n") >= at_least).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), author, "message_key", "n")
+    steps = long // step
+    begin = F.unix_micros("window.start")
+    placed = timed.withColumn("window", F.window(ts, f"{2 * long} microseconds", f"{long} microseconds"))
+    placed = placed.withColumn("slot", F.floor((F.unix_micros(F.col(ts)) - begin) / step)).where(F.col("slot") < 2 * steps - 1)
+    slots = placed.groupBy("window", author, "message_key").agg(*[F.count_if(F.col("slot") == k).alias(f"slot_{k}") for k in range(2 * steps - 1)])
+    windows = F.array(*[F.struct(F.lit(k).cast("bigint").alias("k"), sum((F.col(f"slot_{k + i}") for i in range(1, steps)), F.col(f"slot_{k}")).alias("n")) for k in range(steps)])
+    found = slots.select("window", author, "message_key", F.inline(F.filter(windows, lambda w: w.n >= max(at_least, 1))))
+    start, end = (F.timestamp_micros(begin + F.col("k") * step + more) for more in (0, long))
+    return found.select(start.alias("start"), end.alias("end"), author, "message_key", "n")
 
 
 def label_counts(df: DataFrame, label: str, ts: str, window: str = "1 hour", delay: str = "2 hours") -> DataFrame:

@@ -125,3 +125,18 @@ def test_scored_stream(spark, tmp_path):
     jobs.score_stream(stream, steps, out, check).trigger(availableNow=True).start().awaitTermination()
     back = spark.read.parquet(out)
     assert {(r.id, r.up, r.batch_id) for r in back.collect()} == {(1, "A", 0), (2, "B", 1)}
+
+
+@pytest.mark.parametrize("window, slide", [("1 hour", "10 minutes"), ("1 hour", "1 hour"), ("50 minutes", "20 minutes")])
+def test_sliding_windows_equal_spark_windows_with_less_state(spark, tmp_path, window, slide):
+    path = _written(spark, str(tmp_path / "in"), 3, 1)
+    rows = spark.read.parquet(path)
+    count = lambda df: jobs.repeats_sliding(df, "author", "message", "ts", 2, window, slide, "30 days")
+    plain = rows.withColumn("ts", F.col("ts").cast("timestamp")).groupBy(F.window("ts", window, slide), "author", F.md5("message").alias("key")).agg(F.count("*").alias("n"))
+    want = plain.where("n >= 2").select("window.start", "window.end", "author", "key", "n")
+    closing = str(tmp_path / "closing")
+    done = jobs.run_available(count(jobs.read_files(spark, path, SCHEMA, closing, 1)), closing=closing)
+    assert sorted(map(tuple, done.collect())) == sorted(map(tuple, want.collect()))
+    if window != "50 minutes":
+        plan = count(rows)._jdf.queryExecution().optimizedPlan().toString()
+        assert sum(line.count("named_struct(start") for line in plan.splitlines() if "Expand" in line) <= 2
