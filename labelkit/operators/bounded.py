@@ -29,8 +29,15 @@ def local_copy(df: DataFrame, max_rows: int = MAX_LOCAL_ROWS) -> DataFrame | Non
     return df.sparkSession.createDataFrame(rows, df.schema)
 
 
+def _estimate(df: DataFrame) -> int:
+    """Bytes, as Catalyst sees them; no job runs."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def is_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
+    """Whether ``df`` may be broadcast: rows are counted, unless Spark would broadcast it unasked by its size."""
+    own = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return _estimate(df) <= min(own, max_rows) or df.count() <= max_rows
 
 
 def join_small(
@@ -51,5 +58,4 @@ def spread(df: DataFrame, key: str, max_bytes: int = 256 << 20) -> DataFrame:
     A small table often is one file with one row group, which a single task reads; heavy work on its rows is
     worth a shuffle of that size.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key) if size <= max_bytes else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key) if _estimate(df) <= max_bytes else df
