@@ -199,6 +199,11 @@ def _bits_fit(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(run, "a long, b long")
 
 
+def _as_links(linked: DataFrame) -> DataFrame:
+    """(a, b): the components known so far, a link for each member, in place of all links that made them."""
+    return linked.select(F.col("id").alias("a"), F.col("component").alias("b"))
+
+
 def _across(buckets: DataFrame) -> DataFrame:
     """Rows (token, id, n, component) of tokens that more than one component holds."""
     spread = buckets.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
@@ -416,8 +421,7 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("degree"))
     ranked = join_small(buckets, written(degree, "degrees"), "id", "left", MAX_IDS).na.fill(0, ["degree"])
     more = written(verified(_apart(_stars(ranked, F.max_by("id", "degree")), linked), known, percent), "star-links")
-    links = links.unionByName(more)
-    linked = written(components(links), "components")
+    linked = written(components(_as_links(linked).unionByName(more)), "components")
     buckets = written(_across(_in_components(buckets, linked)), "buckets")
 
     need, first = F.expr(f"n - ceil({percent} * n / 100.0) + 1"), f"n - ceil({percent} * n / 100.0) + 1"
@@ -450,7 +454,7 @@ def linked_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     combined = written(_across(_in_components(_combined(held, percent), linked)), "combined")
     alike = _alike(rare, combined, count, base, percent)
     last = written(verified(alike, known, percent), "links")
-    return base.select("id", "n"), written(components(links.unionByName(last).unionByName(equal)), "components")
+    return base.select("id", "n"), written(components(_as_links(linked).unionByName(last).unionByName(equal)), "components")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:

@@ -204,6 +204,7 @@ def cutoffs(
         .groupBy("stratum", "rule", "step")
         .agg(F.sum((F.col("q") > 0).cast("bigint")).alias("good"), F.sum((F.col("q") <= 0).cast("bigint")).alias("bad"))
     )
+    seen = written(seen, "cutoff-counts")  # a row per stratum, rule and step; used three times
     group = W.partitionBy("stratum", "rule")
     filled = (
         seen.select("stratum", "rule").distinct().withColumn("step", F.explode(F.array(*[F.lit(i) for i in range(len(GRID) + 1)])))

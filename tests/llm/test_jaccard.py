@@ -147,3 +147,14 @@ def test_variants_that_do_not_link_make_few_rows(spark, monkeypatch):
     assert {r["id"]: (r["n"], component.get(r["id"], r["id"])) for r in sizes.collect()} == brute(rows)
     given, pairs = counted[0]
     assert 0 < pairs < 2 * len(rows) and given < 1.5 * pairs
+
+
+def test_links_that_are_stars_take_no_round(spark, monkeypatch):
+    """Each round is a dozen jobs the driver plans; the components of an earlier call are stars."""
+    rounds, write = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, purpose: rounds.append(purpose) or write(df, purpose))
+    stars, chain = [(3, 1), (4, 1), (1, 1), (9, 7)], [(i, i + 1) for i in range(20, 40)]
+    for links, want, few in ((stars, {1: 1, 3: 1, 4: 1, 7: 7, 9: 7}, 1), (chain, {i: 20 for i in range(20, 41)}, 12), ([(2, 1), (2, 0), (3, 1)], {i: 0 for i in range(4)}, 4), ([], {}, 1)):
+        rounds.clear()
+        assert {r["id"]: r["component"] for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()} == want
+        assert len(rounds) <= few
