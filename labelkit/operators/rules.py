@@ -7,7 +7,7 @@ single pass over the messages: no join, and no message is copied per rule.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -27,7 +27,8 @@ MENTION = r"(^|[^\w.])@(\w+)"
 EVERYONE = r"(^|[^\w.])@(everyone|here)([^\w]|$)"
 EMAIL = r"[\w.+-]+@[\w-]+\.[\w.-]+"
 
-MAX_GRAMS = 2_000_000  # largest number of 8-byte n-grams that is broadcast
+MAX_GRAMS = 2_000_000  # largest number of rows of 8-byte n-grams or keys that is broadcast
+MAX_COPIES = 500_000  # the same for rows of a key and a digest
 
 # Default wording. kind "hit" counts towards spam, kind "allow" is an exclusion that overrides hits.
 DEFAULT_RULES = [
@@ -342,24 +343,70 @@ def copies_across(df: DataFrame, text: str = "text", source: str = "source") ->
     )
 
 
-CLASSES = 16
+CLASSES = 16  # words of 64 parity bits
+LENGTH_BITS = 6  # of the length of an n-gram, above the bits of its hash
+MARK_BITS = 44  # of an n-gram's hash that travel in the first filter, where equal marks only keep more texts
 
 
-def _grams(words: int) -> Column:
+def _each_gram(words: int, value: Callable[[list[Column]], Column]) -> Column:
+    """Distinct ``value`` of every n-gram of the words ``w``; fewer words are one."""
+
     def gram(i: Column) -> Column:
-        return F.xxhash64(*[F.get("w", i + j) for j in range(words)])
+        return value([F.get("w", i + j) for j in range(words)])
 
     count = F.size("w") - words
     some = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(count, F.lit(0))), gram))
-    return F.when(count >= 0, some).otherwise(F.array(F.xxhash64(F.array_join("w", " "))))
+    return F.when(count >= 0, some).otherwise(F.array(value([F.array_join("w", " ")])))
+
+
+def _grams(words: int) -> Column:
+    return _each_gram(words, lambda w: F.xxhash64(*w))
+
+
+def _long_grams(words: int) -> Column:
+    """Hashes of the n-grams, those with the most letters first: they are rarer, and no count is needed to order them."""
+    bits = 63 - LENGTH_BITS
+
+    def value(w: list[Column]) -> Column:
+        length = F.least(reduce(lambda a, b: a + b, [F.length(x) for x in w]), F.lit((1 << LENGTH_BITS) - 1))
+        return F.shiftleft(length.cast("bigint"), bits) + F.xxhash64(*w).bitwiseAND(F.lit((1 << bits) - 1))
+
+    return F.sort_array(_each_gram(words, value), asc=False)
+
+
+def _may_have_partner(texts: DataFrame, words: int, threshold: float) -> DataFrame:
+    """(m): the texts of ``texts`` (m, lo, hi, w) that some text of another source may be similar to.
+
+    Of n n-grams a text can lack ``room`` = n - ceil(threshold n) in a partner.  Each text sends its 2 ``room`` + 1 longest ones, or
+    all if it has fewer.  The same order holds for all texts, so two similar ones have at least as many of the sent ones in common
+    as the shorter text sends beyond its ``room``; a partner has ceil(threshold n) n-grams at least, which bounds this from
+    below.  A text with fewer sent ones that another source sent too has no partner.
+    """
+
+    def need(n: Column) -> Column:
+        return F.ceil(threshold * n - 1e-9).cast("int")
+
+    def beyond(n: Column) -> Column:
+        return F.least(n - need(n) + 1, need(n))
+
+    sets = texts.select("m", "lo", "hi", _long_grams(words).alias("g"))
+    n = F.size("g")
+    sent = F.slice("g", F.lit(1), n - need(n) + beyond(n))
+    marks = sets.select("m", beyond(need(n)).alias("least"), "lo", "hi", F.explode(sent).alias("g"))
+    marks = marks.withColumn("g", F.col("g").bitwiseAND(F.lit((1 << MARK_BITS) - 1)))
+    of_gram = Window.partitionBy("g")
+    seen = marks.select("m", "least", F.min("lo").over(of_gram).alias("lo"), F.max("hi").over(of_gram).alias("hi"), F.count("*").over(of_gram).alias("c"))
+    shared = seen.where("c > 1 AND lo <> hi").groupBy("m").agg(F.count("*").alias("shared"), F.max("least").alias("least"))
+    return shared.where("shared >= least").select("m")
 
 
 def _likeness(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(x, y, j): exact Jaccard similarity of each pair; ``sets`` is (m, g)."""
+    """(x, y, j): exact Jaccard similarity of each pair; ``sets`` is (m, g). Only sets of pairs travel."""
     pairs = written(pairs, "gram-pairs")
-    both = pairs.join(sets.select(F.col("m").alias("x"), F.col("g").alias("gx")), "x").join(sets.select(F.col("m").alias("y"), F.col("g").alias("gy")), "y")
+    mine = join_small(sets.select(F.col("m").alias("x"), F.col("g").alias("gx")), pairs, "x", "inner", MAX_GRAMS)
+    theirs = join_small(sets.select(F.col("m").alias("y"), F.col("g").alias("gy")), pairs.select("y").distinct(), "y", "left_semi", MAX_GRAMS)
     common = F.size(F.array_intersect("gx", "gy"))
-    return both.select("x", "y", (common / (F.size("gx") + F.size("gy") - common)).alias("j"))
+    return mine.join(theirs, "y").select("x", "y", (common / (F.size("gx") + F.size("gy") - common)).alias("j"))
 
 
 def similar_across(
@@ -372,11 +419,12 @@ def similar_across(
     fold into the one with the smallest key first.
 
     Only n-grams that texts of two sources hold can be shared, and a text with fewer of them than ``threshold``
-    of its n-grams has no partner.  The others are indexed by their rarest such n-grams, as many as leave
+    of its n-grams has no partner.  Most such texts leave by their longest n-grams alone (``_may_have_partner``), so the whole
+    sets of few texts are shuffled.  The others are indexed by their rarest such n-grams, as many as leave
     less than the threshold.  Each text first tries the richest text of another source in its lists.  What two texts can
-    share at most is the sum of the smaller counts of such n-grams in ``CLASSES`` classes by hash; a pair becomes
-    a row only if this bound is above the best that one of the two has found.  So a large group of near copies costs a
-    few rows per copy, unless its members are nearer to each other than to the richest in ways the bound cannot tell.
+    share at most follows from 64 ``CLASSES`` parity bits of such n-grams by hash: each bit that differs is one n-gram that is
+    not common.  A pair becomes a row only if this bound is above the best that one of the two has found.  So a
+    large group of near copies costs a few rows per copy, unless its members are nearer to each other than to the richest in ways the bound cannot tell.
     """
     posts = df.select(F.col(key).alias("key"), F.xxhash64(source).alias("s"), F.md5(F.col(text)).alias("m"), F.col(text).alias("t"))
     posts = posts.where(F.col(source).isNotNull() & F.col("t").rlike(r"[\p{L}\p{N}_]"))
@@ -384,23 +432,31 @@ def similar_across(
     twice = written(held.where("times > 1").select("m", "lo", "hi", "lead"), "equal-texts")
     # (key, lead): rows whose text has a row with a smaller key
     copies = written(join_small(posts.select("key", "m"), twice, "m").select("key", "m", "lead", "lo", "hi"), "copies")
-    leads = join_small(spread(posts, "key"), copies.where("key <> lead").select("key", "m").distinct(), ["key", "m"], "left_anti")
     tokens = F.regexp_extract_all(F.lower("t"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
     marks = copies.where("key = lead").select("key", "lo", "hi").distinct()
-    marked = join_small(leads.select("key", "s", tokens.alias("w")), marks, "key", "left")
-    sets = marked.select(F.col("key").alias("m"), F.coalesce("lo", "s").alias("lo"), F.coalesce("hi", "s").alias("hi"), _grams(words).alias("g"))
-    sets = written(sets, "gram-sets")
+    others = copies.where("key <> lead").select("key", "m").distinct()
+
+    def worded(rows: DataFrame) -> DataFrame:
+        leads = join_small(rows, others, ["key", "m"], "left_anti", MAX_COPIES)
+        marked = join_small(leads.select("key", "s", "t"), marks, "key", "left", MAX_GRAMS)
+        return marked.select(F.col("key").alias("m"), F.coalesce("lo", "s").alias("lo"), F.coalesce("hi", "s").alias("hi"), tokens.alias("w"))
+
+    maybe = written(_may_have_partner(worded(spread(posts, "key")), words, threshold), "maybe-similar")
+    sets = worded(join_small(posts, maybe.withColumnRenamed("m", "key"), "key", "left_semi", MAX_GRAMS))
+    sets = written(sets.select("m", "lo", "hi", _grams(words).alias("g")), "gram-sets")
+    of_gram = Window.partitionBy("g")
     each = sets.select("m", "lo", "hi", F.size("g").alias("n"), F.explode("g").alias("g"))
-    often = each.groupBy("g").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("c")).where("c > 1 AND lo <> hi")
-    shared = join_small(each, written(often.select("g", "c"), "shared-grams"), "g", "inner", MAX_GRAMS)
+    known = each.select("*", F.min("lo").over(of_gram).alias("from"), F.max("hi").over(of_gram).alias("to"), F.count("*").over(of_gram).alias("c"))
+    shared = known.where(F.col("c") > 1).where(F.col("from") != F.col("to"))
 
     need = F.ceil(threshold * F.col("n") - 1e-9)
-    by_class = [F.count_if(F.pmod("g", F.lit(CLASSES)) == c).cast("int") for c in range(CLASSES)]
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.shiftright("g", CLASSES.bit_length() - 1), F.lit(64)).cast("int"))
+    parity = [F.coalesce(F.bit_xor(F.when(F.pmod("g", F.lit(CLASSES)) == c, bit)), F.lit(0).cast("bigint")) for c in range(CLASSES)]
     listed = shared.groupBy("m", "lo", "hi", "n").agg(
-        F.array_sort(F.collect_list(F.struct("c", "g"))).alias("by"), F.count("*").alias("total"), F.array(*by_class).alias("counts")
+        F.array_sort(F.collect_list(F.struct("c", "g"))).alias("by"), F.count("*").alias("total"), F.array(*parity).alias("bits")
     )
     room = (F.col("total") - need + 1).cast("int")
-    able = listed.where(room > 0).select("m", "lo", "hi", "n", "total", "counts", F.slice("by", F.lit(1), room)["g"].alias("grams"))
+    able = listed.where(room > 0).select("m", "lo", "hi", "n", "total", "bits", F.slice("by", F.lit(1), room)["g"].alias("grams"))
     able = written(able, "able-texts")
     index = able.select("m", "lo", "hi", "n", "total", F.explode("grams").alias("g"))
 
@@ -412,12 +468,12 @@ def similar_across(
     tried = told.join(second, "g", "left").select("m", F.inline(F.array_compact(F.array("first", "second"))).alias("share", "y", "ylo", "yhi"), "lo", "hi")
     alone = (F.col("lo") == F.col("hi")) & ~((F.col("ylo") == F.col("lo")) & (F.col("yhi") == F.col("lo")))
     counted = tried.where(alone & (F.col("m") != F.col("y"))).groupBy("m", "y").agg(F.struct(F.count("*").alias("c"), F.max("share").alias("share"), "y").alias("best"))
-    start = counted.groupBy("m").agg(F.max("best").alias("best")).select(F.col("m").alias("x"), F.col("best.y").alias("y"))
-    seen = written(_likeness(start, sets), "first-likeness")
+    start = counted.groupBy("m").agg(F.max("best").alias("best")).select(F.least("m", "best.y").alias("x"), F.greatest("m", "best.y").alias("y"))
+    seen = written(_likeness(start.distinct(), sets), "first-likeness")
     ends = seen.select(F.col("x").alias("m"), "j").union(seen.select("y", "j")).groupBy("m").agg(F.max("j").alias("best"))
     # a text of several sources has a copy already, and seeks none
     best = F.when(F.col("lo") != F.col("hi"), F.lit(1.0)).otherwise(F.greatest(F.coalesce("best", F.lit(0.0)), F.lit(threshold) - 1e-6))
-    full = able.join(ends, "m", "left").withColumn("best", best).select("m", "lo", "hi", "n", "total", "counts", "best", F.explode("grams").alias("g"))
+    full = able.join(ends, "m", "left").withColumn("best", best).select("m", "lo", "hi", "n", "total", "bits", "best", F.explode("grams").alias("g"))
     full = written(full, "gram-lists")
 
     sides = [full.select(*[F.col(c).alias(f"{c}_{e}") for c in full.columns]) for e in "xy"]
@@ -425,15 +481,19 @@ def similar_across(
     least = F.least("best_x", "best_y")
     # common / (n_x + n_y - common) > least, by more than rounding
     better = lambda common: common * (1 + least) > least * (F.col("n_x") + F.col("n_y")) + 1e-9
-    most = sum(F.least(F.get("counts_x", F.lit(c)), F.get("counts_y", F.lit(c))) for c in range(CLASSES))
+    # an odd number of n-grams of one text in a bit, and an even one of the other: at least one is not common
+    apart = sum(F.bit_count(F.get("bits_x", F.lit(c)).bitwiseXOR(F.get("bits_y", F.lit(c)))) for c in range(CLASSES))
+    most = (F.col("total_x") + F.col("total_y") - apart) / 2
     met = sides[0].join(
         sides[1],
         (F.col("g_x") == F.col("g_y")) & (F.col("m_x") < F.col("m_y")) & other & better(F.least("total_x", "total_y")) & better(most),
     )
-    found = _likeness(met.select(F.col("m_x").alias("x"), F.col("m_y").alias("y")).distinct(), sets).unionByName(seen)
+    new = join_small(met.select(F.col("m_x").alias("x"), F.col("m_y").alias("y")).distinct(), seen.select("x", "y"), ["x", "y"], "left_anti", MAX_GRAMS)
+    found = _likeness(new, sets).unionByName(seen)
     found = found.where(F.col("j") >= threshold)
     links = found.select(F.col("x").alias("m"), "j").union(found.select("y", "j")).groupBy("m").agg(F.max("j").alias("j"))
+    copied = copies.where("key <> lead").join(links.withColumnRenamed("m", "lead"), "lead").select("key", "j")
     # a text of several sources has a copy in another one
-    near = sets.where("lo <> hi").select("m", F.lit(1.0).alias("j")).unionByName(links.join(sets.where("lo <> hi").select("m"), "m", "left_anti"))
-    all_rows = near.select(F.col("m").alias("key"), "j").unionByName(copies.where("key <> lead").join(near.withColumnRenamed("m", "lead"), "lead").select("key", "j"))
+    exact = copies.where("lo <> hi").select("key", F.lit(1.0).alias("j"))
+    all_rows = links.withColumnRenamed("m", "key").unionByName(copied).unionByName(exact)
     return all_rows.groupBy("key").agg(F.max("j").alias("likeness")).select(F.col("key").alias(key), "likeness")

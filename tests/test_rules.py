@@ -252,3 +252,38 @@ def test_a_group_of_near_copies_costs_rows_in_proportion(spark, monkeypatch):
     for k, source, _ in rng.sample(rows, 25):
         best = max(len(grams[k] & grams[o]) / len(grams[k] | grams[o]) for o, s, _ in rows if s != source)
         assert abs(got[k] - best) < 1e-12
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8, 1.0])
+def test_similar_posts_of_all_lengths_near_the_threshold(spark, threshold):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 9)))
+    rows = []
+    for n in [*range(1, 24), 31, 40, 57, 82, 102, 127]:
+        origin = [word() for _ in range(n)]
+        rows.append((len(rows), " ".join(origin), "s0"))
+        for cut in (round(n * 0.8), n - 1, n - 2, n // 2 + 1):  # the whole of a shorter text is common
+            rows.append((len(rows), " ".join(origin[: max(cut, 1)]), f"s{rng.randrange(3)}"))
+        changed = [w if rng.random() < 0.95 else word() for w in origin]
+        rows.append((len(rows), " ".join(changed + [word()]), f"s{rng.randrange(3)}"))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    found = {x.doc_id: x.likeness for x in r.similar_across(df, threshold=threshold).collect()}
+    assert found == pytest.approx({k: v for k, v in _brute_force_likeness(rows).items() if v >= threshold - 1e-9})
+
+
+def test_sets_of_texts_without_a_near_copy_are_not_carried(spark, monkeypatch):
+    rng = random.Random(4)
+    text = lambda: [f"w{rng.randrange(10**6)}" for _ in range(80)]
+    rows = [(k, f"s{k % 3}", text()) for k in range(300)]
+    rows += [(300 + k, f"s{(k + 1) % 3}", [*rows[k][2], "end"]) for k in range(10)]
+    docs = spark.createDataFrame([(k, s, " ".join(t)) for k, s, t in rows], "doc_id long, source string, text string")
+    carried = []
+    likeness = r._likeness
+
+    def counted(pairs, sets):
+        carried.append(sets.count())
+        return likeness(pairs, sets)
+
+    monkeypatch.setattr(r, "_likeness", counted)
+    assert {row["doc_id"] for row in r.similar_across(docs).collect()} == {*range(10), *range(300, 310)}
+    assert carried and max(carried) == 20
